@@ -97,6 +97,27 @@ _P5_LLR = _P5_ROWS + f"""
 SELECT molecule_a, molecule_b, n_ab, n_a, n_b, round(CAST(n_ab * n AS DOUBLE) / CAST(n_a * n_b AS DOUBLE), 6) AS lift,
   round(2.0 * ({_CELLS} - ({_SIDES}) + {_xlogx("n")}), 4) AS llr FROM pairs"""
 
+_QUALIFIERS = "a|an|the|raw|fresh|organic|ripe|probably|maybe|cooked|dried|whole|main"
+_P6 = f"""
+WITH {_FOODS},
+refs AS (SELECT 'predicted_food' AS field, food_name AS k, entity_id AS canon_id FROM foods
+  UNION ALL SELECT 'predicted_category', {NAME.format("category")}, min(category_id) FROM food_categories GROUP BY 2),
+cells AS (
+  SELECT detail_id, 'predicted_food' AS field, predicted_food AS value FROM mfp_eval_details
+  WHERE predicted_food NOT IN (SELECT entity_alias_readable FROM food_entities WHERE entity_alias_readable IS NOT NULL)
+  UNION ALL
+  SELECT detail_id, 'predicted_category', predicted_category FROM mfp_eval_details
+  WHERE predicted_category NOT IN (SELECT category FROM food_categories WHERE category IS NOT NULL)),
+typed AS (SELECT * FROM cells WHERE value IS NOT NULL AND regexp_replace(value, '[\\s\\p{{Z}}]+', '', 'g') <> ''),
+plain AS (SELECT DISTINCT field, value, {VALUE.format("value")} AS w FROM typed),
+bare AS (SELECT field, value, w, string_split(regexp_replace(regexp_replace(w, '^(({_QUALIFIERS}) )+', ''), '( ({_QUALIFIERS}))+$', ''), ' ') AS b FROM plain),
+keys AS (SELECT DISTINCT field, value, k FROM (SELECT field, value, unnest([replace(w, ' ', ''), array_to_string(b, ''),
+  b[len(b)] || array_to_string(b[1 : len(b) - 1], ''), array_to_string(b[2 : len(b)], '') || b[1]]) AS k FROM bare) WHERE k <> ''),
+near AS (SELECT keys.field, value, arg_min(canon_id, levenshtein(keys.k, refs.k) * 1000000 + canon_id) AS canon_id
+  FROM keys JOIN refs ON keys.field = refs.field AND abs(length(keys.k) - length(refs.k)) <= 2
+  WHERE levenshtein(keys.k, refs.k) <= least(2, length(refs.k) // 3) GROUP BY 1, 2)
+SELECT detail_id, typed.field, coalesce(near.canon_id, -1) AS canon_id FROM typed LEFT JOIN near ON near.field = typed.field AND near.value = typed.value"""
+
 _P7 = f"""
 WITH {_CURRENT}, {_FOODS},
 rows AS (SELECT actual_food AS food, split FROM mfp UNION ALL SELECT target_food, split FROM mpc)
@@ -126,6 +147,7 @@ def oracle_sql() -> dict[str, str]:
         "p4_collapsed": _P4_COLLAPSED,
         "p5_found": _P5,
         "p5_llr": _P5_LLR,
+        "p6_found": _P6,
         "p7_found": _P7,
         "p9_found": _P9,
     }

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from palatine.llm import bpe, cooccur, cross_split, format_dups, group_split, leak_automaton, set_similarity, topn
+from palatine.llm import bpe, canonical_map, cooccur, cross_split, format_dups, group_split, leak_automaton, pii_crf, set_similarity, topn
 from palatine.llm.common import current_rows, food_index, name_key, small_side, split_key, table, value_set
 
 SHARES = {"train": 0.8, "dev": 0.1, "test": 0.1}
@@ -94,6 +94,15 @@ def p5_llr(spark: SparkSession, d: str) -> DataFrame:
     return pairs.select(F.col("item_a").alias("molecule_a"), F.col("item_b").alias("molecule_b"), "n_ab", "n_a", "n_b", F.round("lift", 6).alias("lift"), F.round("llr", 4).alias("llr"))
 
 
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    details, foods, cats = (table(spark, d, n) for n in ("mfp_eval_details", "food_entities", "food_categories"))
+    names = food_index(foods).select(F.col("food_name").alias("ref_key"), F.col("entity_id").alias("canon_id"))
+    food = canonical_map.map_column(details.select("detail_id", F.col("predicted_food").alias("value")), names, foods.select(F.col("entity_alias_readable").alias("value")))
+    kinds = cats.select(name_key("category").alias("ref_key"), F.col("category_id").alias("canon_id"))
+    kind = canonical_map.map_column(details.select("detail_id", F.col("predicted_category").alias("value")), kinds, cats.select(F.col("category").alias("value")))
+    return food.select("detail_id", F.lit("predicted_food").alias("field"), "canon_id").unionByName(kind.select("detail_id", F.lit("predicted_category").alias("field"), "canon_id"))
+
+
 def _food_records(spark: SparkSession, d: str) -> DataFrame:
     mfp = current_rows(table(spark, d, "mfp_tasks"), "actual_food", "split").select(F.concat(F.lit("mfp:"), "id").alias("record"), F.col("actual_food").alias("food"), split_key("split").alias("split"))
     mpc = current_rows(table(spark, d, "mpc_reconstructed_tasks"), "target_food", "split").select(F.concat(F.lit("mpc:"), "id").alias("record"), F.col("target_food").alias("food"), split_key("split").alias("split"))
@@ -124,6 +133,21 @@ def p9_found(spark: SparkSession, d: str) -> DataFrame:
     return leak_automaton.leaked_items(table(spark, d, "documents").select("doc_id", "text"), table(spark, d, "eval_passages")).select("doc_id", "item_id")
 
 
+def _texts(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "documents").select("doc_id", "text")
+
+
+def p10_found(spark: SparkSession, d: str) -> DataFrame:
+    texts = _texts(spark, d)
+    return pii_crf.mentions(texts, pii_crf.train_field(texts, table(spark, d, "name_lexicon")))
+
+
+def p10_redacted(spark: SparkSession, d: str) -> DataFrame:
+    """Every text with its mentions replaced by placeholders."""
+    texts = _texts(spark, d)
+    return pii_crf.redact(texts, pii_crf.train_field(texts, table(spark, d, "name_lexicon")))
+
+
 def queries() -> dict:
     return {
         "p1_found": p1_found,
@@ -134,8 +158,11 @@ def queries() -> dict:
         "p4_collapsed": p4_collapsed,
         "p5_found": p5_found,
         "p5_llr": p5_llr,
+        "p6_found": p6_found,
         "p7_found": p7_found,
         "p7_splits": p7_splits,
         "p8_ids": p8_ids,
         "p9_found": p9_found,
+        "p10_found": p10_found,
+        "p10_redacted": p10_redacted,
     }
