@@ -90,12 +90,15 @@ def _band_batches(bands: int, rows: int):
     return run
 
 
-def set_classes(records: DataFrame) -> DataFrame:
-    """(cid, set_key, values, size, hashes, n): one row per distinct non-empty set of ``records`` (id, values)."""
+def keyed_sets(records: DataFrame, *cols: str) -> DataFrame:
+    """(id, cols, set_key, values) of the records with a non-empty set, kept, since classes and members both read it."""
+    return checkpoint(records.where(F.col("id").isNotNull() & (F.size("values") > 0)).select("id", *cols, set_key("values").alias("set_key"), "values"))
+
+
+def set_classes(keyed: DataFrame) -> DataFrame:
+    """(cid, set_key, values, size, hashes, n): one row per distinct set of ``keyed`` (set_key, values)."""
     classes = (
-        records.where(F.size("values") > 0)
-        .select("values", set_key("values").alias("set_key"))
-        .groupBy("set_key")
+        keyed.groupBy("set_key")
         .agg(F.first("values").alias("values"), F.count(F.lit(1)).alias("n"))
         .select("set_key", "values", F.size("values").alias("size"), F.transform("values", lambda v: F.xxhash64(v)).alias("hashes"), "n")
     )
@@ -124,11 +127,11 @@ def _bucket_pairs(buckets: DataFrame, num: int, den: int) -> DataFrame:
     )
 
 
-def _prefix_pairs(classes: DataFrame, num: int, den: int) -> DataFrame:
-    """Exact: classes over the threshold share a value among the first size - ceil(t·size) + 1, rarest first."""
+def _prefix_pairs(classes: DataFrame, some: DataFrame, num: int, den: int) -> DataFrame:
+    """Pairs within ``some``, exact: two over the threshold share a value among the first size - ceil(t·size) + 1, rarest first."""
     freq = classes.select(F.explode("hashes").alias("h")).groupBy("h").agg(F.count(F.lit(1)).alias("df"))
     ranked = (
-        classes.select("cid", "size", F.explode("hashes").alias("h"))
+        some.select("cid", "size", F.explode("hashes").alias("h"))
         .join(freq, "h")
         .groupBy("cid", "size")
         .agg(F.array_sort(F.collect_list(F.struct("df", "h"))).alias("order"))
@@ -153,7 +156,7 @@ def similar_classes(classes: DataFrame, num: int = 7, den: int = 10, bands: int
         .where("members > 1")
     )
     in_hot = buckets.where(F.col("members") > hot_bucket).select("cid").distinct()
-    cand = _bucket_pairs(buckets.where(F.col("members") <= hot_bucket), num, den).unionByName(_prefix_pairs(checkpoint(classes.join(in_hot, "cid", "left_semi")), num, den))
+    cand = _bucket_pairs(buckets.where(F.col("members") <= hot_bucket), num, den).unionByName(_prefix_pairs(classes, classes.join(in_hot, "cid", "left_semi"), num, den))
     left = classes.select(F.col("cid").alias("a"), F.col("values").alias("va"))
     right = classes.select(F.col("cid").alias("b"), F.col("values").alias("vb"))
     inter = F.size(F.array_intersect("va", "vb"))
@@ -162,14 +165,9 @@ def similar_classes(classes: DataFrame, num: int = 7, den: int = 10, bands: int
 
 def similar_set_pairs(records: DataFrame, num: int = 7, den: int = 10, **bands) -> DataFrame:
     """(id_a, id_b), id_a < id_b: pairs of distinct ids of ``records`` (id, values) whose sets overlap by num/den or more."""
-    records = records.where(F.col("id").isNotNull())
-    classes = set_classes(records)
-    members = checkpoint(
-        records.where(F.size("values") > 0)
-        .select("id", set_key("values").alias("set_key"))
-        .join(classes.select("set_key", "cid"), "set_key")
-        .select("cid", "id")
-    )
+    keyed = keyed_sets(records)
+    classes = set_classes(keyed)
+    members = checkpoint(keyed.select("id", "set_key").join(classes.select("set_key", "cid"), "set_key").select("cid", "id"))
     links = similar_classes(classes, num, den, **bands).unionByName(classes.where("n > 1").select(F.col("cid").alias("a"), F.col("cid").alias("b")))
     pairs = links.join(members.select(F.col("cid").alias("a"), F.col("id").alias("ia")), "a").join(members.select(F.col("cid").alias("b"), F.col("id").alias("ib")), "b")
     same = F.col("a") == F.col("b")
