@@ -154,7 +154,9 @@ def encode_corpus(docs: DataFrame, ranks: dict[bytes, int], broadcast_words: int
     cut = full.select("doc_id", "text", F.regexp_extract_all("text", F.lit(word_pattern()), F.lit(0)).alias("words"))
     counts = cut.select(F.explode("words").alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n"))
     vocabulary = checkpoint(counts)
-    coded = checkpoint(encode_words(vocabulary.select("word").repartition("word"), ranks))
+    # few bytes but much work: a given number of partitions is not merged into one by adaptive execution
+    spread = vocabulary.select("word").repartition(4 * docs.sparkSession.sparkContext.defaultParallelism, "word")
+    coded = checkpoint(encode_words(spread, ranks))
     size = coded.agg(F.count(F.lit(1)).alias("rows"), F.sum(F.octet_length("word") + 4 * F.size("ids") + 32).alias("bytes")).first()
     # texts are placed by document once, so that the words of one come together again without another shuffle
     placed = docs.select("doc_id", "text").where(F.length("text") > 0).repartition("doc_id")
