@@ -159,7 +159,7 @@ def encode_corpus(docs: DataFrame, ranks: dict[bytes, int], broadcast_words: int
     coded = checkpoint(encode_words(spread, ranks))
     size = coded.agg(F.count(F.lit(1)).alias("rows"), F.sum(F.octet_length("word") + 4 * F.size("ids") + 32).alias("bytes")).first()
     # texts are placed by document once, so that the words of one come together again without another shuffle
-    placed = docs.select("doc_id", "text").where(F.length("text") > 0).repartition("doc_id")
+    placed = full.repartition("doc_id").dropDuplicates(["doc_id", "text"])
     at = placed.select("doc_id", F.xxhash64("text").alias("h"), F.posexplode(F.regexp_extract_all("text", F.lit(word_pattern()), F.lit(0))).alias("pos", "word"))
     if size["rows"] <= broadcast_words and (size["bytes"] or 0) <= BROADCAST_BYTES:
         joined = at.join(F.broadcast(coded), "word")

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from palatine.llm.common import checkpoint
+from palatine.llm.common import checkpoint, hot_split_join
 
 #: Edges between roots that one task may finish alone (about 100 MB of Python memory).
 LOCAL_EDGES = 1_000_000
@@ -122,7 +122,7 @@ def quotas(histogram: list[tuple[int, int]], shares: dict[str, float]) -> list[t
 
 
 def assign_splits(groups: DataFrame, shares: dict[str, float]) -> DataFrame:
-    """(group, split) of ``groups`` (group bigint, size bigint); whole groups, sizes as near to ``shares`` as greedy gets.
+    """(group, size, split) of ``groups`` (group bigint, size bigint); whole groups, sizes as near to ``shares`` as greedy gets.
 
     The rank of a group within its size is exact and distributed: groups are
     range-partitioned by (size, hash), ranked within the partition, and shifted
@@ -131,7 +131,7 @@ def assign_splits(groups: DataFrame, shares: dict[str, float]) -> DataFrame:
     spark = groups.sparkSession
     histogram = [(r[0], r[1]) for r in groups.groupBy("size").agg(F.count(F.lit(1))).collect()]
     if not histogram:
-        return groups.select("group", F.lit(None).cast("string").alias("split"))
+        return groups.select("group", "size", F.lit(None).cast("string").alias("split"))
     h = F.xxhash64("group")
     parts = checkpoint(groups.withColumn("h", h).repartitionByRange("size", "h", "group").withColumn("part", F.spark_partition_id()))
     offset = F.coalesce(F.sum("n").over(Window.partitionBy("size").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
@@ -139,7 +139,7 @@ def assign_splits(groups: DataFrame, shares: dict[str, float]) -> DataFrame:
     rank = F.row_number().over(Window.partitionBy("part", "size").orderBy("h", "group")) - 1
     ranked = parts.select("group", "size", "part", rank.alias("rank")).join(offsets, ["size", "part"]).select("group", "size", (F.col("rank") + F.col("offset")).alias("rank"))
     plan = spark.createDataFrame(quotas(histogram, shares), "size bigint, split string, lo bigint, hi bigint")
-    return ranked.join(F.broadcast(plan), "size").where("rank >= lo and rank < hi").select("group", "split")
+    return ranked.join(F.broadcast(plan), "size").where("rank >= lo and rank < hi").select("group", "size", "split")
 
 
 def node_id(kind: str, c: str):
@@ -160,12 +160,12 @@ def group_records(records: DataFrame) -> DataFrame:
 def split_records(records: DataFrame, shares: dict[str, float]) -> DataFrame:
     """(record, group, split): the assignment of every record."""
     grouped = checkpoint(group_records(records).select("record", "group").distinct())
-    sizes = grouped.groupBy("group").agg(F.count(F.lit(1)).alias("size"))
-    return grouped.join(assign_splits(sizes, shares), "group").select("record", "group", "split")
+    sizes = checkpoint(grouped.groupBy("group").agg(F.count(F.lit(1)).alias("size")))
+    return hot_split_join(grouped, checkpoint(assign_splits(sizes, shares)), "group", "size").select("record", "group", "split")
 
 
 def split_breakers(grouped: DataFrame, splits: DataFrame) -> DataFrame:
     """(entity) of the groups whose records' recorded splits differ; ``grouped`` as above, ``splits`` (record, split)."""
     with_split = grouped.join(splits.where("split is not null"), "record")
     wide = with_split.groupBy("group").agg(F.min("split").alias("a"), F.max("split").alias("b")).where("a <> b").select("group")
-    return grouped.where("entity is not null").join(wide, "group", "left_semi").select("entity").distinct()
+    return grouped.where("entity is not null").select("group", "entity").distinct().join(wide, "group", "left_semi").select("entity").distinct()
