@@ -34,3 +34,9 @@ def latest(df: DataFrame, *cols: str, key: str = "id", order: str = "ingest_seq"
     """The row with the largest ``order`` of each non-null ``key``; one shuffle of the columns asked for."""
     payload = F.struct(*[F.col(c) for c in cols])
     return df.where(F.col(key).isNotNull()).groupBy(F.col(key).alias("id")).agg(F.max_by(payload, order).alias("_r")).select("id", *[F.col(f"_r.`{c}`").alias(c) for c in cols])
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """A file scan of few splits over all cores, for stages whose work is heavy for their bytes; large scans stay as they are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df

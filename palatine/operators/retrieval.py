@@ -1,25 +1,33 @@
 """BM25 retrieval: index statistics, scoring by token join, top k with zero-score fill.
 
-Documents are placed by id once; their tokens are joined with the query tokens
-where they lie (the query side is broadcast after a check of its size), scores
-are summed per (document, query) without another shuffle, and only the best k
-per task and query travel to the final ranking.  Beyond the checked size both
-sides are shuffled by token, left to adaptive execution to split.
+For a top k the weighted query tokens are broadcast after a check of their
+size, and every task scores its documents against blocks of queries with array
+arithmetic, passing on only rows that can still be among a query's best k; the
+documents are never shuffled.  Beyond that size, and where all scores are asked
+for, tokens are joined: documents are placed by id once and scores are summed
+per (document, query) where they lie while the query side can be broadcast,
+else both sides are shuffled by token, left to adaptive execution to split.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from palatine.functions.normalize import first_truthy, tokens
 from palatine.functions.parse import joined
-from palatine.operators.physical import is_small
+from palatine.operators.physical import checkpoint, is_small, spread
 
 K1, B = 1.5, 0.75
 #: Query tokens up to which they are broadcast.
 QUERY_TOKENS = 1_000_000
 DIGITS = 6
+#: Queries scored together, and products of one step (8 bytes each).
+QUERY_BLOCK, STEP = 512, 4_000_000
 
 
 def food_document(food: Column | str, molecules: Column | str) -> Column:
@@ -62,27 +70,94 @@ def document_frequency(docs: DataFrame, text: str = "text") -> DataFrame:
     return docs.select(F.explode(F.array_distinct(tokens(text))).alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("df"))
 
 
+def weighted_queries(docs: DataFrame, queries: DataFrame) -> DataFrame:
+    """(query_id, token, w, n, avgdl): query tokens in the corpus, weighted by their count in the query and by idf."""
+    qt = queries.select("query_id", F.explode(tokens("text")).alias("token")).groupBy("query_id", "token").agg(F.count(F.lit(1)).alias("qtf"))
+    vocabulary = qt.select("token").distinct()
+    vocabulary = F.broadcast(vocabulary) if is_small(vocabulary, QUERY_TOKENS) else vocabulary
+    df = docs.select(F.explode(F.array_distinct(tokens("text"))).alias("token")).join(vocabulary, "token", "left_semi").groupBy("token").agg(F.count(F.lit(1)).cast("double").alias("df"))
+    # corpus_stats is one row
+    return qt.join(df, "token").crossJoin(F.broadcast(corpus_stats(docs))).select("query_id", "token", (F.col("qtf") * idf(F.col("n"), F.col("df"))).alias("w"), "n", "avgdl")
+
+
 def bm25_scores(docs: DataFrame, queries: DataFrame, k1: float = K1, b: float = B) -> DataFrame:
     """(query_id, doc_id, score) of all pairs with a common token; ``docs`` (doc_id, text), ``queries`` (query_id, text).
 
     A token that a query repeats counts as often as it stands there.
     """
-    qt = queries.select("query_id", F.explode(tokens("text")).alias("token")).groupBy("query_id", "token").agg(F.count(F.lit(1)).alias("qtf"))
-    stats = corpus_stats(docs)
-    vocabulary = qt.select("token").distinct()
-    small = is_small(qt, QUERY_TOKENS)
-    hint = F.broadcast if small else (lambda x: x)
-    df = docs.select(F.explode(F.array_distinct(tokens("text"))).alias("token")).join(hint(vocabulary), "token", "left_semi").groupBy("token").agg(F.count(F.lit(1)).cast("double").alias("df"))
-    # one row of corpus statistics
-    weighted = qt.join(df, "token").crossJoin(F.broadcast(stats)).select("query_id", "token", (F.col("qtf") * idf(F.col("n"), F.col("df"))).alias("w"), "avgdl")
-    placed = docs.repartition("doc_id") if small else docs
-    dt = document_tokens(placed)
-    hits = dt.join(hint(weighted), "token")
+    weighted = weighted_queries(docs, queries)
+    small = is_small(weighted, QUERY_TOKENS)
+    dt = document_tokens(docs.repartition("doc_id") if small else docs)
+    hits = dt.join(F.broadcast(weighted) if small else weighted, "token")
     norm = F.lit(1.0 - b) + F.lit(b) * F.col("dl") / F.when(F.col("avgdl") > 0, F.col("avgdl")).otherwise(F.lit(1.0))
     part = F.col("w") * (F.col("tf") * F.lit(k1 + 1.0)) / (F.col("tf") + F.lit(k1) * norm)
     return hits.groupBy("doc_id", "query_id").agg(F.round(F.sum(part), DIGITS).alias("score")).select("query_id", "doc_id", "score")
 
 
+def _block_scorer(number: dict[str, int], blocks: list[tuple[np.ndarray, np.ndarray, np.ndarray]], sizes: list[int], avgdl: float, k: int, k1: float, b: float):
+    """mapInArrow over (doc_id, tokens): (query number, doc_id, score) of rows that may be among a query's best k.
+
+    ``blocks`` holds per block of queries (token rows, query columns, weights).
+    A row is passed on if its score reaches the k-th best that this task has
+    seen for the query, ties included.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tables = []
+        for (rows, cols, w), n in zip(blocks, sizes):
+            table = np.zeros((len(number), n))
+            table[rows, cols] = w
+            tables.append(table)
+        floor = [np.full((k, n), 0.0) for n in sizes]  # the k best scores of each query so far
+        for whole in batches:
+            for at in range(0, whole.num_rows, 2048):
+                batch = whole.slice(at, 2048)
+                lists = batch.column(1).to_pylist()
+                doc, tok, dl = [], [], np.array([len(x) for x in lists], float)
+                for i, x in enumerate(lists):
+                    got = [t for w in x if (t := number.get(w)) is not None]
+                    tok += got
+                    doc += [i] * len(got)
+                if not doc:
+                    continue
+                code, tf = np.unique(np.array(doc, np.int64) * len(number) + np.array(tok, np.int64), return_counts=True)
+                d, t = code // len(number), code % len(number)
+                value = tf * (k1 + 1.0) / (tf + k1 * (1.0 - b + b * dl[d] / (avgdl or 1.0)))
+                starts = np.flatnonzero(np.concatenate(([True], d[1:] != d[:-1])))
+                base = 0
+                for table, best, n in zip(tables, floor, sizes):
+                    step = max(1, STEP // (n * max(1, len(d) // len(starts))))
+                    for s in range(0, len(starts), step):
+                        lo, some = starts[s], starts[s : s + step]
+                        hi = starts[s + step] if s + step < len(starts) else len(d)
+                        score = np.round(np.add.reduceat(table[t[lo:hi]] * value[lo:hi, None], some - lo, axis=0), DIGITS)
+                        both = np.concatenate((best, score))
+                        best[:] = np.partition(both, len(both) - k, axis=0)[len(both) - k :]
+                        r, q = np.nonzero((score >= best.min(0)) & (score > 0))
+                        if len(r):
+                            yield pa.RecordBatch.from_arrays([pa.array(q + base, pa.int64()), batch.column(0).take(pa.array(d[some[r]])), pa.array(score[r, q])], names=["q", "doc_id", "score"])
+                    base += n
+
+    return run
+
+
+def _scored_blocks(docs: DataFrame, weighted: DataFrame, k: int, k1: float, b: float) -> DataFrame:
+    """(query_id, doc_id, score) of rows that contain every query's best k."""
+    spark = docs.sparkSession
+    rows = weighted.select("query_id", "token", "w", "avgdl").toPandas()  # at most QUERY_TOKENS rows, checked by the caller
+    ids = sorted(rows["query_id"].unique())
+    place = {q: i for i, q in enumerate(ids)}
+    number = {t: i for i, t in enumerate(sorted(set(rows["token"])))}
+    q, t, w = rows["query_id"].map(place).to_numpy(np.int64), rows["token"].map(number).to_numpy(np.int64), rows["w"].to_numpy(float)
+    blocks = [(t[m], q[m] - lo, w[m]) for lo in range(0, len(ids), QUERY_BLOCK) for m in [(q >= lo) & (q < lo + QUERY_BLOCK)]]
+    sizes = [min(QUERY_BLOCK, len(ids) - lo) for lo in range(0, len(ids), QUERY_BLOCK)]
+    kind = dict(docs.dtypes)["doc_id"]
+    run = _block_scorer(number, blocks, sizes, float(rows["avgdl"].iloc[0]) if len(rows) else 0.0, k, k1, b)
+    scored = spread(docs.select("doc_id", "text")).select("doc_id", tokens("text").alias("tokens")).mapInArrow(run, f"q bigint, doc_id {kind}, score double")
+    names = spark.createDataFrame([(q, i) for q, i in zip((x.item() if hasattr(x, "item") else x for x in ids), range(len(ids)))], f"query_id {weighted.schema['query_id'].dataType.simpleString()}, q bigint")
+    return scored.join(F.broadcast(names), "q").select("query_id", "doc_id", "score")
+
+
 def top_k(scores: DataFrame, k: int, position: str = "doc_id") -> DataFrame:
     """(query_id, rank, doc_id, score): by score, then by corpus position; k rows per task and query are shuffled."""
     by = Window.partitionBy("query_id").orderBy(F.desc("score"), position)
@@ -95,8 +170,11 @@ def bm25_top_k(docs: DataFrame, queries: DataFrame, k: int = 3, fill: bool = Tru
     ``doc_id`` is the corpus position.  Only the first 2k documents can be
     needed for filling, since fewer than k of them match.
     """
-    best = top_k(bm25_scores(docs, queries, k1, b), k).select("query_id", "doc_id", "score")
+    weighted = checkpoint(weighted_queries(docs, queries))
+    scores = _scored_blocks(docs, weighted, k, k1, b) if is_small(weighted, QUERY_TOKENS) else bm25_scores(docs, queries, k1, b)
+    best = top_k(scores, k).select("query_id", "doc_id", "score")
     if fill:
+        best = checkpoint(best)  # at most k rows a query, read three times below
         lacking = queries.select("query_id").distinct().join(best.groupBy("query_id").agg(F.count(F.lit(1)).alias("m")), "query_id", "left").where(F.coalesce("m", F.lit(0)) < k).select("query_id")
         first = docs.select("doc_id").orderBy("doc_id").limit(2 * k)
         extra = lacking.crossJoin(F.broadcast(first)).join(best.select("query_id", "doc_id"), ["query_id", "doc_id"], "left_anti").withColumn("score", F.lit(0.0))
