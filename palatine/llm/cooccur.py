@@ -58,6 +58,21 @@ def stripe_batches(keep: np.ndarray | None, held: int = HELD, chunk: int = 4096)
             store[0].clear(), store[1].clear()
             size = 0
 
+        def count(found: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+            """Add pair codes to the store; merge it when it is full, and pass stripes on when merging no longer helps."""
+            nonlocal size
+            if found:
+                codes, counts = np.unique(np.concatenate(found), return_counts=True)
+                store[0].append(codes), store[1].append(counts.astype(np.int64))
+                size += len(codes)
+                found.clear()
+            if size > held:
+                merged = _merge(*store)
+                store[0][:], store[1][:] = [merged[0]], [merged[1]]
+                size = len(merged[0])
+                if size > held * 3 // 4:
+                    yield from flush()
+
         ids = np.zeros(0, np.int64)  # number to hash
         for whole in batches:
             for at in range(0, whole.num_rows, chunk):
@@ -86,23 +101,21 @@ def stripe_batches(keep: np.ndarray | None, held: int = HELD, chunk: int = 4096)
                     if m > 2000:  # one basket at a time, item by item
                         for s in at_rows:
                             x = num[s : s + m]
-                            found += [(x[i] << 32) | x[i + 1 :] for i in range(m - 1)]
+                            pending = 0
+                            for i in range(m - 1):
+                                found.append((x[i] << 32) | x[i + 1 :])
+                                pending += m - 1 - i
+                                if pending > held:
+                                    yield from count(found)
+                                    pending = 0
+                            yield from count(found)
                         continue
                     i, j = np.triu_indices(m, 1)
                     step = max(1, 4_000_000 // len(i))
                     for k in range(0, len(at_rows), step):
                         mat = num[at_rows[k : k + step, None] + np.arange(m)]
                         found.append(((mat[:, i] << 32) | mat[:, j]).reshape(-1))
-                if found:
-                    codes, counts = np.unique(np.concatenate(found), return_counts=True)
-                    store[0].append(codes), store[1].append(counts.astype(np.int64))
-                    size += len(codes)
-                if size > held:
-                    merged = _merge(*store)
-                    store[0][:], store[1][:] = [merged[0]], [merged[1]]
-                    size = len(merged[0])
-                    if size > held // 2:
-                        yield from flush()
+                yield from count(found)
         yield from flush()
 
     return run
