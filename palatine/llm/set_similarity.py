@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from palatine.llm.common import checkpoint
+from palatine.llm.common import checkpoint, hot_split_join
 
 #: 40 bands of 4 miss a pair at the threshold of 0.7 with probability (1 - 0.7**4)**40 < 2e-5.
 BANDS, ROWS = 40, 4
@@ -105,6 +105,11 @@ def set_classes(keyed: DataFrame) -> DataFrame:
     return checkpoint(classes.withColumn("cid", F.monotonically_increasing_id()))
 
 
+def class_members(keyed: DataFrame, classes: DataFrame, *cols: str) -> DataFrame:
+    """(cid, id, cols) of every record; classes with very many copies are not shuffled."""
+    return checkpoint(hot_split_join(keyed.select("id", *cols, "set_key"), classes.select("set_key", "cid", "n"), "set_key", "n").select("cid", "id", *cols))
+
+
 def set_key(values: str):
     """128-bit identity of a sorted value set."""
     return F.unhex(F.md5(F.concat_ws("\u0001", values)))
@@ -167,7 +172,7 @@ def similar_set_pairs(records: DataFrame, num: int = 7, den: int = 10, **bands)
     """(id_a, id_b), id_a < id_b: pairs of distinct ids of ``records`` (id, values) whose sets overlap by num/den or more."""
     keyed = keyed_sets(records)
     classes = set_classes(keyed)
-    members = checkpoint(keyed.select("id", "set_key").join(classes.select("set_key", "cid"), "set_key").select("cid", "id"))
+    members = class_members(keyed, classes)
     links = similar_classes(classes, num, den, **bands).unionByName(classes.where("n > 1").select(F.col("cid").alias("a"), F.col("cid").alias("b")))
     pairs = links.join(members.select(F.col("cid").alias("a"), F.col("id").alias("ia")), "a").join(members.select(F.col("cid").alias("b"), F.col("id").alias("ib")), "b")
     same = F.col("a") == F.col("b")
