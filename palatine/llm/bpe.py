@@ -27,7 +27,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from palatine.llm.common import checkpoint, hot_split_join
+from palatine.llm.common import checkpoint, hot_split_join, spread
 
 #: The tokenizer's word pattern. Java's \s covers ASCII only, hence the explicit class of Unicode white space.
 SPACE = r"\t-\r\x20\x{85}\xa0\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
@@ -151,12 +151,12 @@ def encode_words(vocabulary: DataFrame, ranks: dict[bytes, int]) -> DataFrame:
 def encode_corpus(docs: DataFrame, ranks: dict[bytes, int], broadcast_words: int = BROADCAST_WORDS) -> DataFrame:
     """(doc_id, ids array<int>) of ``docs`` (doc_id, text), without special tokens."""
     full = docs.select("doc_id", "text").where(F.length("text") > 0)
-    cut = full.select("doc_id", "text", F.regexp_extract_all("text", F.lit(word_pattern()), F.lit(0)).alias("words"))
+    cut = spread(full).select("doc_id", "text", F.regexp_extract_all("text", F.lit(word_pattern()), F.lit(0)).alias("words"))
     counts = cut.select(F.explode("words").alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n"))
     vocabulary = checkpoint(counts)
     # few bytes but much work: a given number of partitions is not merged into one by adaptive execution
-    spread = vocabulary.select("word").repartition(4 * docs.sparkSession.sparkContext.defaultParallelism, "word")
-    coded = checkpoint(encode_words(spread, ranks))
+    shared_out = vocabulary.select("word").repartition(4 * docs.sparkSession.sparkContext.defaultParallelism, "word")
+    coded = checkpoint(encode_words(shared_out, ranks))
     size = coded.agg(F.count(F.lit(1)).alias("rows"), F.sum(F.octet_length("word") + 4 * F.size("ids") + 32).alias("bytes")).first()
     # texts are placed by document once, so that the words of one come together again without another shuffle
     placed = full.repartition("doc_id").dropDuplicates(["doc_id", "text"])

@@ -26,6 +26,8 @@ from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from palatine.llm.common import spread
+
 MIN_WORDS = 12
 #: A state takes about 300 bytes and there are at most two per word.
 MAX_BLOCK_WORDS = 200_000
@@ -144,7 +146,7 @@ def leaked_items(docs: DataFrame, items: DataFrame, min_words: int = MIN_WORDS,
     """(doc_id, item_id, run): texts that hold min_words or more consecutive words of an item, with the longest run."""
     spark = docs.sparkSession
     out = spark.createDataFrame([], "doc_id bigint, item_id bigint, run int")
-    texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").where("doc_id is not null and text is not null")
+    texts = spread(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").where("doc_id is not null and text is not null"))
     for automaton in _automata(items, min_words, block_words):
         shared = spark.sparkContext.broadcast(cloudpickle.dumps(automaton))
 
