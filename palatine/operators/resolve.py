@@ -59,20 +59,23 @@ def reconstruct(tasks: DataFrame, full: DataFrame) -> DataFrame:
     partial_empty, ok.  ``n`` counts the missing items with repeats.
     """
     rows = tasks.join(small_side(full), "entity_id", "left")
-    whole = F.coalesce("full", F.array().cast("array<string>"))
-    gone = F.transform("missing", name_text)
-    partial = F.filter(whole, lambda m: ~F.array_contains(gone, name_text(m)))
-    outside = F.size(F.array_except(gone, F.transform(whole, name_text)))
+    # each step names what the next uses more than once, so that nothing is normalised twice
+    rows = rows.withColumn("_whole", F.coalesce("full", F.array().cast("array<string>"))).withColumn("_gone", F.transform("missing", name_text)).withColumn("_keys", F.transform("_whole", name_text))
+    rows = rows.withColumn("_outside", F.size(F.array_except("_gone", "_keys"))).withColumn(
+        "_partial", F.transform(F.filter(F.arrays_zip("_whole", "_keys"), lambda z: ~F.array_contains("_gone", z["_keys"])), lambda z: z["_whole"])
+    )
     status = (
         F.when(strip(F.coalesce("food", F.lit(""))) == "", "invalid_food")
         .when(F.col("missing").isNull() | (F.size("missing") == 0), "invalid_missing_molecules")
         .when(F.col("match_status") != "matched_unique", F.col("match_status"))
-        .when(F.size(whole) == 0, "empty_full_molecules")
-        .when(outside > 0, "missing_not_subset_of_full")
-        .when(F.size(partial) == 0, "partial_empty")
+        .when(F.size("_whole") == 0, "empty_full_molecules")
+        .when(F.col("_outside") > 0, "missing_not_subset_of_full")
+        .when(F.size("_partial") == 0, "partial_empty")
         .otherwise("ok")
     )
-    return rows.withColumn("status", status).withColumn("partial", F.when(status == "ok", partial)).withColumn("n", F.when(status == "ok", F.size("missing")).cast("bigint"))
+    rows = rows.withColumn("status", status)
+    good = F.col("status") == "ok"
+    return rows.withColumn("partial", F.when(good, F.col("_partial"))).withColumn("n", F.when(good, F.size("missing")).cast("bigint")).drop("_whole", "_gone", "_keys", "_outside", "_partial")
 
 
 def status_histogram(rows: DataFrame, column: str = "status") -> DataFrame:
