@@ -26,7 +26,10 @@ def checkpoint(df: DataFrame) -> DataFrame:
     """A reliable checkpoint in the folder the session names; a temporary one only where none is named."""
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or os.path.join(tempfile.gettempdir(), f"palatine-checkpoints-{os.getpid()}"))
+        shared = sc.getConf().get("spark.checkpoint.dir")
+        if not shared and not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        sc.setCheckpointDir(shared or os.path.join(tempfile.gettempdir(), f"palatine-checkpoints-{os.getpid()}"))
     return df.checkpoint(eager=True)
 
 
