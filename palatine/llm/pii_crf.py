@@ -327,12 +327,17 @@ class Field:
     def ready(self) -> None:
         self._et = np.exp(np.maximum(self.trans, -700))
         self._triggers = frozenset(self.given | self.family | TITLES)
-        self._pairs = [frozenset(t for t in pair if t[:1].isalpha()) for pair in self.left | self.right]
+        pairs = [(pair, frozenset(t for t in pair if t[:1].isalpha())) for pair in self.left | self.right]
+        self._pairs = [words for _, words in pairs if words]
+        marks = sorted(rf"{re.escape(a)}\s*{re.escape(b)}" for (a, b), words in pairs if not words and a and b)
+        self._marks = re.compile("|".join(marks)) if marks else None
 
     def quiet(self, text: str) -> bool:
         """Whether a text without value shapes can have no window at all: cheaper than cutting it into tokens."""
         if not self._triggers.isdisjoint(WORDS.findall(text.lower())) or INITIAL.search(text) is not None:
             return False
+        if self._marks is not None and self._marks.search(text) is not None:
+            return False
         words = frozenset(WORDS.findall(text))
         return not any(p <= words for p in self._pairs)
 
@@ -467,8 +472,8 @@ class Field:
                 all_l[a, b] += 1
                 all_r[a, b] += 1
         # a context is one that spans often have and that seldom stands elsewhere
-        self.left = {c for c, n in lefts.items() if n >= 3 and n >= 0.3 * all_l[c] and any(t[:1].isalpha() for t in c)}
-        self.right = {c for c, n in rights.items() if n >= 3 and n >= 0.3 * all_r[c] and any(t[:1].isalpha() for t in c)}
+        self.left = {c for c, n in lefts.items() if n >= 3 and n >= 0.3 * all_l[c] and c[1] != "^"}
+        self.right = {c for c, n in rights.items() if n >= 3 and n >= 0.3 * all_r[c] and c[0] != "$"}
         out = []
         for (text, doc), strong, spans in zip(docs, support, seen):
             good = []
@@ -520,10 +525,8 @@ class Field:
         squares, tsq = np.full((len(self.row), 1), 1e-6), np.full((k, k), 1e-6)
         allowed = self.trans > FORBIDDEN
         rng = np.random.default_rng(3)
-        settled = np.zeros(len(chains), int)  # epochs for which a chain that fits well is left alone
-        for epoch in range(epochs):
-            settled -= 1
-            for c in rng.permutation(np.flatnonzero(settled < 0)):
+        for _ in range(epochs):
+            for c in rng.permutation(len(chains)):
                 rows, y = chains[c]
                 self.ready()
                 n = len(y)
@@ -531,9 +534,6 @@ class Field:
                 marg = np.exp(self.marginals(un))
                 diff = -marg
                 diff[np.arange(n), y] += 1
-                if epoch and np.abs(diff).max() < 0.02:
-                    settled[c] = 2
-                    continue
                 flat = np.concatenate(rows)
                 grad = np.repeat(diff, [len(r) for r in rows], axis=0)
                 np.add.at(squares, flat, (grad**2).max(1, keepdims=True))

@@ -188,3 +188,21 @@ def test_positions_count_code_points(field_and_rows):
     kind, s, e = field.decode(text)[0]
     assert kind == "email" and text[s:e] == "cora.holm@mail.example"
     assert re.match(r"\w", text[s])
+
+
+def test_contexts_of_marks_only():
+    """Names between marks alone are learned as contexts, and skipping quiet texts does not lose them."""
+    f = pii_crf.Field({"cora"}, {"holm"})
+    docs = [(t, pii_crf.Doc(t)) for t in ["Fine! - Cora Holm ) * done"] * 3]
+    f.person_labels(docs)
+    f.ready()
+    assert ("!", "-") in f.left and (")", "*") in f.right
+    text = "Sweet! - Zorvik Talmen ) * over"
+    assert not f.quiet(text) and f.windows(pii_crf.Doc(text), text) and f.quiet("Sweet - over")
+
+
+def test_every_chain_is_trained_in_every_epoch(monkeypatch):
+    f, calls = pii_crf.Field({"cora"}, {"holm"}), []
+    monkeypatch.setattr(pii_crf.Field, "marginals", lambda self, un, real=pii_crf.Field.marginals: calls.append(len(un)) or real(self, un))
+    f.train(["Write to cora.holm@mail.example soon."] * 10, epochs=6)
+    assert len(calls) == 60
