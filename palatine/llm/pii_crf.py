@@ -8,11 +8,12 @@ tied by skip edges whose potential is learned, and loopy message passing lets
 the mentions of a document agree.  Documents without skip edges are solved
 exactly in one forward-backward pass.
 
-The field is trained here, by conditional likelihood, on a bounded sample of
-documents (TRAIN_DOCS, those with the smallest hash) with distant labels: value
-shapes, shapes after a label word, and person spans that the name lexicon
-supports, plus spans in the contexts which such spans have.  Everything else,
-decoding above all, runs over all documents in executors.
+What the corpus says, the name words beside those of the lexicon and the contexts
+of names, is counted over all documents in executors.  Only the field's weights
+are fitted here, by conditional likelihood, on a bounded sample of documents
+(TRAIN_DOCS, those with the smallest hash) with distant labels: value shapes,
+shapes after a label word, and person spans that the name lexicon supports, plus
+spans in the contexts which such spans have.  Decoding runs over all documents.
 
 Defined cases: null and empty texts have no mentions; a (doc_id, text) given
 several times counts once; an empty table or lexicon gives an empty or weaker
@@ -24,17 +25,19 @@ from __future__ import annotations
 import pickle
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark import cloudpickle
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from palatine.llm.common import spread
+from palatine.llm.common import checkpoint, spread
 
 TRAIN_DOCS = 5000
+#: Counts a task holds before it passes them on.
+HELD = 500_000
 KINDS = ("email", "phone", "id_number", "address", "person")
 LABELS = ("O", *(f"{p}-{k}" for k in KINDS for p in "BI"))
 WINDOW, ROUNDS = 5, 4
@@ -413,69 +416,104 @@ class Field:
         words = [doc.low[k] for k in range(i, j) if _is_word(doc.tok[k])]
         return sum(w in self.given or w in self.family for w in words), len(words)
 
-    def widen_lexicon(self, docs: list[tuple[str, Doc]], least: int = 2) -> None:
+    def named(self, text: str) -> bool:
+        """Whether a word of the lexicon stands in the text."""
+        return any((low := w.lower()) in self.given or low in self.family for w in WORDS.findall(text))
+
+    def neighbour_counts(self, text: str) -> Counter:
+        """(what, word, neighbour): uses and capital uses of every word; given and family names of the lexicon beside it."""
+        words = WORDS.findall(text)
+        out = Counter(("use", w.lower(), "") for w in words)
+        out.update(("capital", w.lower(), "") for w in words if w[0].isupper())
+        if not self.named(text):
+            return out
+        doc = Doc(text)
+        low, tok = doc.low, doc.tok
+        for i in range(len(low) - 1):
+            if not _is_word(tok[i]) or i in doc.shape:
+                continue
+            j = i + 3 if i + 3 < len(low) and len(tok[i + 1]) == 1 and tok[i + 1].isalpha() and tok[i + 2] == "." else i + 1
+            if j in doc.shape or not _is_word(tok[j]) or (text[doc.end[i] : doc.start[j]].strip() and j == i + 1) or doc.line_break(text, j):
+                continue
+            if low[j] in self.family:
+                out["before family", low[i], low[j]] += 1
+            if low[j] in self.given:
+                out["before given", low[i], low[j]] += 1
+            if low[i] in self.given:
+                out["after given", low[j], low[i]] += 1
+        return out
+
+    def widen_lexicon(self, counts: DataFrame, least: int = 2) -> None:
         """Add the words that stand like given or family names beside words the lexicon has.
 
         A given name stands before family names (an initial may come between)
         but, unlike a cue word, not before given names; names are often capital.
+        ``counts`` (what, a, b, n) are the neighbour counts of all documents.
         """
-        before_family: dict[str, set[str]] = {}
-        before_given: Counter = Counter()
-        hits: Counter = Counter()
-        capital: Counter = Counter()
-        after_given: dict[str, set[str]] = {}
-        uses: Counter = Counter()
-        for text, doc in docs:
-            low, tok = doc.low, doc.tok
-            uses.update(low)
-            capital.update(t.lower() for t in tok if t[0].isupper())
-            for i in range(len(low) - 1):
-                if not _is_word(tok[i]) or i in doc.shape:
-                    continue
-                j = i + 3 if i + 3 < len(low) and len(tok[i + 1]) == 1 and tok[i + 1].isalpha() and tok[i + 2] == "." else i + 1
-                if j in doc.shape or not _is_word(tok[j]) or (text[doc.end[i] : doc.start[j]].strip() and j == i + 1) or doc.line_break(text, j):
-                    continue
-                if low[j] in self.family:
-                    before_family.setdefault(low[i], set()).add(low[j])
-                    hits[low[i]] += 1
-                if low[j] in self.given:
-                    before_given[low[i]] += 1
-                if low[i] in self.given:
-                    after_given.setdefault(low[j], set()).add(low[i])
-        name_like = {w for w, n in uses.items() if capital[w] >= 0.3 * n and w not in TITLES}
-        new_given = {w for w, x in before_family.items() if len(x) >= least and w in name_like and w not in self.family and before_given[w] <= 0.1 * hits[w]}
-        new_family = {w for w, x in after_given.items() if len(x) >= least and w in name_like and w not in self.given | new_given}
+
+        def of(what: str, value) -> Column:
+            return F.coalesce(F.sum(F.when(F.col("what") == what, value)), F.lit(0))
+
+        one = F.lit(1)
+        words = counts.groupBy("a").agg(
+            of("use", F.col("n")).alias("uses"), of("capital", F.col("n")).alias("capital"), of("before family", one).alias("families"), of("before family", F.col("n")).alias("hits"), of("before given", F.col("n")).alias("not_given"), of("after given", one).alias("givens")
+        )
+        found = [r for r in words.where(f"10 * capital >= 3 * uses and (families >= {least} or givens >= {least})").collect() if r.a not in TITLES]
+        new_given = {r.a for r in found if r.families >= least and r.a not in self.family and 10 * r.not_given <= r.hits}
+        new_family = {r.a for r in found if r.givens >= least and r.a not in self.given | new_given}
         self.given, self.family = self.given | new_given, self.family | new_family
 
+    def strong_spans(self, doc: Doc, text: str) -> tuple[list[tuple[int, int]], list[tuple[int, int]]]:
+        """Person-like spans, and those of them that the lexicon supports."""
+        spans = [s for i in range(len(doc.tok)) for s in name_spans(doc, i, text)]
+        strong = []
+        for i, j in spans:
+            known, words = self._known(doc, i, j)
+            form_ok = doc.tok[i].isupper() == doc.tok[j - 1].isupper() or "," in doc.tok[i:j] or len(doc.tok[i]) == 1
+            titled = i >= 1 and (doc.low[i - 1] in TITLES or doc.tok[i - 1] == ".")
+            if known == words and words >= 2 and form_ok or (known and (len(doc.tok[i]) == 1 or (titled and doc.low[i - 2 if doc.tok[i - 1] == "." else i - 1] in TITLES))):
+                strong.append((i, j))
+        return spans, strong
+
+    def span_contexts(self, text: str) -> Counter:
+        """(side, token, token): the contexts of the supported person spans."""
+        out: Counter = Counter()
+        if self.named(text):
+            doc = Doc(text)
+            for i, j in self.strong_spans(doc, text)[1]:
+                l, r = self.context(doc, text, i, j)
+                out["left", *l] += 1
+                out["right", *r] += 1
+        return out
+
+    def learn_contexts(self, counts: DataFrame, count: Callable[[Callable[[str], Counter]], DataFrame], least: int = 3) -> None:
+        """Contexts that spans often have and that seldom stand elsewhere; ``counts`` as of span_contexts, ``count`` counts over all documents."""
+        seen = {(r.what, r.a, r.b): r.n for r in counts.where(F.col("n") >= least).collect()}
+        pairs = frozenset((a, b) for _, a, b in seen)
+
+        def uses(text: str) -> Counter:
+            tok = TOKEN.findall(text)
+            return Counter(("use", *p) for p in zip(tok, tok[1:]) if p in pairs)
+
+        total = {(r.a, r.b): r.n for r in count(uses).collect()} if pairs else {}
+        often = {k for k, n in seen.items() if 10 * n >= 3 * total.get(k[1:], 0)}
+        self.left = {(a, b) for side, a, b in often if side == "left" and b != "^"}
+        self.right = {(a, b) for side, a, b in often if side == "right" and a != "$"}
+
+    def learn_corpus(self, texts: DataFrame) -> None:
+        """Widen the lexicon and learn the contexts of names from all of ``texts`` (text), repeated texts included."""
+
+        def count(of: Callable[[str], Counter]) -> DataFrame:
+            return counted(texts, of)
+
+        self.widen_lexicon(checkpoint(count(self.neighbour_counts)))
+        self.learn_contexts(count(self.span_contexts), count)
+
     def person_labels(self, docs: list[tuple[str, Doc]]) -> list[list[tuple[int, int]]]:
         """Person spans supported by the lexicon, then those in the contexts of such spans."""
-        support, seen = [], []
-        lefts: Counter = Counter()
-        rights: Counter = Counter()
-        all_l: Counter = Counter()
-        all_r: Counter = Counter()
-        for text, doc in docs:
-            spans = [s for i in range(len(doc.tok)) for s in name_spans(doc, i, text)]
-            strong = []
-            for i, j in spans:
-                known, words = self._known(doc, i, j)
-                form_ok = doc.tok[i].isupper() == doc.tok[j - 1].isupper() or "," in doc.tok[i:j] or len(doc.tok[i]) == 1
-                titled = i >= 1 and (doc.low[i - 1] in TITLES or doc.tok[i - 1] == ".")
-                if known == words and words >= 2 and form_ok or (known and (len(doc.tok[i]) == 1 or (titled and doc.low[i - 2 if doc.tok[i - 1] == "." else i - 1] in TITLES))):
-                    strong.append((i, j))
-                    l, r = self.context(doc, text, i, j)
-                    lefts[l] += 1
-                    rights[r] += 1
-            support.append(strong)
-            seen.append(spans)
-            for a, b in zip(doc.tok, doc.tok[1:]):
-                all_l[a, b] += 1
-                all_r[a, b] += 1
-        # a context is one that spans often have and that seldom stands elsewhere
-        self.left = {c for c, n in lefts.items() if n >= 3 and n >= 0.3 * all_l[c] and c[1] != "^"}
-        self.right = {c for c, n in rights.items() if n >= 3 and n >= 0.3 * all_r[c] and c[0] != "$"}
         out = []
-        for (text, doc), strong, spans in zip(docs, support, seen):
+        for text, doc in docs:
+            spans, strong = self.strong_spans(doc, text)
             good = []
             for i, j in spans:
                 l, r = self.context(doc, text, i, j)
@@ -492,7 +530,6 @@ class Field:
 
     def train(self, texts: list[str], epochs: int = 6, rate: float = 0.25) -> None:
         docs = [(t, Doc(t)) for t in texts]
-        self.widen_lexicon(docs)
         persons = self.person_labels(docs)
         number = {x: i for i, x in enumerate(LABELS)}
         chains, pairs, single = [], Counter(), Counter()
@@ -559,13 +596,38 @@ class Field:
         del total
 
 
+def counted(texts: DataFrame, of: Callable[[str], Counter], held: int = HELD) -> DataFrame:
+    """(what, a, b, n): the counts ``of`` each text, added up over ``texts`` (text); tasks pass on sums, not texts."""
+    shared = texts.sparkSession.sparkContext.broadcast(cloudpickle.dumps(of))
+    names = ["what", "a", "b", "n"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        f, sums = pickle.loads(shared.value), Counter()
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            if sums:
+                cols = list(zip(*((*k, n) for k, n in sums.items())))
+                yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.string()) for c in cols[:3]), pa.array(cols[3], pa.int64())], names=names)
+                sums.clear()
+
+        for b in batches:
+            for t in b.column(0):
+                sums.update(f(t.as_py()))
+                if len(sums) > held:
+                    yield from flush()
+        yield from flush()
+
+    return texts.mapInArrow(run, "what string, a string, b string, n bigint").groupBy("what", "a", "b").agg(F.sum("n").alias("n"))
+
+
 def train_field(docs: DataFrame, lexicon: DataFrame, sample: int = TRAIN_DOCS) -> Field:
-    """A field trained on the ``sample`` documents of the smallest hashes; ``lexicon`` (token, role)."""
-    words = [(r[0].lower(), (r[1] or "").lower()) for r in lexicon.select("token", "role").where("token is not null").limit(100_000).collect()]
+    """A field that knows the name words and contexts of all ``docs``, its weights fitted on the ``sample`` documents of the smallest hashes; ``lexicon`` (token, role)."""
+    words = [(r[0].lower(), (r[1] or "").lower()) for r in lexicon.select("token", "role").where("token is not null").distinct().collect()]
     field = Field({w for w, r in words if r == "given"}, {w for w, r in words if r != "given"})
-    h = F.xxhash64("doc_id", "text")
-    rows = docs.where("doc_id is not null").where(F.length("text") > 0).select(h.alias("h"), "text").orderBy("h", "text").limit(2 * sample).collect()
-    field.train(list({r[0]: r[1] for r in rows}.values())[:sample])  # a document given twice counts once
+    once = docs.select("doc_id", "text").where("doc_id is not null").where(F.length("text") > 0).distinct()  # a document given twice counts once
+    once = checkpoint(once.select(F.xxhash64("doc_id", "text").alias("h"), "text"))
+    field.learn_corpus(spread(once.select("text")))
+    field.train([r[0] for r in once.orderBy("h", "text").limit(sample).select("text").collect()])
     return field
 
 

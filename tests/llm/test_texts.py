@@ -190,11 +190,10 @@ def test_positions_count_code_points(field_and_rows):
     assert re.match(r"\w", text[s])
 
 
-def test_contexts_of_marks_only():
+def test_contexts_of_marks_only(spark):
     """Names between marks alone are learned as contexts, and skipping quiet texts does not lose them."""
     f = pii_crf.Field({"cora"}, {"holm"})
-    docs = [(t, pii_crf.Doc(t)) for t in ["Fine! - Cora Holm ) * done"] * 3]
-    f.person_labels(docs)
+    f.learn_corpus(spark.createDataFrame([("Fine! - Cora Holm ) * done",)] * 3, "text string"))
     f.ready()
     assert ("!", "-") in f.left and (")", "*") in f.right
     text = "Sweet! - Zorvik Talmen ) * over"
@@ -206,3 +205,20 @@ def test_every_chain_is_trained_in_every_epoch(monkeypatch):
     monkeypatch.setattr(pii_crf.Field, "marginals", lambda self, un, real=pii_crf.Field.marginals: calls.append(len(un)) or real(self, un))
     f.train(["Write to cora.holm@mail.example soon."] * 10, epochs=6)
     assert len(calls) == 60
+
+
+def test_corpus_statistics_cover_all_documents(spark):
+    """Names and contexts that only documents outside the sample show are learned."""
+    rows = [(i, f"Nothing of note in lot {i}.") for i in range(60)]
+    rows += [(100 + i, f"Blend by maker Alto Zorvik for us. Later Cora Zorvik left.") for i in range(3)] + [(200, "Alto Holm and Berin Kerr")]
+    docs = spark.createDataFrame(rows + rows, "doc_id bigint, text string")
+    field = pii_crf.train_field(docs, spark.createDataFrame(NAMES, "token string, role string"), sample=1)
+    assert "zorvik" in field.family and ("by", "maker") in field.left and ("for", "us") in field.right
+    assert field.left == {("by", "maker"), (".", "Later")}
+
+
+def test_counts_flush(spark):
+    texts = spark.createDataFrame([("Alto holm alto",)] * 4, "text string")
+    f = pii_crf.Field({"alto"}, {"holm"})
+    got = {(r.what, r.a, r.b): r.n for r in pii_crf.counted(texts, f.neighbour_counts, held=1).collect()}
+    assert got["use", "alto", ""] == 8 and got["capital", "alto", ""] == 4 and got["before family", "alto", "holm"] == 4
