@@ -91,13 +91,13 @@ class ChatClient:
         raise AssertionError
 
 
-def ask(rows: DataFrame, client: Callable[..., Reply], prompt: str = "messages", parallel: int | None = None, policy: str = "record", fallback: str | None = None) -> DataFrame:
+def ask(rows: DataFrame, client: Callable[..., Reply], prompt: str = "messages", parallel: int | None = None, policy: str = "record", prompts: str | None = None) -> DataFrame:
     """``rows`` with (reply, finish_reason, error), checkpointed.
 
     ``record`` keeps provider errors in their row, ``abort`` ends the run at the
-    first; a spent quota always ends it.  A reply cut off by length is asked
-    again with the prompts of ``fallback`` (an array of prompts), whose replies
-    come as one JSON array text.  ``parallel`` bounds the calls at a time.
+    first; a spent quota always ends it.  With ``prompts`` (the name of an array of
+    prompts) each row has several calls, whose replies come as one JSON array
+    text.  ``parallel`` bounds the calls at a time.
     """
     if policy not in POLICIES:
         raise ValueError(f"policy must be one of {POLICIES}")
@@ -109,11 +109,12 @@ def ask(rows: DataFrame, client: Callable[..., Reply], prompt: str = "messages",
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             got = []
-            for k, cell in enumerate(batch[prompt]):
-                r = client(chat(cell))
-                if fallback and (r.finish_reason == "length" or r.content is None):
-                    singles = [client(chat(p)) for p in batch[fallback].iloc[k]]
-                    r = Reply(json.dumps([s.content for s in singles], ensure_ascii=False), "fallback", next((s.error for s in singles if s.error), None))
+            for cell in batch[prompts or prompt]:
+                if prompts:
+                    singles = [client(chat(p)) for p in cell]
+                    r = Reply(json.dumps([s.content for s in singles], ensure_ascii=False), "several", next((s.error for s in singles if s.error), None))
+                else:
+                    r = client(chat(cell))
                 if r.error and policy == "abort":
                     raise RuntimeError(r.error)
                 got.append(r)

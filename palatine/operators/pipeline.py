@@ -93,18 +93,24 @@ def food_agent(rows: DataFrame, demos: DataFrame, selected: DataFrame, evidence:
 
 
 def molecule_agent(rows: DataFrame, demos: DataFrame, evidence: DataFrame, client: Callable[..., Reply], done: DataFrame | None = None, policy: str = "record", show_evidence: bool = True, parallel: int | None = None) -> DataFrame:
-    """(id, hypotheses, selected_hypothesis_index, predicted_molecules, audit, error); falls back to three single replies."""
+    """(id, hypotheses, selected_hypothesis_index, predicted_molecules, audit, error); falls back to three single replies.
+
+    The fallback is asked where the batch reply was cut off, holds no three
+    valid hypotheses or is an error; it is a checkpointed stage of its own.
+    """
     todo = with_demos(pending(rows, done), demos).join(evidence.select("id", "block"), "id", "left")
     block = F.coalesce("block", F.lit(""))
     food, partial, n = F.col("target_food"), F.col("partial_molecules"), F.col("n")
     singles = F.array(*[prompts.molecules_scientist_prompt(food, partial, n, block, F.col("demos"), k) for k in range(3)])
     ask1 = todo.withColumn("messages", prompts.molecules_scientist_prompt(food, partial, n, block, F.col("demos"))).withColumn("singles", singles)
-    asked = ask(ask1, client, policy=policy, parallel=parallel, fallback="singles")
+    batch = ask(ask1, client, policy="record", parallel=parallel).withColumn("hypotheses", F.when(F.coalesce("finish_reason", F.lit("")) != "length", parse.hypotheses_molecules("reply", partial, n)))
+    redo = batch.where("hypotheses is null").drop("reply", "finish_reason", "error", "hypotheses")
     replies = F.from_json("reply", "array<string>")
     one = F.transform(replies, lambda r: F.struct(parse.final_molecules(parse.reply_molecules_agent(r), partial, n)["molecules"].alias("predicted_molecules"), F.lit("").alias("rationale")))
-    three = F.when(F.col("finish_reason") == "fallback", F.when((F.size(one) == 3) & F.forall(one, lambda h: F.size(h["predicted_molecules"]) > 0), one)).otherwise(parse.hypotheses_molecules("reply", partial, n))
-    made = asked.withColumn("hypotheses", three)
-    failed = made.where("hypotheses is null").select("id", F.coalesce("error", F.lit("hypotheses_parse_failed")).alias("error"))
+    three = F.when((F.size(one) == 3) & F.forall(one, lambda h: F.size(h["predicted_molecules"]) > 0), one)
+    again = ask(redo, client, policy=policy, parallel=parallel, prompts="singles").withColumn("hypotheses", three)
+    made = batch.where("hypotheses is not null").unionByName(again)
+    failed = again.where("hypotheses is null").select("id", F.coalesce("error", F.lit("hypotheses_parse_failed")).alias("error"))
     task = F.concat(F.lit("Food: "), first_truthy(food), F.lit("\nKnown molecules: "), parse.joined(partial))
     review: Column = prompts.reviewer_prompt(task, prompts.molecule_demos(F.col("demos")), parse.numbered_molecules("hypotheses"), block if show_evidence else None)
     ask2 = made.where("hypotheses is not null").drop("reply", "finish_reason", "error").withColumn("messages", review)

@@ -171,6 +171,24 @@ def test_molecule_agent(spark):
     assert r.predicted_molecules == ["z"]
 
 
+
+def test_molecule_agent_asks_singles(spark):
+    bad = {"bad json": "nonsense", "two": '{"hypotheses": [{"predicted_molecules": ["a"]}, {"predicted_molecules": ["b"]}]}', "nothing new": '{"hypotheses": [' + ", ".join(['{"predicted_molecules": ["K"]}'] * 3) + "]}", "down": None}
+
+    def client(messages, options=None):
+        text = messages[-1]["content"]
+        if "exactly three" in text:
+            reply = next(v for k, v in bad.items() if k in text)
+            return model.Reply(reply, error=None if reply else "HTTP 500")
+        return model.Reply('{"selected_hypothesis_index": 1}' if "selected" in text else '{"predicted_molecules": ["z"]}')
+
+    rows = spark.createDataFrame([(k, k, ["K"], 2) for k in bad], "id string, target_food string, partial_molecules array<string>, n bigint")
+    demos = spark.createDataFrame([], "id string, rank int, demo_id string, target_food string, partial_molecules array<string>, missing_molecules array<string>")
+    none = spark.createDataFrame([], "id string, block string")
+    got = pipeline.molecule_agent(rows, demos, none, client, policy="abort").collect()
+    assert {r.id: (r.predicted_molecules, r.error) for r in got} == {k: (["z"], None) for k in bad}
+
+
 def test_judge_memo(spark):
     keys = spark.createDataFrame([("a", "A"), ("b", "B"), ("c", "C")], "key string, surface string")
     cache = spark.createDataFrame([("a", "x")], "food string, category string")
