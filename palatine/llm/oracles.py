@@ -96,6 +96,7 @@ _P5 = _P5_ROWS + " SELECT molecule_a, molecule_b FROM pairs WHERE 1000 * n_ab >=
 _P5_LLR = _P5_ROWS + f"""
 SELECT molecule_a, molecule_b, n_ab, n_a, n_b, round(CAST(n_ab * n AS DOUBLE) / CAST(n_a * n_b AS DOUBLE), 6) AS lift,
   round(2.0 * ({_CELLS} - ({_SIDES}) + {_xlogx("n")}), 4) AS llr FROM pairs"""
+_P5_PAIRS = _P5_LLR.replace(" WHERE n_ab >= 5)", ")")
 
 _QUALIFIERS = "a|an|the|raw|fresh|organic|ripe|probably|maybe|cooked|dried|whole|main"
 _P6 = f"""
@@ -147,6 +148,7 @@ def oracle_sql() -> dict[str, str]:
         "p4_collapsed": _P4_COLLAPSED,
         "p5_found": _P5,
         "p5_llr": _P5_LLR,
+        "p5_pairs": _P5_PAIRS,
         "p6_found": _P6,
         "p7_found": _P7,
         "p9_found": _P9,

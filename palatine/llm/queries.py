@@ -88,10 +88,19 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return pairs.where("n_ab * n >= 3 * n_a * n_b").select(F.col("item_a").alias("molecule_a"), F.col("item_b").alias("molecule_b"))
 
 
+def _p5_counts(spark: SparkSession, d: str, min_count: int) -> DataFrame:
+    pairs = cooccur.cooccurrence(_baskets(spark, d), min_count=min_count)
+    return pairs.select(F.col("item_a").alias("molecule_a"), F.col("item_b").alias("molecule_b"), "n_ab", "n_a", "n_b", F.round("lift", 6).alias("lift"), F.round("llr", 4).alias("llr"))
+
+
 def p5_llr(spark: SparkSession, d: str) -> DataFrame:
     """Counts, lift and log-likelihood ratio of the pairs that occur five times or more."""
-    pairs = cooccur.cooccurrence(_baskets(spark, d), min_count=5)
-    return pairs.select(F.col("item_a").alias("molecule_a"), F.col("item_b").alias("molecule_b"), "n_ab", "n_a", "n_b", F.round("lift", 6).alias("lift"), F.round("llr", 4).alias("llr"))
+    return _p5_counts(spark, d, 5)
+
+
+def p5_pairs(spark: SparkSession, d: str) -> DataFrame:
+    """Counts, lift and log-likelihood ratio of every pair that occurs."""
+    return _p5_counts(spark, d, 1)
 
 
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
@@ -158,6 +167,7 @@ def queries() -> dict:
         "p4_collapsed": p4_collapsed,
         "p5_found": p5_found,
         "p5_llr": p5_llr,
+        "p5_pairs": p5_pairs,
         "p6_found": p6_found,
         "p7_found": p7_found,
         "p7_splits": p7_splits,

@@ -6,7 +6,7 @@ from itertools import combinations
 
 from pyspark.sql import functions as F
 
-from palatine.llm import cooccur, format_dups
+from palatine.llm import cooccur, format_dups, queries
 
 
 def test_cooccurrence(spark):
@@ -40,6 +40,12 @@ def test_cooccurrence_long_and_empty(spark):
     assert cooccur.cooccurrence(spark.createDataFrame([(["a"],)], "items array<string>")).count() == 0
 
 
+def test_every_pair_comes_out(spark, monkeypatch):
+    df = spark.createDataFrame([(["a", "b"],)] * 5 + [(["a", "c"],)], "items array<string>")
+    monkeypatch.setattr(queries, "_baskets", lambda s, d: df)
+    assert {(r.molecule_a, r.molecule_b, r.n_ab) for r in queries.queries()["p5_pairs"](spark, "").collect()} == {("a", "b", 5), ("a", "c", 1)}
+
+
 LINES = [
     ("a", '{"id": "x-1", "f": "Black Currant"}'),
     ("b", '\t{"f":"blackcurrant","id":"X1"}\r'),
