@@ -2,10 +2,11 @@
 
 Texts are cut into words, numbers and single marks, labelled O, B-kind or
 I-kind.  Windows of tokens around anything that might be personal (value shapes,
-name words, titles, initials, learned contexts) form linear chains; tokens
-outside every window are O.  Equal words in different places of a document are
-tied by skip edges whose potential is learned, and loopy message passing lets
-the mentions of a document agree.  Documents without skip edges are solved
+name words, titles, initials, label words, numbers, learned contexts, words of a
+likely mention wherever they recur) form linear chains; tokens outside every
+window are O.  Equal and similar words in different places of a document are
+tied by skip edges whose potential is learned, and loopy message passing, until
+the messages settle, lets the mentions of a document agree.  Documents without skip edges are solved
 exactly in one forward-backward pass.
 
 What the corpus says, the name words beside those of the lexicon and the contexts
@@ -24,6 +25,7 @@ from __future__ import annotations
 
 import pickle
 import re
+import unicodedata
 from collections import Counter
 from collections.abc import Callable, Iterator
 
@@ -40,7 +42,9 @@ TRAIN_DOCS = 5000
 HELD = 500_000
 KINDS = ("email", "phone", "id_number", "address", "person")
 LABELS = ("O", *(f"{p}-{k}" for k in KINDS for p in "BI"))
-WINDOW, ROUNDS = 5, 4
+WINDOW = 5
+#: Messages have settled when they change by less; after so many rounds each step is shorter than the last, so that they do.
+TOLERANCE, FULL_STEPS = 1e-3, 20
 FORBIDDEN = -1e4
 
 TOKEN = re.compile(r"[^\W\d_]+|\d+|[^\s\w]|_")
@@ -80,6 +84,7 @@ SHAPES: tuple[tuple[str, str, re.Pattern], ...] = (
 DIGITS = re.compile(r"\d[\d\s()./-]{5,}[\dA-Za-z]")
 INITIAL = re.compile(rf"(?<!{LETTERS}){LETTERS}\.\s*{LETTERS}{{2}}")
 WORDS = re.compile(rf"{LETTERS}+")
+NUMBER = re.compile(r"\d")
 STRASSE = re.compile(r"(?:straße|strasse|weg|gasse|allee|ring|damm|ufer|platz|markt) \d")
 #: A shape is looked for only where one of its words stands in the lower-case text.
 NEEDS = {
@@ -154,6 +159,14 @@ def _is_word(t: str) -> bool:
     return len(t) > 1 and t[0].isalpha()
 
 
+def similar(t: str) -> str:
+    """What a word has in common with those it is tied to: letter case, accents and a final s do not count."""
+    t = t.lower()
+    if not t.isascii():
+        t = "".join(c for c in unicodedata.normalize("NFKD", t) if not unicodedata.combining(c))
+    return t[:-1] if len(t) > 4 and t[-1] == "s" else t
+
+
 def name_spans(doc: Doc, i: int, text: str) -> list[tuple[int, int]]:
     """Ends of the person-like spans that begin at token i: (first, end).
 
@@ -224,10 +237,15 @@ class Field:
         right = ("$", "") if j >= len(doc.tok) else (doc.tok[j], doc.tok[j + 1] if j + 1 < len(doc.tok) else "$")
         return left, right
 
-    def windows(self, doc: Doc, text: str) -> list[tuple[int, int]]:
+    def windows(self, doc: Doc, text: str, again: frozenset[str] = frozenset()) -> list[tuple[int, int]]:
+        """Stretches of tokens that may hold a mention; ``again`` are words (as of similar) of likely mentions."""
         low, n = doc.low, len(doc.low)
         hot = set(doc.shape)
         for i, t in enumerate(low):
+            if t[0].isdecimal() or (again and similar(t) in again):
+                hot.add(i)
+            if t in ID_WORDS:
+                hot.add(min(i + 1, n - 1))
             if t in self.given or t in self.family or t in TITLES:
                 hot.add(i)
             elif i + 1 < n:
@@ -329,7 +347,7 @@ class Field:
 
     def ready(self) -> None:
         self._et = np.exp(np.maximum(self.trans, -700))
-        self._triggers = frozenset(self.given | self.family | TITLES)
+        self._triggers = frozenset(self.given | self.family | TITLES | ID_WORDS)
         pairs = [(pair, frozenset(t for t in pair if t[:1].isalpha())) for pair in self.left | self.right]
         self._pairs = [words for _, words in pairs if words]
         marks = sorted(rf"{re.escape(a)}\s*{re.escape(b)}" for (a, b), words in pairs if not words and a and b)
@@ -337,53 +355,87 @@ class Field:
 
     def quiet(self, text: str) -> bool:
         """Whether a text without value shapes can have no window at all: cheaper than cutting it into tokens."""
-        if not self._triggers.isdisjoint(WORDS.findall(text.lower())) or INITIAL.search(text) is not None:
+        if not self._triggers.isdisjoint(WORDS.findall(text.lower())) or INITIAL.search(text) is not None or NUMBER.search(text) is not None:
             return False
         if self._marks is not None and self._marks.search(text) is not None:
             return False
         words = frozenset(WORDS.findall(text))
         return not any(p <= words for p in self._pairs)
 
-    def skip_edges(self, doc: Doc, wins: list[tuple[int, int]]) -> list[tuple[tuple[int, int], tuple[int, int]]]:
-        """Neighbouring occurrences of equal words, as (window, offset) pairs; words inside value shapes are not tied."""
+    def tied(self, doc: Doc, i: int) -> bool:
+        """Whether token i is a word that may be tied to others; words inside value shapes are not."""
+        t = doc.low[i]
+        return len(t) > 2 and t[0].isalpha() and i not in doc.shape and t not in TITLES
+
+    def skip_edges(self, doc: Doc, wins: list[tuple[int, int]], again: frozenset[str] = frozenset()) -> list[tuple[tuple[int, int], tuple[int, int]]]:
+        """Neighbouring occurrences of equal or similar words, as (window, offset) pairs."""
         last: dict[str, tuple[int, int]] = {}
         out = []
         for v, (a, b) in enumerate(wins):
             for i in range(a, b):
-                t = doc.low[i]
-                if len(t) > 2 and t[0].isalpha() and i not in doc.shape and t not in TITLES and (doc.tok[i][0].isupper() or t in self.given or t in self.family):
-                    if t in last:
-                        out.append((last[t], (v, i - a)))
-                    last[t] = (v, i - a)
+                if self.tied(doc, i):
+                    t, key = doc.low[i], similar(doc.low[i])
+                    if doc.tok[i][0].isupper() or t in self.given or t in self.family or key in again:
+                        if key in last:
+                            out.append((last[key], (v, i - a)))
+                        last[key] = (v, i - a)
         return out
 
+    def settle(self, un: list[np.ndarray], edges: list[tuple[tuple[int, int], tuple[int, int]]]) -> None:
+        """Pass messages along the edges until they settle, and add them to ``un``."""
+        es = np.exp(self.skip)
+        msg, into, out_of = {}, {}, {}
+        for e in edges:
+            for x, y in (e, e[::-1]):
+                msg[x, y] = np.zeros(len(LABELS))
+        for x, y in msg:
+            into.setdefault(y[0], []).append((x, y))
+            out_of.setdefault(x[0], []).append((x, y))
+        active, step, rounds = set(into), 1.0, 0
+        while active:
+            moved = {}
+            for v in active:
+                u = un[v].copy()
+                for x, y in into[v]:
+                    u[y[1]] += msg[x, y]
+                belief = self.marginals(u)
+                for x, y in out_of[v]:
+                    out = belief[x[1]] - msg[y, x]
+                    out = np.exp(out - out.max()) @ es
+                    change = step * (np.log(out / out.sum() + 1e-12) - msg[x, y])
+                    if np.abs(change).max() >= TOLERANCE:
+                        moved[x, y] = msg[x, y] + change
+            msg.update(moved)
+            active = {y[0] for _, y in moved}
+            rounds += 1
+            if rounds > FULL_STEPS:
+                step *= 0.9
+        for (_, y), m in msg.items():
+            un[y[0]][y[1]] += m
+
     def decode(self, text: str) -> list[tuple[str, int, int]]:
         spans = value_spans(text)
         if not spans and self.quiet(text):
             return []
         doc = Doc(text, spans)
-        wins = self.windows(doc, text)
+        wins, again = self.windows(doc, text), frozenset()
         if not wins:
             return []
-        un = [self.unary(doc, text, a, b) for a, b in wins]
-        edges = self.skip_edges(doc, wins)
+        known: dict[tuple[int, int], np.ndarray] = {}
+        while True:
+            for w in wins:
+                if w not in known:
+                    known[w] = self.unary(doc, text, *w)
+            likely = {similar(doc.low[a + k]) for a, b in wins for k in np.flatnonzero(self.marginals(known[a, b])[:, 0] < np.log(0.5)) if self.tied(doc, a + k)}
+            again |= likely
+            wider = self.windows(doc, text, again)
+            if wider == wins:
+                break
+            wins = wider
+        un = [known[w].copy() for w in wins]
+        edges = self.skip_edges(doc, wins, again)
         if edges:
-            es = np.exp(self.skip)
-            msg = {}
-            for x, y in edges:
-                msg[x, y] = msg[y, x] = np.zeros(len(LABELS))
-            tied = {v for e in edges for v, _ in e}
-            for _ in range(ROUNDS):
-                extra = {v: un[v].copy() for v in tied}
-                for (_, y), m in msg.items():
-                    extra[y[0]][y[1]] += m
-                belief = {v: self.marginals(u) for v, u in extra.items()}
-                for x, y in list(msg):
-                    out = belief[x[0]][x[1]] - msg[y, x]
-                    out = np.exp(out - out.max()) @ es
-                    msg[x, y] = np.log(out / out.sum() + 1e-12)
-            for (_, y), m in msg.items():
-                un[y[0]][y[1]] = un[y[0]][y[1]] + m
+            self.settle(un, edges)
         found = []
         for (a, b), u in zip(wins, un):
             path = self.viterbi(u)
@@ -408,6 +460,13 @@ class Field:
         if (i, j) in known:
             return i, j
         wider = [s for s in known if s[0] <= i and s[1] >= j]
+        if kind in ("phone", "id_number") and not wider and not any(k in doc.shape for k in range(i, j)):  # a form that is no shape: up to its outer blanks
+            while i > 1 and doc.end[i - 1] == doc.start[i] and (doc.tok[i - 1].isalnum() or (doc.tok[i - 1] in "-/." and doc.end[i - 2] == doc.start[i - 1] and doc.tok[i - 2].isalnum())):
+                i -= 1
+            n = len(doc.tok)
+            while j < n and doc.end[j - 1] == doc.start[j] and (doc.tok[j].isalnum() or (doc.tok[j] in "-/." and j + 1 < n and doc.end[j] == doc.start[j + 1] and doc.tok[j + 1].isalnum())):
+                j += 1
+            return i, j
         return min(wider, key=lambda s: (s[1] - s[0], -s[0])) if wider else (i, j)
 
     # -- training
@@ -544,12 +603,18 @@ class Field:
                 y[i] = number[f"B-{kind}"]
                 for k in range(i + 1, j):
                     y[k] = number[f"I-{kind}"]
-            wins = self.windows(doc, text)
+            again = frozenset(similar(doc.low[k]) for i, j, _ in spans for k in range(i, j) if self.tied(doc, k))
+            wins = self.windows(doc, text, again)
+            # once more with all shapes but e-mail hidden, so that values of other forms are known by what stands around them
+            bare = Doc(text, [x for x in value_spans(text) if x[2] == "email"])
+            hidden = [w for w in self.windows(bare, text, again) if any(i in doc.shape and i not in bare.shape for i in range(*w))]
+            for d, some in ((doc, wins), (bare, hidden)):
+                for a, b in some:
+                    rows = [np.array([self.row.setdefault(f, len(self.row)) for f in self.features(d, text, i)]) for i in range(a, b)]
+                    chains.append((rows, np.array(y[a:b])))
             for a, b in wins:
-                rows = [np.array([self.row.setdefault(f, len(self.row)) for f in self.features(doc, text, i)]) for i in range(a, b)]
-                chains.append((rows, np.array(y[a:b])))
                 single.update(y[a:b])
-            for (v, i), (u, j) in self.skip_edges(doc, wins):
+            for (v, i), (u, j) in self.skip_edges(doc, wins, again):
                 p = (y[wins[v][0] + i], y[wins[u][0] + j])
                 pairs[p] += 1
                 pairs[p[::-1]] += 1

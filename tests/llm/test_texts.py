@@ -222,3 +222,27 @@ def test_counts_flush(spark):
     f = pii_crf.Field({"alto"}, {"holm"})
     got = {(r.what, r.a, r.b): r.n for r in pii_crf.counted(texts, f.neighbour_counts, held=1).collect()}
     assert got["use", "alto", ""] == 8 and got["capital", "alto", ""] == 4 and got["before family", "alto", "holm"] == 4
+
+
+def test_distant_repeat():
+    """A name that only its title tells is found again where nothing around it tells."""
+    import numpy as np
+
+    f = pii_crf.Field({"cora"}, {"holm"})
+    o, b, i = (pii_crf.LABELS.index(x) for x in ("O", "B-person", "I-person"))
+    f.row = {"1": 0, "w-2-1dr .": 1, "w-3-2dr .Aa": 2}
+    f.weights = np.zeros((3, len(pii_crf.LABELS)))
+    f.weights[0] = -9
+    f.weights[0, [o, b, i]] = 1, 0, 0
+    f.weights[1, b], f.weights[2, i] = 6, 6
+    f.skip[np.ix_([o, b, i], [o, b, i])] = [[0.25, -1.5, -1.5], [-1.5, 1.5, 0.7], [-1.5, 0.7, 1.5]]
+    f.ready()
+    text = "Dr. Zorvik Talmen came. " + "the residue of plum jam smelled of hay and grass " * 4 + "whereas zesty Zorvik Talmens wrote"
+    assert [(k, text[s:e]) for k, s, e in f.decode(text)] == [("person", "Zorvik Talmen"), ("person", "Zorvik Talmens")]
+
+
+def test_forms_that_are_no_shape(field_and_rows):
+    field = field_and_rows[0]
+    for text, kind, value in [("On file: passport 12-3456-78. ", "id_number", "12-3456-78"), ("Samples go to 7 Elm Terrace, Norvik. ", "address", "7 Elm Terrace, Norvik")]:
+        assert not pii_crf.value_spans(text) and [(k, text[s:e]) for k, s, e in field.decode(text)] == [(kind, value)]
+    assert field.decode("Lot 12-3456-78 of fig tasted sweet. ") == []
