@@ -1,20 +1,27 @@
 """Personal information in free text, by a skip-chain conditional random field.
 
-Texts are cut into words, numbers and single marks, labelled O, B-kind or
-I-kind.  Windows of tokens around anything that might be personal (value shapes,
-name words, titles, initials, label words, numbers, learned contexts, words of a
-likely mention wherever they recur) form linear chains; tokens outside every
-window are O.  Equal and similar words in different places of a document are
-tied by skip edges whose potential is learned, and loopy message passing, until
-the messages settle, lets the mentions of a document agree.  Documents without skip edges are solved
+Texts are cut into words, numbers and single marks (``token_arrays``), labelled
+O, B-kind or I-kind.  Every token of a text is scored.  Tokens on which any
+label but O could win, and their surroundings, form linear chains; a token is
+left O unasked only if the potentials say so themselves: where even the sum of
+each feature's best case for another label stays FAR below O.  Equal and similar
+words in different places of a text are tied by skip edges, words of a likely
+mention wherever they recur, and loopy message passing, until the messages
+settle, lets the mentions of a text agree.  Texts without edges are solved
 exactly in one forward-backward pass.
 
 What the corpus says, the name words beside those of the lexicon and the contexts
 of names, is counted over all documents in executors.  Only the field's weights
-are fitted here, by conditional likelihood, on a bounded sample of documents
-(TRAIN_DOCS, those with the smallest hash) with distant labels: value shapes,
-shapes after a label word, and person spans that the name lexicon supports, plus
-spans in the contexts which such spans have.  Decoding runs over all documents.
+are fitted on the driver, on a bounded sample: at most TRAIN_DOCS documents of at
+most TRAIN_CHARS characters, those with the smallest hash.  The labels are
+distant: value shapes, shapes after a label word, person spans that the name
+lexicon supports, and spans in the contexts which such spans have; a second copy
+of each text hides the shapes, so that values of other forms are known by what
+stands around them.  Unary, transition and skip potentials are all fitted by the
+gradient of the conditional likelihood (observed less expected counts, expected
+ones from node, chain-pair and edge beliefs of the same message passing).
+
+All steps work on arrays over the tokens of many texts at once.
 
 Defined cases: null and empty texts have no mentions; a (doc_id, text) given
 several times counts once; an empty table or lexicon gives an empty or weaker
@@ -24,8 +31,6 @@ result, no error; positions count code points.
 from __future__ import annotations
 
 import pickle
-import re
-import unicodedata
 from collections import Counter
 from collections.abc import Callable, Iterator
 
@@ -36,167 +41,76 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from palatine.llm.common import checkpoint, spread
+from palatine.llm.token_arrays import DIGIT, FORMS, ID_WORDS, KINDS, LETTER, MARK, PAD, SHAPES, TITLES, Shapes, Tokens, chunks, isin, mixed, raw_hashes, word_hashes
 
-TRAIN_DOCS = 5000
+TRAIN_DOCS, TRAIN_CHARS = 3000, 20_000
 #: Counts a task holds before it passes them on.
 HELD = 500_000
-KINDS = ("email", "phone", "id_number", "address", "person")
 LABELS = ("O", *(f"{p}-{k}" for k in KINDS for p in "BI"))
-WINDOW = 5
+K = len(LABELS)
+#: A token is O unasked where the best case of every other label is less than O's by this much; tokens on either side of the others.
+FAR, WINDOW = 6.0, 3
 #: Messages have settled when they change by less; after so many rounds each step is shorter than the last, so that they do.
 TOLERANCE, FULL_STEPS = 1e-3, 20
-FORBIDDEN = -1e4
-
-TOKEN = re.compile(r"[^\W\d_]+|\d+|[^\s\w]|_")
-LETTERS = r"[^\W\d_]"
-_W = rf"{LETTERS}+(?:[-’']{LETTERS}+)*"
-_S = r"\s{1,3}"
-_ZIP = r"\d{5}"
-
-# Street words, label words of identity numbers and titles, in the languages of the texts.
-STREET = "Street|Avenue|Lane|Road|Drive|Court|Close|Way|St\\.|Ave\\.|Ln\\.|Rd\\.|Dr\\.|Boulevard|Blvd\\.?"
-ID_WORDS = {
-    "passport", "identity", "id", "national", "social", "security", "ssn", "tax", "licence", "license", "driver", "insurance",
-    "reisepass", "ausweis", "personalausweis", "steuernummer", "ausweisnummer", "steuer",
-    "pasaporte", "documento", "nacional", "dni", "nie", "nif", "identidad",
-    "passeport", "identité", "carte", "sécurité", "sociale",
-}
-TITLES = {"mr", "mrs", "ms", "miss", "dr", "prof", "professor", "herr", "frau", "sr", "sra", "señor", "señora", "don", "doña", "mme", "mlle", "monsieur", "madame"}
-
-SHAPES: tuple[tuple[str, str, re.Pattern], ...] = (
-    ("email", "plain", re.compile(r"(?<![\w.+-])[\w.+-]*\w@\w[\w-]*(?:\.\w[\w-]*)*\.[^\W\d_]{2,}(?![\w@])")),
-    ("email", "spelt", re.compile(r"(?<![\w.+-])[\w.+-]*\w\s?[\[(]\s?at\s?[\])]\s?\w[\w-]*(?:(?:\s?[\[(]\s?dot\s?[\])]\s?|\.)\w[\w-]*)+(?!\w)", re.I)),
-    ("address", "box", re.compile(rf"(?<!\w)(?:P\.?{_S[:2]}?O\.?{_S}|Post{_S}Office{_S})?Box{_S}\d+,{_S}(?:{_ZIP}{_S})?{_W}", re.I)),
-    ("address", "flat", re.compile(rf"(?<!\w)(?:Flat|Unit|Apartment|Apt\.?|Suite){_S}\d+\w?,{_S}\d+\w?{_S}{_W}{_S}(?:{STREET}),{_S}(?:{_ZIP}{_S})?{_W}(?:{_S}{_ZIP}(?!\d))?", re.I)),
-    ("address", "street", re.compile(rf"(?<![\w.,-])\d+[A-Za-z]?{_S}{_W}{_S}(?:{STREET})(?:,{_S}(?:Apt\.?|Flat|Unit|Suite){_S}\d+\w?)?,{_S}(?:{_ZIP}{_S})?{_W}(?:{_S}{_ZIP}(?!\d))?", re.I)),
-    ("address", "strasse", re.compile(rf"(?<!\w)(?:{_W}(?:straße|strasse|weg|gasse|allee|ring|damm|ufer)|(?:Am|An{_S}der|Im){_S}{_W}(?:platz|markt|weg|straße)|{_W}platz){_S}\d+[a-z]?,{_S}(?:{_ZIP}{_S})?{_W}", re.I)),
-    ("address", "calle", re.compile(rf"(?<!\w)(?:Calle|Avenida|Plaza|Paseo|Camino){_S}(?:de{_S}(?:la{_S})?)?{_W},?{_S}\d+\w?,{_S}(?:{_ZIP}{_S})?{_W}", re.I)),
-    ("address", "rue", re.compile(rf"(?<![\w.,-])\d+\w?,?{_S}(?:rue|avenue|boulevard|place|chemin|allée|quai){_S}(?:(?:de{_S}(?:la{_S})?)|du{_S}|des{_S})?{_W},{_S}(?:{_ZIP}{_S})?{_W}", re.I)),
-    ("phone", "plus", re.compile(r"(?<![\w+])\+\d{1,3}(?:[\s./-]?\(?\d{2,4}\)?){2,4}(?![\d-])")),
-    ("phone", "area", re.compile(r"(?<![\w.+-])(?:1[\s.-])?(?:\(\d{3}\)\s?|\d{3}[\s.-])\d{3}[\s.-]?\d{4}(?![\w-])")),
-    ("phone", "zero", re.compile(r"(?<![\w.+-])0\d{3,4}(?:\s\d{3}\s?\d{3}|/\d{3}-\d{4,6})(?![\w-])")),
-    ("id_number", "3-2-4", re.compile(r"(?<![\w.+-])\d{3}-\d{2}-\d{4}(?![\w-]|\.\d)")),
-    ("id_number", "3 2 4", re.compile(r"(?<![\w.+-])\d{3}\s\d{2}\s\d{4}(?![\w-]|\.\d)")),
-    ("id_number", "4 4 4", re.compile(r"(?<![\w.+-])\d{4}\s\d{4}\s\d{4}(?![\w-]|\.\d)")),
-    ("id_number", "8-A", re.compile(r"(?<![\w.+-])\d{8}-[A-Za-z](?![\w-])")),
-    ("id_number", "AA7", re.compile(r"(?<![\w.+-])[A-Za-z]{2}\s?\d{7}(?![\w-])")),
-)
-DIGITS = re.compile(r"\d[\d\s()./-]{5,}[\dA-Za-z]")
-INITIAL = re.compile(rf"(?<!{LETTERS}){LETTERS}\.\s*{LETTERS}{{2}}")
-WORDS = re.compile(rf"{LETTERS}+")
-NUMBER = re.compile(r"\d")
-STRASSE = re.compile(r"(?:straße|strasse|weg|gasse|allee|ring|damm|ufer|platz|markt) \d")
-#: A shape is looked for only where one of its words stands in the lower-case text.
-NEEDS = {
-    "plain": ("@",),
-    "spelt": ("at]", "at)", "at ]", "at )"),
-    "box": ("box",),
-    "flat": ("flat", "unit", "apt", "apartment", "suite"),
-    "street": (" street", " avenue", " lane", " road", " drive", " court", " close", " way", " st.", " ave.", " ln.", " rd.", " dr.", " boulevard", " blvd"),
-    "strasse": ("straße ", "strasse ", "weg ", "gasse ", "allee ", "ring ", "damm ", "ufer ", "platz ", "markt "),
-    "calle": ("calle", "avenida", "plaza", "paseo", "camino"),
-    "rue": (" rue", " avenue", " boulevard", " place", " chemin", " allée", " quai"),
-}
-
-
-def value_spans(text: str) -> list[tuple[int, int, str, str]]:
-    """(start, end, kind, form) of everything that has the shape of a value; overlaps included."""
-    low = " ".join(text.lower().split())
-    number = DIGITS.search(text) is not None
-    out = []
-    for kind, form, rx in SHAPES:
-        if (any(w in low for w in NEEDS[form]) if form in NEEDS else number) and (form != "strasse" or STRASSE.search(low)):
-            out += [(m.start(), m.end(), kind, form) for m in rx.finditer(text)]
-    return out
+#: Rounds of messages per gradient, passes over the sample, parts of a pass, step size.
+ROUNDS, EPOCHS, PARTS, RATE = 1, 6, 8, 1.0
+#: Of the sample's texts without a label one in so many is used; length of the pieces that chains are cut into, where O meets O.
+PLAIN, PIECE = 4, 32
+#: Tokens that a label word looks ahead.
+NEAR = 7
+#: Slots of the feature table (a power of two).
+SLOTS = 1 << 21
+EDGE, TITLE, GIVEN, FAMILY, ONE_UPPER, ONE_LOWER, UPPER, CAPITAL, LOWER, NUMBER = 1, 6, 7, 8, 9, 10, 11, 12, 13, 14  # token classes; 2 to 5 are the value shapes
 
+_TITLES, _ID_WORDS = word_hashes(TITLES), word_hashes(ID_WORDS)
 
-class Doc:
-    """Tokens of a text with the shapes found in it."""
 
-    __slots__ = ("low", "end", "shape", "start", "tok")
+# -- person-like spans
 
-    def __init__(self, text: str, spans: list[tuple[int, int, str, str]] | None = None):
-        found = [(m.group(), m.start(), m.end()) for m in TOKEN.finditer(text)]
-        self.tok = [f[0] for f in found]
-        self.low = [t.lower() for t in self.tok]
-        self.start = [f[1] for f in found]
-        self.end = [f[2] for f in found]
-        self.shape: dict[int, tuple[str, str, bool]] = {}  # token -> kind, form, first
-        spans = value_spans(text) if spans is None else spans
-        if spans:
-            at = {s: i for i, s in enumerate(self.start)}
-            taken: list[tuple[int, int]] = []
-            for a, b, kind, form in sorted(spans, key=lambda x: (x[0] - x[1], x[0])):  # longest first
-                if any(x < b and a < y for x, y in taken) or a not in at:
-                    continue
-                taken.append((a, b))
-                i = at[a]
-                self.shape[i] = (kind, form, True)
-                while i + 1 < len(self.tok) and self.end[i + 1] <= b:
-                    i += 1
-                    self.shape[i] = (kind, form, False)
-
-    def shape_spans(self) -> list[tuple[int, int, str, str]]:
-        """(first token, end token, kind, form)"""
-        out, i = [], 0
-        while i < len(self.tok):
-            if i in self.shape and self.shape[i][2]:
-                j = i + 1
-                while j in self.shape and not self.shape[j][2]:
-                    j += 1
-                out.append((i, j, *self.shape[i][:2]))
-                i = j
-            else:
-                i += 1
-        return out
-
-    def line_break(self, text: str, i: int) -> bool:
-        """Whether the text breaks off before token i."""
-        return i == 0 or i >= len(self.tok) or any(c in "\n\r" for c in text[self.end[i - 1] : self.start[i]])
 
+class View:
+    """Tokens of one text from ``lo`` to ``hi`` as strings."""
 
-def _is_word(t: str) -> bool:
-    return len(t) > 1 and t[0].isalpha()
+    def __init__(self, t: Tokens, s: Shapes, lo: int, hi: int):
+        self.lo, self.hi = lo, hi
+        self.tok = t.strings(np.arange(lo, hi))
+        self.low = [x.lower() for x in self.tok]
+        self.shaped = s.kind[lo:hi] > 0
+        self.broken, self.glued = t.broken[lo : hi + 1], t.glued[lo : hi + 1]
 
+    def titled(self, k: int) -> bool:
+        return k >= 1 and (self.low[k - 1] in TITLES or (self.tok[k - 1] == "." and k >= 2 and self.low[k - 2] in TITLES))
 
-def similar(t: str) -> str:
-    """What a word has in common with those it is tied to: letter case, accents and a final s do not count."""
-    t = t.lower()
-    if not t.isascii():
-        t = "".join(c for c in unicodedata.normalize("NFKD", t) if not unicodedata.combining(c))
-    return t[:-1] if len(t) > 4 and t[-1] == "s" else t
 
-
-def name_spans(doc: Doc, i: int, text: str) -> list[tuple[int, int]]:
-    """Ends of the person-like spans that begin at token i: (first, end).
+def name_spans(v: View, i: int) -> list[tuple[int, int]]:
+    """The person-like spans that begin at token i of the view: (first, end).
 
     Title-less: given [initial.] family[-family], initial. family[-family],
     FAMILY, given.  A single word counts only after a title.
     """
-    tok, n = doc.tok, len(doc.tok)
+    tok, n = v.tok, len(v.tok)
 
     def word(k: int) -> bool:
-        return k < n and _is_word(tok[k]) and k not in doc.shape
+        return k < n and len(tok[k]) > 1 and tok[k][0].isalpha() and not v.shaped[k]
 
     def near(k: int) -> bool:
-        return k < n and not (doc.line_break(text, k) and k > i)
+        return k < n and not (v.broken[k] and k > i)
 
     def hyphen(k: int) -> int:
         """End of a word with hyphenated parts that begins at k."""
-        while k + 2 < n and tok[k + 1] == "-" and doc.end[k] == doc.start[k + 1] and doc.end[k + 1] == doc.start[k + 2] and word(k + 2):
+        while k + 2 < n and tok[k + 1] == "-" and v.glued[k + 1] and v.glued[k + 2] and word(k + 2):
             k += 2
         return k + 1
 
     def initial(k: int) -> bool:
-        return k + 1 < n and len(tok[k]) == 1 and tok[k].isalpha() and k not in doc.shape and tok[k + 1] == "." and doc.end[k] == doc.start[k + 1]
+        return k + 1 < n and len(tok[k]) == 1 and tok[k].isalpha() and not v.shaped[k] and tok[k + 1] == "." and bool(v.glued[k + 1])
 
     out = []
-    titled = i >= 1 and (doc.low[i - 1] in TITLES or (doc.tok[i - 1] == "." and i >= 2 and doc.low[i - 2] in TITLES))
     if initial(i) and word(i + 2) and near(i + 2):
         out.append((i, hyphen(i + 2)))
     if word(i):
         end = hyphen(i)
-        if titled:
+        if v.titled(i):
             out.append((i, end))
         if initial(end) and near(end) and word(end + 2) and near(end + 2):
             out.append((i, hyphen(end + 2)))
@@ -207,299 +121,356 @@ def name_spans(doc: Doc, i: int, text: str) -> list[tuple[int, int]]:
     return out
 
 
+# -- features
+
+
+class Features:
+    """Feature hashes of all tokens, one column per template; 0 stands for a feature a token does not have."""
+
+    def __init__(self, field: Field, t: Tokens, s: Shapes):
+        n, step = len(t), t.doc * PAD + PAD
+        at, size = np.arange(n) + step, n + PAD * (len(t.texts) + 1)
+        cls, word, tight = (np.zeros(size, np.uint64) for _ in range(3))
+        cls[:] = EDGE
+        cls[at], word[at] = field.classes(t, s), t.low
+        tight[at] = (t.broken[:-1] * 1 + t.broken[1:] * 2 + t.glued[:-1] * 4 + t.glued[1:] * 8).astype(np.uint64)
+        c = {d: cls[at + d] for d in range(-2, 3)}
+        w = {d: word[at + d] for d in range(-4, 5)}
+        b = tight[at]
+        self.columns: list[Callable[[], np.ndarray]] = []
+        shaped = np.flatnonzero(s.kind)
+
+        def add(number: int, *parts: np.ndarray, plain: bool = False) -> None:
+            """A template; ``plain`` ones speak only of tokens outside value shapes."""
+
+            def column() -> np.ndarray:
+                h = mixed(np.full(n, number, np.uint64), *parts)
+                if plain:
+                    h[shaped] = 0
+                return h
+
+            self.columns.append(column)
+
+        for k, parts in enumerate(((c[0],), (c[-1], c[0]), (c[0], c[1]), (c[-1], c[0], c[1]), (c[-2], c[-1], c[0]), (c[0], c[1], c[2]), (b, c[0]), (b, c[-1], c[0], c[1]))):
+            add(k + 1, *parts)
+        label = np.flatnonzero(isin(t.low, _ID_WORDS))
+        near = np.minimum(label[:, None] + np.arange(1, NEAR + 1), max(n - 1, 0))
+        labelled = np.zeros(n, np.uint64)
+        labelled[near[t.doc[near] == t.doc[label][:, None]]] = 1
+        add(9, labelled, t.kind.astype(np.uint64))
+        words = ((w[-1],), (w[-2],), (w[1],), (w[2],), (w[-2], w[-1]), (w[1], w[2]), (w[-1], c[0]), (c[0], w[1]), (w[-3], w[-2], c[0]), (c[0], w[2], w[3]), (c[0], w[3], w[4]), (w[-4], w[-3], c[0]))
+        for k, parts in enumerate(words):
+            add(k + 11, *parts, plain=True)
+        own = mixed(np.full(n, 31, np.uint64), w[0])
+        own[shaped] = self._shape_features(t, s, shaped, word, at)
+        self.columns.append(lambda: own)
+
+    @staticmethod
+    def _shape_features(t: Tokens, s: Shapes, shaped: np.ndarray, word: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """Form, whether first, the word before the value, and whether a label word stands within four tokens before it."""
+        head = s.head[shaped]
+        label = np.zeros(len(shaped), bool)
+        for d in range(1, 5):
+            label |= isin(word[at[head] - d], _ID_WORDS)
+        return mixed(np.full(len(shaped), 32, np.uint64), (s.form[shaped] * 4 + (shaped == head) * 2 + label).astype(np.uint64))
+
+
+class Table:
+    """Feature hashes to weight rows: a slot per hash, checked by a tag; row 0 is that of unknown features."""
+
+    def __init__(self, hashes: np.ndarray):
+        self.row, self.tag = np.zeros(SLOTS, np.int32), np.zeros(SLOTS, np.uint32)
+        slot = (hashes & np.uint64(SLOTS - 1)).astype(np.int64)
+        self.row[slot] = np.arange(1, len(hashes) + 1)
+        self.tag[slot] = (hashes >> np.uint64(32)).astype(np.uint32)
+        self.size = len(hashes) + 1
+
+    def rows(self, hashes: np.ndarray) -> np.ndarray:
+        slot = (hashes & np.uint64(SLOTS - 1)).astype(np.int64)
+        return np.where(self.tag[slot] == (hashes >> np.uint64(32)).astype(np.uint32), self.row[slot], 0)
+
+
+# -- chains
+
+
+class Chains:
+    """Chains that lie one after another in an array of ``n`` rows, prepared for steps over all of them at once."""
+
+    def __init__(self, lengths: np.ndarray):
+        order = np.argsort(-lengths, kind="stable")
+        start = (np.cumsum(lengths) - lengths)[order]
+        self.lengths, self.start, self.order = lengths[order], start, order
+        most = int(lengths.max()) if len(lengths) else 0
+        self.alive = np.searchsorted(-self.lengths, -np.arange(most), "left")  # chains longer than each step
+        self.n = int(lengths.sum())
+
+    def steps(self) -> Iterator[tuple[int, np.ndarray]]:
+        for k, m in enumerate(self.alive):
+            yield k, self.start[:m] + k
+
+
+def forward_backward(unary: np.ndarray, chains: Chains, trans: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(node beliefs, forward, local, backward) of chains with O on either side; all normalised per token."""
+    e = np.exp(trans)
+    local = np.exp(unary - unary.max(1, keepdims=True, initial=-np.inf))
+    fwd, bwd = np.empty_like(local), np.empty_like(local)
+    for k, at in chains.steps():
+        x = (e[0] if k == 0 else fwd[at - 1] @ e) * local[at]
+        fwd[at] = x / (x.sum(1, keepdims=True) + 1e-300)
+    last = chains.start + chains.lengths - 1
+    bwd[last] = e[:, 0]
+    for k in range(len(chains.alive) - 2, -1, -1):
+        at = chains.start[: chains.alive[k + 1]] + k
+        x = (local[at + 1] * bwd[at + 1]) @ e.T
+        bwd[at] = x / (x.sum(1, keepdims=True) + 1e-300)
+    node = fwd * bwd
+    node /= node.sum(1, keepdims=True) + 1e-300
+    return node, fwd, local, bwd
+
+
+def viterbi(unary: np.ndarray, chains: Chains, trans: np.ndarray) -> np.ndarray:
+    """The best labels of the chains."""
+    best, back, path = np.empty_like(unary), np.empty(unary.shape, np.int8), np.zeros(len(unary), np.int64)
+    for k, at in chains.steps():
+        if k == 0:
+            best[at] = unary[at] + trans[0]
+        else:
+            x = best[at - 1][:, :, None] + trans
+            back[at] = x.argmax(1)
+            best[at] = x.max(1) + unary[at]
+    last = chains.start + chains.lengths - 1
+    path[last] = (best[last] + trans[:, 0]).argmax(1)
+    for k in range(len(chains.alive) - 2, -1, -1):
+        at = chains.start[: chains.alive[k + 1]] + k
+        path[at] = back[at + 1, path[at + 1]]
+    return path
+
+
+class Messages:
+    """Log messages along skip edges (i, j), both ways; a token has one edge to either side at most."""
+
+    def __init__(self, i: np.ndarray, j: np.ndarray):
+        self.i, self.j = i, j
+        self.to_j, self.to_i = np.zeros((len(i), K)), np.zeros((len(i), K))
+
+    def add_to(self, unary: np.ndarray) -> np.ndarray:
+        out = unary.copy()
+        out[self.j] += self.to_j
+        out[self.i] += self.to_i
+        return out
+
+    def pass_on(self, node: np.ndarray, skip: np.ndarray, step: float = 1.0, some: np.ndarray | slice = slice(None)) -> np.ndarray:
+        """One message over each edge of ``some`` from its ends' beliefs; the largest change of every edge."""
+        e = np.exp(skip)
+        change = []
+        for ends, back, into, way in ((self.i, self.to_i, self.to_j, e), (self.j, self.to_j, self.to_i, e.T)):
+            out = np.log(node[ends[some]] + 1e-300) - back[some]
+            out = np.exp(out - out.max(1, keepdims=True, initial=-np.inf)) @ way
+            out = step * (np.log(out / out.sum(1, keepdims=True) + 1e-12) - into[some])
+            change.append(out)
+        self.to_j[some] += change[0]
+        self.to_i[some] += change[1]
+        return np.maximum(np.abs(change[0]).max(1, initial=0), np.abs(change[1]).max(1, initial=0))
+
+
 class Field:
     """The trained field."""
 
     def __init__(self, given: set[str], family: set[str]):
         self.given, self.family = given, family
-        self.row: dict[str, int] = {}
-        self.weights = np.zeros((0, len(LABELS)))
-        self.trans = np.zeros((len(LABELS), len(LABELS)))
-        self.first = np.zeros(len(LABELS))
-        self.skip = np.zeros((len(LABELS), len(LABELS)))
         self.left: set[tuple[str, str]] = set()
         self.right: set[tuple[str, str]] = set()
-        for a, x in enumerate(LABELS):
-            for b, y in enumerate(LABELS):
-                if y[0] == "I" and (x == "O" or x[2:] != y[2:]):
-                    self.trans[a, b] = FORBIDDEN
-            if x[0] == "I":
-                self.first[a] = FORBIDDEN
-
-    # -- windows and features
-
-    def context(self, doc: Doc, text: str, i: int, j: int) -> tuple[tuple[str, str], tuple[str, str]]:
-        """The two tokens before i and from j on; titles before i do not count."""
-        a = i
-        while a >= 1 and (doc.low[a - 1] in TITLES or (doc.tok[a - 1] == "." and a >= 2 and doc.low[a - 2] in TITLES)):
-            a -= 1
-        left = ("", "^") if a == 0 else (doc.tok[a - 2] if a >= 2 else "", doc.tok[a - 1])
-        right = ("$", "") if j >= len(doc.tok) else (doc.tok[j], doc.tok[j + 1] if j + 1 < len(doc.tok) else "$")
-        return left, right
-
-    def windows(self, doc: Doc, text: str, again: frozenset[str] = frozenset()) -> list[tuple[int, int]]:
-        """Stretches of tokens that may hold a mention; ``again`` are words (as of similar) of likely mentions."""
-        low, n = doc.low, len(doc.low)
-        hot = set(doc.shape)
-        for i, t in enumerate(low):
-            if t[0].isdecimal() or (again and similar(t) in again):
-                hot.add(i)
-            if t in ID_WORDS:
-                hot.add(min(i + 1, n - 1))
-            if t in self.given or t in self.family or t in TITLES:
-                hot.add(i)
-            elif i + 1 < n:
-                pair = (doc.tok[i], doc.tok[i + 1])
-                if pair in self.left and i + 2 < n:
-                    hot.add(i + 2)
-                if pair in self.right and i >= 1:
-                    hot.add(i - 1)
-                if len(t) == 1 and low[i + 1] == "." and doc.tok[i].isupper() and i + 2 < n and _is_word(doc.tok[i + 2]) and doc.tok[i + 2][0].isupper():
-                    hot.add(i)
-        out: list[list[int]] = []
-        for i in sorted(hot):
-            a, b = max(0, i - WINDOW), min(n, i + WINDOW + 1)
-            if out and a <= out[-1][1]:
-                out[-1][1] = max(out[-1][1], b)
-            else:
-                out.append([a, b])
-        return [(a, b) for a, b in out]
-
-    def _class(self, doc: Doc, i: int) -> str:
-        if i < 0:
-            return "^"
-        if i >= len(doc.tok):
-            return "$"
-        t, low = doc.tok[i], doc.low[i]
-        if i in doc.shape:
-            return "*" + doc.shape[i][0]
-        if low in TITLES:
-            return "title"
-        if low in self.given:
-            return "given"
-        if low in self.family:
-            return "family"
-        if t.isdigit():
-            return f"d{min(len(t), 6)}"
-        if not t[0].isalpha():
-            return t
-        if len(t) == 1:
-            return "A" if t.isupper() else "a"
-        return "AA" if t.isupper() else "Aa" if t[0].isupper() else "aa"
-
-    def features(self, doc: Doc, text: str, i: int) -> list[str]:
-        n = len(doc.tok)
-        c = [self._class(doc, k) for k in range(i - 2, i + 3)]
-        w = [doc.low[k] if 0 <= k < n else "" for k in range(i - 4, i + 5)]
-        brk = ("n" if doc.line_break(text, i) else "") + ("N" if doc.line_break(text, i + 1) else "")
-        brk += ("l" if i and doc.end[i - 1] == doc.start[i] else "") + ("r" if i + 1 < n and doc.end[i] == doc.start[i + 1] else "")
-        out = ["1", f"c{c[2]}", f"c-{c[1]}{c[2]}", f"c+{c[2]}{c[3]}", f"c={c[1]}|{c[2]}|{c[3]}", f"c<{c[0]}|{c[1]}|{c[2]}", f"c>{c[2]}|{c[3]}|{c[4]}", f"b{brk}{c[2]}", f"b{brk}{c[1]}|{c[2]}|{c[3]}"]
-        if i in doc.shape:
-            kind, form, first = doc.shape[i]
-            s = f"{kind}{form}{'B' if first else 'I'}"
-            j = i
-            while not doc.shape[j][2]:
-                j -= 1
-            before = [doc.low[k] for k in range(max(0, j - 4), j)]
-            out += [f"s{s}", f"s{s}<{before[-1] if before else '^'}", f"s{s}id{any(t in ID_WORDS for t in before)}"]
-        else:
-            out += [f"w{w[4]}", f"w-1{w[3]}", f"w-2{w[2]}", f"w+1{w[5]}", f"w+2{w[6]}", f"w-2-1{w[2]} {w[3]}", f"w+1+2{w[5]} {w[6]}", f"w-1{w[3]}{c[2]}", f"w+1{c[2]}{w[5]}", f"w-3-2{w[1]} {w[2]}{c[2]}", f"w+2+3{c[2]}{w[6]} {w[7]}", f"w+3+4{c[2]}{w[7]} {w[8]}", f"w-4-3{w[0]} {w[1]}{c[2]}"]
-        return out
+        self.table = Table(np.zeros(0, np.uint64))
+        self.weights = np.zeros((1, K), np.float32)
+        self.bias = np.zeros(K)
+        self.allowed = np.array([[y[0] != "I" or (x != "O" and x[2:] == y[2:]) for y in LABELS] for x in LABELS])
+        self.trans = np.where(self.allowed, 0.0, -1e4)
+        self.skip = np.zeros((K, K))
+        self.ready()
 
-    def unary(self, doc: Doc, text: str, a: int, b: int) -> np.ndarray:
-        row, weights = self.row, self.weights
-        out = np.zeros((b - a, len(LABELS)))
-        for i in range(a, b):
-            rows = [r for f in self.features(doc, text, i) if (r := row.get(f)) is not None]
-            if rows:
-                out[i - a] = weights[rows].sum(0)
-        return out
+    def ready(self) -> None:
+        """To be called when words, contexts or weights have changed."""
+        sets = ((word_hashes(self.family), FAMILY), (word_hashes(self.given), GIVEN), (_TITLES, TITLE))
+        self._words = np.unique(np.concatenate([w for w, _ in sets]))  # known words and their classes; of several the last counts
+        self._class = np.zeros(len(self._words), np.int64)
+        self._role = np.zeros(len(self._words), np.int64)  # 1 given, 2 family, 3 both
+        for w, code in sets:
+            self._class[isin(self._words, w)] = code
+            self._role[isin(self._words, w)] |= {GIVEN: 1, FAMILY: 2}.get(code, 0)
+        self._left, self._right = _pair_hashes(self.left), _pair_hashes(self.right)
+        self._best = (self.weights[:, 1:].max(1) - self.weights[:, 0]).astype(np.float32)
+        self._bias = float(self.bias[1:].max() - self.bias[0])
+
+    # -- features
+
+    def classes(self, t: Tokens, s: Shapes) -> np.ndarray:
+        c = np.where(t.all_upper, UPPER, np.where(t.first_upper, CAPITAL, LOWER))
+        one = (t.kind == LETTER) & (t.length == 1)
+        c[one] = np.where(t.first_upper[one], ONE_UPPER, ONE_LOWER)
+        c = np.where(t.kind == DIGIT, NUMBER + np.minimum(t.length, 6), np.where(t.kind == MARK, 1000 + t.mark, c))
+        known = self._known(t)
+        c = np.where(known >= 0, self._class[known], c)
+        return np.where(s.kind > 0, 1 + s.kind, c).astype(np.uint64)
+
+    def _known(self, t: Tokens) -> np.ndarray:
+        """Place of each token among the known words, -1 for others."""
+        at = np.minimum(np.searchsorted(self._words, t.low), len(self._words) - 1)
+        return np.where(self._words[at] == t.low, at, -1)
+
+    def roles(self, t: Tokens) -> np.ndarray:
+        """1 for a given name, 2 for a family name, 3 for both, 0 for other words."""
+        known = self._known(t)
+        return np.where(known >= 0, self._role[known], 0)
+
+    def named(self, t: Tokens) -> np.ndarray:
+        """Whether a token is a name word."""
+        return self.roles(t) > 0
+
+    def tied(self, t: Tokens, s: Shapes) -> np.ndarray:
+        """Whether a token is a word that may be tied to others; words inside value shapes and titles are not."""
+        return (t.kind == LETTER) & (t.length > 2) & (s.kind == 0) & ~isin(t.low, _TITLES)
+
+    def edges(self, t: Tokens, at: np.ndarray, may: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Neighbouring occurrences of equal or similar words among the tokens ``at`` (ascending) which ``may``: places in ``at``."""
+        k = np.flatnonzero(may)
+        key = mixed(t.doc[at[k]].astype(np.uint64), t.base[at[k]])
+        order = np.argsort(key, kind="stable")
+        same = key[order[1:]] == key[order[:-1]]
+        return k[order[:-1][same]], k[order[1:][same]]
+
+    # -- decoding
 
-    # -- inference
-
-    def marginals(self, unary: np.ndarray) -> np.ndarray:
-        """Log marginals of a chain by forward-backward; its neighbours outside are O."""
-        n, k = unary.shape
-        fwd, bwd = np.empty((n, k)), np.zeros((n, k))
-        fwd[0] = self.first + unary[0]
-        for i in range(1, n):
-            m = fwd[i - 1].max()
-            fwd[i] = unary[i] + m + np.log(np.exp(fwd[i - 1] - m) @ self._et + 1e-300)
-        for i in range(n - 2, -1, -1):
-            x = unary[i + 1] + bwd[i + 1]
-            m = x.max()
-            bwd[i] = m + np.log(self._et @ np.exp(x - m) + 1e-300)
-        both = fwd + bwd
-        m = both.max(1, keepdims=True)
-        return both - m - np.log(np.exp(both - m).sum(1, keepdims=True))
-
-    def viterbi(self, unary: np.ndarray) -> list[int]:
-        n, k = unary.shape
-        best, back = self.first + unary[0], np.empty((n, k), int)
-        for i in range(1, n):
-            x = best[:, None] + self.trans
-            back[i] = x.argmax(0)
-            best = x[back[i], np.arange(k)] + unary[i]
-        path = [int(best.argmax())]
-        for i in range(n - 1, 0, -1):
-            path.append(int(back[i][path[-1]]))
-        return path[::-1]
+    def decode(self, text: str) -> list[tuple[str, int, int]]:
+        return self.decode_all([text])[0]
 
-    def ready(self) -> None:
-        self._et = np.exp(np.maximum(self.trans, -700))
-        self._triggers = frozenset(self.given | self.family | TITLES | ID_WORDS)
-        pairs = [(pair, frozenset(t for t in pair if t[:1].isalpha())) for pair in self.left | self.right]
-        self._pairs = [words for _, words in pairs if words]
-        marks = sorted(rf"{re.escape(a)}\s*{re.escape(b)}" for (a, b), words in pairs if not words and a and b)
-        self._marks = re.compile("|".join(marks)) if marks else None
-
-    def quiet(self, text: str) -> bool:
-        """Whether a text without value shapes can have no window at all: cheaper than cutting it into tokens."""
-        if not self._triggers.isdisjoint(WORDS.findall(text.lower())) or INITIAL.search(text) is not None or NUMBER.search(text) is not None:
-            return False
-        if self._marks is not None and self._marks.search(text) is not None:
-            return False
-        words = frozenset(WORDS.findall(text))
-        return not any(p <= words for p in self._pairs)
-
-    def tied(self, doc: Doc, i: int) -> bool:
-        """Whether token i is a word that may be tied to others; words inside value shapes are not."""
-        t = doc.low[i]
-        return len(t) > 2 and t[0].isalpha() and i not in doc.shape and t not in TITLES
-
-    def skip_edges(self, doc: Doc, wins: list[tuple[int, int]], again: frozenset[str] = frozenset()) -> list[tuple[tuple[int, int], tuple[int, int]]]:
-        """Neighbouring occurrences of equal or similar words, as (window, offset) pairs."""
-        last: dict[str, tuple[int, int]] = {}
-        out = []
-        for v, (a, b) in enumerate(wins):
-            for i in range(a, b):
-                if self.tied(doc, i):
-                    t, key = doc.low[i], similar(doc.low[i])
-                    if doc.tok[i][0].isupper() or t in self.given or t in self.family or key in again:
-                        if key in last:
-                            out.append((last[key], (v, i - a)))
-                        last[key] = (v, i - a)
+    def decode_all(self, texts: list[str]) -> list[list[tuple[str, int, int]]]:
+        """(kind, start, end) of the mentions of each text, in order."""
+        out: list[list[tuple[str, int, int]]] = []
+        for lo, hi in chunks(texts):
+            out += self._decode(texts[lo:hi])
         return out
 
-    def settle(self, un: list[np.ndarray], edges: list[tuple[tuple[int, int], tuple[int, int]]]) -> None:
-        """Pass messages along the edges until they settle, and add them to ``un``."""
-        es = np.exp(self.skip)
-        msg, into, out_of = {}, {}, {}
-        for e in edges:
-            for x, y in (e, e[::-1]):
-                msg[x, y] = np.zeros(len(LABELS))
-        for x, y in msg:
-            into.setdefault(y[0], []).append((x, y))
-            out_of.setdefault(x[0], []).append((x, y))
-        active, step, rounds = set(into), 1.0, 0
-        while active:
-            moved = {}
-            for v in active:
-                u = un[v].copy()
-                for x, y in into[v]:
-                    u[y[1]] += msg[x, y]
-                belief = self.marginals(u)
-                for x, y in out_of[v]:
-                    out = belief[x[1]] - msg[y, x]
-                    out = np.exp(out - out.max()) @ es
-                    change = step * (np.log(out / out.sum() + 1e-12) - msg[x, y])
-                    if np.abs(change).max() >= TOLERANCE:
-                        moved[x, y] = msg[x, y] + change
-            msg.update(moved)
-            active = {y[0] for _, y in moved}
+    def _decode(self, texts: list[str]) -> list[list[tuple[str, int, int]]]:
+        t = Tokens(texts)
+        found: list[list[tuple[str, int, int]]] = [[] for _ in texts]
+        if not len(t):
+            return found
+        s = t.shaped()
+        rows = [self.table.rows(c()) for c in Features(self, t, s).columns]
+        best = np.full(len(t), self._bias, np.float32)
+        for r in rows:
+            best += self._best[r]
+        hot, tied, named = best > -FAR, self.tied(t, s), self.named(t)
+        key = mixed(t.doc.astype(np.uint64), t.base)
+        again = np.zeros(len(t), bool)
+        while True:
+            at, chains = _windows(hot, t.doc)
+            if not len(at):
+                return found
+            unary = np.tile(self.bias, (len(at), 1))
+            for r in rows:
+                unary += self.weights[r[at]]
+            node = forward_backward(unary, chains, self.trans)[0]
+            likely = at[(node[:, 0] < 0.5) & tied[at]]
+            again |= tied & isin(key, np.unique(key[likely]))
+            if not (again & ~hot).any():
+                break
+            hot |= again
+        i, j = self.edges(t, at, tied[at] & (t.first_upper | named | again)[at])
+        if len(i):
+            unary = self.settle(unary, chains, Messages(i, j))
+            node = forward_backward(unary, chains, self.trans)[0]
+        doubt = np.add.reduceat(1 - node[:, 0], np.sort(chains.start))[chains.order]  # below a half, all O is the best path
+        open_ = np.flatnonzero(doubt >= 0.5)
+        if not len(open_):
+            return found
+        some, sub = _subset(chains, open_)
+        path, at = viterbi(unary[some], sub, self.trans), at[some]
+        begin = np.flatnonzero((path > 0) & (path % 2 == 1))
+        for p in begin.tolist():
+            q = p + 1
+            while q < len(path) and path[q] == path[p] + 1 and at[q] == at[q - 1] + 1:
+                q += 1
+            kind = LABELS[path[p]][2:]
+            a, b = self._whole(t, s, kind, int(at[p]), int(at[q - 1]) + 1)
+            found[t.doc[a]].append((kind, int(t.start[a]), int(t.end[b - 1])))
+        return [sorted(set(f), key=lambda x: x[1:]) for f in found]
+
+    def settle(self, unary: np.ndarray, chains: Chains, m: Messages) -> np.ndarray:
+        """Pass messages until they settle; ``unary`` with them added."""
+        chain = np.zeros(len(unary), np.int64)
+        chain[chains.start] = 1
+        chain = np.cumsum(chain) - 1  # number of a token's chain, by place
+        rank = np.argsort(chains.order)
+        active = np.ones(len(m.i), bool)
+        step, rounds = 1.0, 0
+        while active.any():
+            edges = np.flatnonzero(active)
+            touched = np.unique(chain[np.concatenate((m.i[edges], m.j[edges]))])
+            some, sub = _subset(chains, rank[touched])
+            where = np.full(len(unary), -1)
+            where[some] = np.arange(len(some))
+            node = forward_backward(m.add_to(unary)[some], sub, self.trans)[0]
+            full = np.ones((len(unary), K)) if len(some) < len(unary) else np.empty((len(unary), K))
+            full[some] = node
+            moved = m.pass_on(full, self.skip, step, edges) >= TOLERANCE
+            # an edge is asked again if the beliefs at either end may have moved: its chains got a new message
+            stirred = np.zeros(len(chains.start) + 1, bool)
+            stirred[chain[m.i[edges[moved]]]] = stirred[chain[m.j[edges[moved]]]] = True
+            active = stirred[chain[m.i]] | stirred[chain[m.j]]
             rounds += 1
             if rounds > FULL_STEPS:
                 step *= 0.9
-        for (_, y), m in msg.items():
-            un[y[0]][y[1]] += m
+        return m.add_to(unary)
 
-    def decode(self, text: str) -> list[tuple[str, int, int]]:
-        spans = value_spans(text)
-        if not spans and self.quiet(text):
-            return []
-        doc = Doc(text, spans)
-        wins, again = self.windows(doc, text), frozenset()
-        if not wins:
-            return []
-        known: dict[tuple[int, int], np.ndarray] = {}
-        while True:
-            for w in wins:
-                if w not in known:
-                    known[w] = self.unary(doc, text, *w)
-            likely = {similar(doc.low[a + k]) for a, b in wins for k in np.flatnonzero(self.marginals(known[a, b])[:, 0] < np.log(0.5)) if self.tied(doc, a + k)}
-            again |= likely
-            wider = self.windows(doc, text, again)
-            if wider == wins:
-                break
-            wins = wider
-        un = [known[w].copy() for w in wins]
-        edges = self.skip_edges(doc, wins, again)
-        if edges:
-            self.settle(un, edges)
-        found = []
-        for (a, b), u in zip(wins, un):
-            path = self.viterbi(u)
-            i = 0
-            while i < len(path):
-                name = LABELS[path[i]]
-                j = i + 1
-                if name != "O":
-                    while j < len(path) and LABELS[path[j]] == f"I-{name[2:]}":
-                        j += 1
-                    x, y = self._whole(doc, text, name[2:], a + i, a + j)
-                    found.append((name[2:], doc.start[x], doc.end[y - 1]))
-                i = j
-        return found
-
-    def _whole(self, doc: Doc, text: str, kind: str, i: int, j: int) -> tuple[int, int]:
+    def _whole(self, t: Tokens, s: Shapes, kind: str, i: int, j: int) -> tuple[int, int]:
         """The run itself if it has the form of a whole value, else the whole value of that kind it lies in."""
+        lo, hi = t.bounds[t.doc[i]], t.bounds[t.doc[i] + 1]
         if kind == "person":
-            known = [s for k in range(max(0, i - 1), i + 1) for s in name_spans(doc, k, text)]
+            v = View(t, s, max(lo, i - 4), min(hi, j + 8))
+            known = [(a + v.lo, b + v.lo) for k in range(max(0, i - v.lo - 1), i - v.lo + 1) for a, b in name_spans(v, k)]
+            more = lambda k: not t.word[k] or isin(t.low[k : k + 1], self._words)[0]
+            if longer := [x for x in known if x[0] == i and x[1] >= j and all(map(more, range(j, x[1])))]:  # further name words belong to it
+                return max(longer)
         else:
-            known = [(a, b) for a, b, k, _ in doc.shape_spans() if k == kind]
+            known = [(a, b) for a, b, k in s.spans.get(int(t.doc[i]), ()) if k == kind]
         if (i, j) in known:
             return i, j
-        wider = [s for s in known if s[0] <= i and s[1] >= j]
-        if kind in ("phone", "id_number") and not wider and not any(k in doc.shape for k in range(i, j)):  # a form that is no shape: up to its outer blanks
-            while i > 1 and doc.end[i - 1] == doc.start[i] and (doc.tok[i - 1].isalnum() or (doc.tok[i - 1] in "-/." and doc.end[i - 2] == doc.start[i - 1] and doc.tok[i - 2].isalnum())):
+        wider = [x for x in known if x[0] <= i and x[1] >= j]
+        if wider:
+            return min(wider, key=lambda x: (x[1] - x[0], -x[0]))
+        if kind in ("phone", "id_number") and not s.kind[i:j].any():  # a form that is no shape: up to its outer blanks
+            inner = lambda k: t.kind[k] != MARK or t.mark[k] in b"-/."
+            while i > lo and t.glued[i] and (t.kind[i - 1] != MARK or (i - 1 > lo and inner(i - 1) and t.glued[i - 1] and t.kind[i - 2] != MARK)):
                 i -= 1
-            n = len(doc.tok)
-            while j < n and doc.end[j - 1] == doc.start[j] and (doc.tok[j].isalnum() or (doc.tok[j] in "-/." and j + 1 < n and doc.end[j] == doc.start[j + 1] and doc.tok[j + 1].isalnum())):
+            while j < hi and t.glued[j] and (t.kind[j] != MARK or (j + 1 < hi and inner(j) and t.glued[j + 1] and t.kind[j + 1] != MARK)):
                 j += 1
-            return i, j
-        return min(wider, key=lambda s: (s[1] - s[0], -s[0])) if wider else (i, j)
-
-    # -- training
+        return i, j
 
-    def _known(self, doc: Doc, i: int, j: int) -> tuple[int, int]:
-        words = [doc.low[k] for k in range(i, j) if _is_word(doc.tok[k])]
-        return sum(w in self.given or w in self.family for w in words), len(words)
+    # -- corpus statistics
 
-    def named(self, text: str) -> bool:
-        """Whether a word of the lexicon stands in the text."""
-        return any((low := w.lower()) in self.given or low in self.family for w in WORDS.findall(text))
-
-    def neighbour_counts(self, text: str) -> Counter:
+    def neighbour_counts(self, texts: list[str]) -> Counter:
         """(what, word, neighbour): uses and capital uses of every word; given and family names of the lexicon beside it."""
-        words = WORDS.findall(text)
-        out = Counter(("use", w.lower(), "") for w in words)
-        out.update(("capital", w.lower(), "") for w in words if w[0].isupper())
-        if not self.named(text):
-            return out
-        doc = Doc(text)
-        low, tok = doc.low, doc.tok
-        for i in range(len(low) - 1):
-            if not _is_word(tok[i]) or i in doc.shape:
-                continue
-            j = i + 3 if i + 3 < len(low) and len(tok[i + 1]) == 1 and tok[i + 1].isalpha() and tok[i + 2] == "." else i + 1
-            if j in doc.shape or not _is_word(tok[j]) or (text[doc.end[i] : doc.start[j]].strip() and j == i + 1) or doc.line_break(text, j):
-                continue
-            if low[j] in self.family:
-                out["before family", low[i], low[j]] += 1
-            if low[j] in self.given:
-                out["before given", low[i], low[j]] += 1
-            if low[i] in self.given:
-                out["after given", low[j], low[i]] += 1
+        t = Tokens(texts)
+        out: Counter = Counter()
+        words = np.flatnonzero(t.kind == LETTER)
+        for what, at in (("use", words), ("capital", words[t.first_upper[words]])):
+            _, first, n = np.unique(t.low[at], return_index=True, return_counts=True)
+            for w, k in zip(t.strings(at[first]), n.tolist()):
+                out[what, w.lower(), ""] += k
+        s = t.shaped()
+        word = np.append(t.word & (s.kind == 0), np.zeros(4, bool))
+        joined = np.append(~t.broken[1:-1], np.zeros(5, bool)) if len(t) else np.zeros(4, bool)
+        n = len(t)
+        single = np.append((t.kind == LETTER) & (t.length == 1), np.zeros(4, bool))
+        stop = np.append(t.mark == ord("."), np.zeros(4, bool))
+        near = np.flatnonzero(word[:n] & word[1 : n + 1] & joined[:n])
+        far = np.flatnonzero(word[:n] & single[1 : n + 1] & stop[2 : n + 2] & word[3 : n + 3] & joined[:n] & joined[1 : n + 1] & joined[2 : n + 2])
+        i, j = np.concatenate((near, far)), np.concatenate((near + 1, far + 3))
+        roles = self.roles(t)
+        given, family = roles & 1 > 0, roles & 2 > 0
+        for what, a, b in (("before family", i[family[j]], j[family[j]]), ("before given", i[given[j]], j[given[j]]), ("after given", j[given[i]], i[given[i]])):
+            out.update((what, x.lower(), y.lower()) for x, y in zip(t.strings(a), t.strings(b)))
         return out
 
     def widen_lexicon(self, counts: DataFrame, least: int = 2) -> None:
@@ -521,148 +492,279 @@ class Field:
         new_given = {r.a for r in found if r.families >= least and r.a not in self.family and 10 * r.not_given <= r.hits}
         new_family = {r.a for r in found if r.givens >= least and r.a not in self.given | new_given}
         self.given, self.family = self.given | new_given, self.family | new_family
+        self.ready()
 
-    def strong_spans(self, doc: Doc, text: str) -> tuple[list[tuple[int, int]], list[tuple[int, int]]]:
-        """Person-like spans, and those of them that the lexicon supports."""
-        spans = [s for i in range(len(doc.tok)) for s in name_spans(doc, i, text)]
-        strong = []
-        for i, j in spans:
-            known, words = self._known(doc, i, j)
-            form_ok = doc.tok[i].isupper() == doc.tok[j - 1].isupper() or "," in doc.tok[i:j] or len(doc.tok[i]) == 1
-            titled = i >= 1 and (doc.low[i - 1] in TITLES or doc.tok[i - 1] == ".")
-            if known == words and words >= 2 and form_ok or (known and (len(doc.tok[i]) == 1 or (titled and doc.low[i - 2 if doc.tok[i - 1] == "." else i - 1] in TITLES))):
-                strong.append((i, j))
-        return spans, strong
-
-    def span_contexts(self, text: str) -> Counter:
+    def _supported(self, v: View, i: int, j: int) -> bool:
+        """Whether the lexicon supports a person-like span."""
+        words = [v.low[k] for k in range(i, j) if len(v.tok[k]) > 1 and v.tok[k][0].isalpha()]
+        known = sum(w in self.given or w in self.family for w in words)
+        form_ok = v.tok[i].isupper() == v.tok[j - 1].isupper() or "," in v.tok[i:j] or len(v.tok[i]) == 1
+        return (known == len(words) >= 2 and form_ok) or (known > 0 and (len(v.tok[i]) == 1 or v.titled(i)))
+
+    def strong_spans(self, t: Tokens, s: Shapes) -> Iterator[tuple[int, View, list[tuple[int, int]]]]:
+        """(doc, view, spans) of the person-like spans that the lexicon supports."""
+        named = np.flatnonzero(self.named(t))
+        for d in np.unique(t.doc[named]).tolist():
+            v = View(t, s, t.bounds[d], t.bounds[d + 1])
+            starts = {k for i in named[t.doc[named] == d].tolist() for k in range(max(0, i - v.lo - 8), i - v.lo + 1)}
+            yield d, v, [x for k in sorted(starts) for x in name_spans(v, k) if self._supported(v, *x)]
+
+    def span_contexts(self, texts: list[str]) -> Counter:
         """(side, token, token): the contexts of the supported person spans."""
+        t = Tokens(texts)
         out: Counter = Counter()
-        if self.named(text):
-            doc = Doc(text)
-            for i, j in self.strong_spans(doc, text)[1]:
-                l, r = self.context(doc, text, i, j)
+        for _, v, spans in self.strong_spans(t, t.shaped()):
+            for i, j in spans:
+                l, r = context(v, i, j)
                 out["left", *l] += 1
                 out["right", *r] += 1
         return out
 
-    def learn_contexts(self, counts: DataFrame, count: Callable[[Callable[[str], Counter]], DataFrame], least: int = 3) -> None:
+    def learn_contexts(self, counts: DataFrame, count: Callable[[Callable[[list[str]], Counter]], DataFrame], least: int = 3) -> None:
         """Contexts that spans often have and that seldom stand elsewhere; ``counts`` as of span_contexts, ``count`` counts over all documents."""
         seen = {(r.what, r.a, r.b): r.n for r in counts.where(F.col("n") >= least).collect()}
-        pairs = frozenset((a, b) for _, a, b in seen)
+        pairs = sorted({(a, b) for _, a, b in seen})
+        known = _pair_hashes(pairs, keep_order=True)
+        order = np.argsort(known)
 
-        def uses(text: str) -> Counter:
-            tok = TOKEN.findall(text)
-            return Counter(("use", *p) for p in zip(tok, tok[1:]) if p in pairs)
+        def uses(texts: list[str]) -> Counter:
+            t = Tokens(texts)
+            code = mixed(t.raw[:-1], t.raw[1:])[t.doc[:-1] == t.doc[1:]] if len(t) > 1 else np.zeros(0, np.uint64)
+            code, n = np.unique(code[isin(code, known[order])], return_counts=True)
+            return Counter({("use", *pairs[order[p]]): k for p, k in zip(np.searchsorted(known[order], code).tolist(), n.tolist())})
 
         total = {(r.a, r.b): r.n for r in count(uses).collect()} if pairs else {}
         often = {k for k, n in seen.items() if 10 * n >= 3 * total.get(k[1:], 0)}
         self.left = {(a, b) for side, a, b in often if side == "left" and b != "^"}
         self.right = {(a, b) for side, a, b in often if side == "right" and a != "$"}
+        self.ready()
 
     def learn_corpus(self, texts: DataFrame) -> None:
         """Widen the lexicon and learn the contexts of names from all of ``texts`` (text), repeated texts included."""
 
-        def count(of: Callable[[str], Counter]) -> DataFrame:
+        def count(of: Callable[[list[str]], Counter]) -> DataFrame:
             return counted(texts, of)
 
         self.widen_lexicon(checkpoint(count(self.neighbour_counts)))
         self.learn_contexts(count(self.span_contexts), count)
 
-    def person_labels(self, docs: list[tuple[str, Doc]]) -> list[list[tuple[int, int]]]:
-        """Person spans supported by the lexicon, then those in the contexts of such spans."""
-        out = []
-        for text, doc in docs:
-            spans, strong = self.strong_spans(doc, text)
-            good = []
-            for i, j in spans:
-                l, r = self.context(doc, text, i, j)
-                edge_l = l in self.left or l[1] in {".", "^", ";", "?", "!"} or doc.line_break(text, i)
-                edge_r = r in self.right or r[0] in {"$", ".", ",", ";"} or doc.line_break(text, j)
-                if (i, j) in strong or ((l in self.left and edge_r) or (r in self.right and edge_l)):
-                    good.append(((l in self.left) + (r in self.right), j - i, i, j))
+    # -- training
+
+    def person_labels(self, t: Tokens, s: Shapes) -> dict[int, list[tuple[int, int]]]:
+        """Person spans by doc: those supported by the lexicon, then those in the contexts of such spans."""
+        good: dict[int, list[tuple[int, int, int, int]]] = {}
+        strong = {d: (v, set(spans)) for d, v, spans in self.strong_spans(t, s)}
+        pair = mixed(t.raw[:-1], t.raw[1:]) if len(t) > 1 else np.zeros(0, np.uint64)
+        after, before = np.flatnonzero(isin(pair, self._left)) + 2, np.flatnonzero(isin(pair, self._right))
+        starts: dict[int, set[int]] = {}
+        for k in after[after < len(t)].tolist():
+            starts.setdefault(int(t.doc[k]), set()).update(range(k, k + 4))  # titles may stand between
+        for k in before.tolist():
+            starts.setdefault(int(t.doc[k]), set()).update(range(k - 8, k))
+        for d in sorted(strong.keys() | starts.keys()):
+            v, sure = strong.get(d) or (View(t, s, t.bounds[d], t.bounds[d + 1]), set())
+            spans = set(sure)
+            for k in starts.get(d, ()):
+                if v.lo <= k < v.hi:
+                    spans.update(name_spans(v, k - v.lo))
+            for i, j in sorted(spans):
+                l, r = context(v, i, j)
+                edge_l = l in self.left or l[1] in {".", "^", ";", "?", "!"} or bool(v.broken[i])
+                edge_r = r in self.right or r[0] in {"$", ".", ",", ";"} or bool(v.broken[j])
+                if (i, j) in sure or (l in self.left and edge_r) or (r in self.right and edge_l):
+                    good.setdefault(d, []).append(((l in self.left) + (r in self.right), j - i, i + v.lo, j + v.lo))
+        out = {}
+        for d, spans in good.items():
             taken: list[tuple[int, int]] = []
-            for _, _, i, j in sorted(good, reverse=True):
+            for _, _, i, j in sorted(spans, reverse=True):
                 if not any(x < j and i < y for x, y in taken):
                     taken.append((i, j))
-            out.append(taken)
+            out[d] = taken
         return out
 
-    def train(self, texts: list[str], epochs: int = 6, rate: float = 0.25) -> None:
-        docs = [(t, Doc(t)) for t in texts]
-        persons = self.person_labels(docs)
-        number = {x: i for i, x in enumerate(LABELS)}
-        chains, pairs, single = [], Counter(), Counter()
-        for (text, doc), people in zip(docs, persons):
-            y = [0] * len(doc.tok)
-            spans = [(i, j, "person") for i, j in people]
-            for i, j, kind, _ in doc.shape_spans():
-                labelled = any(t in ID_WORDS for t in doc.low[max(0, i - 4) : i])
-                if kind != "id_number" or labelled:
-                    spans.append((i, j, kind))
-            for i, j, kind in spans:
-                y[i] = number[f"B-{kind}"]
-                for k in range(i + 1, j):
-                    y[k] = number[f"I-{kind}"]
-            again = frozenset(similar(doc.low[k]) for i, j, _ in spans for k in range(i, j) if self.tied(doc, k))
-            wins = self.windows(doc, text, again)
-            # once more with all shapes but e-mail hidden, so that values of other forms are known by what stands around them
-            bare = Doc(text, [x for x in value_spans(text) if x[2] == "email"])
-            hidden = [w for w in self.windows(bare, text, again) if any(i in doc.shape and i not in bare.shape for i in range(*w))]
-            for d, some in ((doc, wins), (bare, hidden)):
-                for a, b in some:
-                    rows = [np.array([self.row.setdefault(f, len(self.row)) for f in self.features(d, text, i)]) for i in range(a, b)]
-                    chains.append((rows, np.array(y[a:b])))
-            for a, b in wins:
-                single.update(y[a:b])
-            for (v, i), (u, j) in self.skip_edges(doc, wins, again):
-                p = (y[wins[v][0] + i], y[wins[u][0] + j])
-                pairs[p] += 1
-                pairs[p[::-1]] += 1
-        k = len(LABELS)
-        self.weights = np.zeros((len(self.row), k))
-        for f, r in self.row.items():  # a shape speaks for its kind before anything is learned
-            for kind in KINDS[:-1]:
-                if f.startswith(f"s{kind}") and "<" not in f and f[-1] in "BI":
-                    self.weights[r, number[f"{f[-1]}-{kind}"]] = 3.0 if kind != "id_number" else 1.0
-        squares, tsq = np.full((len(self.row), 1), 1e-6), np.full((k, k), 1e-6)
-        allowed = self.trans > FORBIDDEN
+    def labels(self, t: Tokens, s: Shapes) -> np.ndarray:
+        """Distant labels of all tokens."""
+        y = np.zeros(len(t), np.int64)
+
+        def put(i: int, j: int, kind: str) -> None:
+            y[i] = LABELS.index(f"B-{kind}")
+            y[i + 1 : j] = LABELS.index(f"I-{kind}")
+
+        for spans in self.person_labels(t, s).values():
+            for i, j in spans:
+                put(i, j, "person")
+        label = isin(t.low, _ID_WORDS)
+        for d, found in s.spans.items():
+            for i, j, kind in found:
+                if kind != "id_number" or label[max(t.bounds[d], i - 4) : i].any():
+                    put(i, j, kind)
+        return y
+
+    def train(self, texts: list[str], epochs: int = EPOCHS, rate: float = RATE) -> None:
+        """Fit all potentials to the distant labels of ``texts``: those with labels, and one in PLAIN of the others."""
         rng = np.random.default_rng(3)
+        labelled = []
+        for lo, hi in chunks(texts):
+            t = Tokens(texts[lo:hi])
+            y = self.labels(t, t.shaped())
+            labelled += [(texts[lo + d], y[t.bounds[d] : t.bounds[d + 1]]) for d in range(hi - lo)]
+        used = [x for k, x in enumerate(labelled) if k % PLAIN == 0 or x[1].any()]
+        parts = [_Part(self, [used[i] for i in p]) for p in np.array_split(rng.permutation(len(used)), PARTS) if len(p)]
+        hashes, counts = np.unique(np.concatenate([p.hashes.ravel() for p in parts] or [np.zeros(0, np.uint64)]), return_counts=True)
+        told = np.unique(np.concatenate([p.hashes[p.y > 0].ravel() for p in parts] or [np.zeros(0, np.uint64)]))
+        self.table = Table(hashes[(hashes != 0) & ((counts > 1) | isin(hashes, told))])
+        self.weights = np.zeros((self.table.size, K), np.float32)
+        for form, number in FORMS.items():  # a shape speaks for its kind before anything is learned
+            kind = next(k for k, f, _ in SHAPES if f == form)
+            for first in (0, 1):
+                for label in (0, 1):
+                    h = mixed(np.full(1, 32, np.uint64), np.array([number * 4 + first * 2 + label], np.uint64))
+                    if r := self.table.rows(h)[0]:
+                        self.weights[r, LABELS.index(f"{'B' if first else 'I'}-{kind}")] = 3.0 if kind != "id_number" else 1.0
+        squares = np.zeros((self.table.size, 1), np.float32)
+        state = {"bias": np.zeros(K), "trans": np.zeros((K, K)), "skip": np.zeros((K, K))}
+        for p in parts:
+            p.prepare(self.table)
         for _ in range(epochs):
-            for c in rng.permutation(len(chains)):
-                rows, y = chains[c]
-                self.ready()
-                n = len(y)
-                un = np.array([self.weights[r].sum(0) for r in rows])
-                marg = np.exp(self.marginals(un))
-                diff = -marg
-                diff[np.arange(n), y] += 1
-                flat = np.concatenate(rows)
-                grad = np.repeat(diff, [len(r) for r in rows], axis=0)
-                np.add.at(squares, flat, (grad**2).max(1, keepdims=True))
-                np.add.at(self.weights, flat, rate * grad / np.sqrt(squares[flat] + 1.0))
-                if n > 1:  # expected transitions from the pairwise marginals of independent neighbours' beliefs
-                    seen = np.zeros((k, k))
-                    np.add.at(seen, (y[:-1], y[1:]), 1)
-                    joint = marg[:-1, :, None] * self._et[None] * marg[1:, None, :]
-                    joint /= joint.sum((1, 2), keepdims=True) + 1e-300
-                    g = np.where(allowed, seen - joint.sum(0), 0)
-                    tsq += g**2
-                    self.trans += np.where(allowed, rate * g / np.sqrt(tsq + 1.0), 0)
+            for k in rng.permutation(len(parts)):
+                g = parts[k].gradient(self)
+                rows, sums = g.pop("rows"), g.pop("sums")
+                squares[rows] += (sums**2).max(1, keepdims=True)
+                self.weights[rows] += rate * sums / np.sqrt(squares[rows] + 1.0)
+                self.weights[0] = 0
+                for name, d in g.items():
+                    state[name] += d**2
+                    move = rate * d / np.sqrt(state[name] + 1.0)
+                    setattr(self, name, getattr(self, name) + (np.where(self.allowed, move, 0) if name == "trans" else move))
         self.ready()
-        # skip potentials: how much oftener equal words share a pair of labels than chance has it
-        total, pair_total = sum(single.values()) or 1, sum(pairs.values())
-        margin = Counter()
-        for (a, _), n in pairs.items():
-            margin[a] += n
-        for a in range(k):
-            for b in range(k):
-                expected = margin[a] * margin[b] / pair_total if pair_total else 0
-                self.skip[a, b] = float(np.clip(np.log((pairs[a, b] + 2.0) / (expected + 2.0)), -1.5, 1.5))
-        del total
-
-
-def counted(texts: DataFrame, of: Callable[[str], Counter], held: int = HELD) -> DataFrame:
-    """(what, a, b, n): the counts ``of`` each text, added up over ``texts`` (text); tasks pass on sums, not texts."""
+
+
+class _Part:
+    """Some texts of the sample with their labels: once as they are, once more, where they hold shapes, with the shapes hidden."""
+
+    def __init__(self, field: Field, labelled: list[tuple[str, np.ndarray]]):
+        texts = [x for x, _ in labelled]
+        t = Tokens(texts)
+        s, y = t.shaped(), np.concatenate([y for _, y in labelled])
+        copies = [(t, s, y)]
+        hidden = [d for d, spans in s.spans.items() if any(k != "email" for _, _, k in spans)]
+        if hidden:
+            u = Tokens([texts[d] for d in hidden])
+            copies.append((u, u.shaped(hide=True), np.concatenate([y[t.bounds[d] : t.bounds[d + 1]] for d in hidden])))
+        self.y = np.concatenate([c[2] for c in copies])
+        self.hashes = np.concatenate([np.stack([c() for c in Features(field, t, s).columns], 1) for t, s, _ in copies])
+        self.chains = Chains(np.concatenate([_pieces(t, y) for t, _, y in copies]))
+        edges, base = [], 0
+        for t, s, y in copies:
+            tied = field.tied(t, s)
+            key = mixed(t.doc.astype(np.uint64), t.base)
+            again = tied & isin(key, np.unique(key[(y > 0) & tied]))
+            edges.append(np.array(field.edges(t, np.arange(len(t)), tied & (t.first_upper | field.named(t) | again))) + base)
+            base += len(t)
+        self.i, self.j = np.concatenate(edges, 1)
+
+    def prepare(self, table: Table) -> None:
+        """The tokens of every feature, in the order of the features."""
+        rows = table.rows(self.hashes).astype(np.int32)
+        del self.hashes
+        self.rows = rows
+        flat = rows.ravel()
+        order = np.argsort(flat, kind="stable")
+        order = order[np.searchsorted(flat[order], 1) :]
+        self.token = (order // rows.shape[1]).astype(np.int32)
+        self.feature, self.first = np.unique(flat[order], return_index=True)
+
+    def gradient(self, f: Field) -> dict[str, np.ndarray]:
+        """Observed less expected counts of features, transitions and skip pairs."""
+        unary = np.tile(f.bias, (len(self.y), 1))
+        for c in range(self.rows.shape[1]):
+            unary += f.weights[self.rows[:, c]]
+        m = Messages(self.i, self.j)
+        for _ in range(ROUNDS if len(self.i) else 0):
+            m.pass_on(forward_backward(m.add_to(unary), self.chains, f.trans)[0], f.skip)
+        node, fwd, local, bwd = forward_backward(m.add_to(unary), self.chains, f.trans)
+        n, y = len(self.y), self.y
+        diff = -node
+        diff[np.arange(n), y] += 1
+        out = {"bias": diff.sum(0)}
+        flat = diff.astype(np.float32)
+        out["sums"] = np.add.reduceat(flat[self.token], self.first, axis=0) if len(self.first) else np.zeros((0, K), np.float32)
+        out["rows"] = self.feature
+        inner = np.ones(n, bool)
+        inner[self.chains.start] = False
+        at = np.flatnonzero(inner)
+        e = np.exp(f.trans)
+        seen, expected = np.zeros((K, K)), np.zeros((K, K))
+        np.add.at(seen, (y[at - 1], y[at]), 1)
+        a, b = fwd[at - 1], local[at] * bwd[at]
+        expected += (a / ((a * (b @ e.T)).sum(1, keepdims=True) + 1e-300)).T @ b * e
+        last = self.chains.start + self.chains.lengths - 1
+        for ends, side in ((self.chains.start, 0), (last, 1)):  # O stands on either side of a chain
+            np.add.at(seen[0] if side == 0 else seen[:, 0], y[ends], 1)
+            sums = node[ends].sum(0)
+            if side == 0:
+                expected[0] += sums
+            else:
+                expected[:, 0] += sums
+        out["trans"] = np.where(f.allowed, seen - expected, 0)
+        if len(self.i):
+            pairs = np.zeros((K, K))
+            np.add.at(pairs, (y[self.i], y[self.j]), 1)
+            x = np.exp(np.log(node[self.i] + 1e-300) - m.to_i)
+            z = np.exp(np.log(node[self.j] + 1e-300) - m.to_j)
+            es = np.exp(f.skip)
+            joint = (x / ((x * (z @ es.T)).sum(1, keepdims=True) + 1e-300)).T @ z * es
+            out["skip"] = pairs + pairs.T - joint - joint.T
+        return out
+
+
+def _pieces(t: Tokens, y: np.ndarray) -> np.ndarray:
+    """Lengths of the pieces that the texts are cut into: by PIECE tokens, and further on while a mention goes on."""
+    step = np.arange(len(y)) - t.bounds[t.doc]
+    cut = (step % PIECE == 0) & ((step == 0) | ((y == 0) & (np.append(0, y[:-1]) == 0)))
+    return np.diff(np.append(np.flatnonzero(cut), len(y)))
+
+
+def context(v: View, i: int, j: int) -> tuple[tuple[str, str], tuple[str, str]]:
+    """The two tokens before i and from j on; titles before i do not count."""
+    a = i
+    while a >= 1 and v.titled(a):
+        a -= 1
+    left = ("", "^") if a == 0 else (v.tok[a - 2] if a >= 2 else "", v.tok[a - 1])
+    right = ("$", "") if j >= len(v.tok) else (v.tok[j], v.tok[j + 1] if j + 1 < len(v.tok) else "$")
+    return left, right
+
+
+def _pair_hashes(pairs, keep_order: bool = False) -> np.ndarray:
+    pairs = list(pairs)
+    h = mixed(raw_hashes([a for a, _ in pairs]), raw_hashes([b for _, b in pairs])) if pairs else np.zeros(0, np.uint64)
+    return h if keep_order else np.unique(h)
+
+
+def _windows(hot: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, Chains]:
+    """The tokens within WINDOW of a hot one of their text, and the chains they form."""
+    n = len(hot)
+    at = np.flatnonzero(hot)
+    near = np.unique((at[:, None] + np.arange(-WINDOW, WINDOW + 1)).ravel())
+    near = near[(near >= 0) & (near < n)]
+    left = np.searchsorted(at, near, "right") - 1
+    prev, after = at[np.maximum(left, 0)], at[np.minimum(left + 1, len(at) - 1)] if len(at) else at
+    keep = ((np.abs(near - prev) <= WINDOW) & (doc[prev] == doc[near])) | ((np.abs(after - near) <= WINDOW) & (doc[after] == doc[near]))
+    near = near[keep]
+    cut = np.flatnonzero(np.concatenate(([True], (np.diff(near) > 1) | (np.diff(doc[near]) > 0)))) if len(near) else np.zeros(0, int)
+    return near, Chains(np.diff(np.append(cut, len(near))))
+
+
+def _subset(chains: Chains, ranks: np.ndarray) -> tuple[np.ndarray, Chains]:
+    """The rows of the chains of the given ranks, one after another in order, and these as chains of their own."""
+    ranks = ranks[np.argsort(chains.start[ranks], kind="stable")]
+    lengths = chains.lengths[ranks]
+    rows = np.repeat(chains.start[ranks] - (np.cumsum(lengths) - lengths), lengths) + np.arange(lengths.sum())
+    return rows, Chains(lengths)
+
+
+def counted(texts: DataFrame, of: Callable[[list[str]], Counter], held: int = HELD) -> DataFrame:
+    """(what, a, b, n): the counts ``of`` lists of texts, added up over ``texts`` (text); tasks pass on sums, not texts."""
     shared = texts.sparkSession.sparkContext.broadcast(cloudpickle.dumps(of))
     names = ["what", "a", "b", "n"]
 
@@ -676,8 +778,9 @@ def counted(texts: DataFrame, of: Callable[[str], Counter], held: int = HELD) ->
                 sums.clear()
 
         for b in batches:
-            for t in b.column(0):
-                sums.update(f(t.as_py()))
+            some = b.column(0).to_pylist()
+            for lo, hi in chunks(some):
+                sums.update(f(some[lo:hi]))
                 if len(sums) > held:
                     yield from flush()
         yield from flush()
@@ -686,43 +789,51 @@ def counted(texts: DataFrame, of: Callable[[str], Counter], held: int = HELD) ->
 
 
 def train_field(docs: DataFrame, lexicon: DataFrame, sample: int = TRAIN_DOCS) -> Field:
-    """A field that knows the name words and contexts of all ``docs``, its weights fitted on the ``sample`` documents of the smallest hashes; ``lexicon`` (token, role)."""
+    """A field that knows the name words and contexts of all ``docs``; its weights are fitted on the ``sample`` documents of the smallest hashes; ``lexicon`` (token, role)."""
     words = [(r[0].lower(), (r[1] or "").lower()) for r in lexicon.select("token", "role").where("token is not null").distinct().collect()]
     field = Field({w for w, r in words if r == "given"}, {w for w, r in words if r != "given"})
     once = docs.select("doc_id", "text").where("doc_id is not null").where(F.length("text") > 0).distinct()  # a document given twice counts once
     once = checkpoint(once.select(F.xxhash64("doc_id", "text").alias("h"), "text"))
     field.learn_corpus(spread(once.select("text")))
-    field.train([r[0] for r in once.orderBy("h", "text").limit(sample).select("text").collect()])
+    field.train([r[0] for r in once.where(F.length("text") <= TRAIN_CHARS).orderBy("h", "text").limit(sample).select("text").collect()])
     return field
 
 
-def mentions(docs: DataFrame, field: Field) -> DataFrame:
-    """(doc_id, kind, start_pos, end_pos) of every mention."""
+def _decoded(docs: DataFrame, field: Field, schema: str, put: Callable[[list, list[str | None], list], list[pa.Array]]) -> DataFrame:
+    """``put`` of the ids, texts and mentions of every batch, as rows of ``schema``."""
     shared = docs.sparkSession.sparkContext.broadcast(cloudpickle.dumps(field))
+    names = [x.split()[0] for x in schema.split(",")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         f = pickle.loads(shared.value)
         for b in batches:
-            rows = [(d, k, s, e) for d, t in zip(b.column(0).to_pylist(), b.column(1)) for k, s, e in f.decode(t.as_py())]
-            cols = list(zip(*rows)) if rows else [[], [], [], []]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.string(), pa.int64(), pa.int64()))], names=["doc_id", "kind", "start_pos", "end_pos"])
+            ids, texts = b.column(0).to_pylist(), b.column(1).to_pylist()
+            yield pa.RecordBatch.from_arrays(put(ids, texts, f.decode_all([t or "" for t in texts])), names=names)
+
+    return spread(docs).mapInArrow(run, schema)
+
+
+def mentions(docs: DataFrame, field: Field) -> DataFrame:
+    """(doc_id, kind, start_pos, end_pos) of every mention."""
+
+    def put(ids: list, texts: list, found: list) -> list[pa.Array]:
+        rows = [(d, *m) for d, some in zip(ids, found) for m in some]
+        cols = list(zip(*rows)) if rows else [[], [], [], []]
+        return [pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.string(), pa.int64(), pa.int64()))]
 
     texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").where("doc_id is not null").where(F.length("text") > 0)
-    return spread(texts).mapInArrow(run, "doc_id bigint, kind string, start_pos bigint, end_pos bigint").distinct()
+    return _decoded(texts, field, "doc_id bigint, kind string, start_pos bigint, end_pos bigint", put).distinct()
 
 
 def redact(docs: DataFrame, field: Field) -> DataFrame:
     """(doc_id, text): each mention replaced by ``[KIND]``, the rest as it is; null stays null."""
-    shared = docs.sparkSession.sparkContext.broadcast(cloudpickle.dumps(field))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        f = pickle.loads(shared.value)
-        for b in batches:
-            out = []
-            for t in b.column(1).to_pylist():
-                for kind, s, e in reversed(f.decode(t) if t else []):
-                    t = f"{t[:s]}[{kind.upper()}]{t[e:]}"
-                out.append(t)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.string())], names=["doc_id", "text"])
-
-    return spread(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")).mapInArrow(run, "doc_id bigint, text string")
+    def put(ids: list, texts: list, found: list) -> list[pa.Array]:
+        out = []
+        for t, some in zip(texts, found):
+            for kind, s, e in reversed(some):
+                t = f"{t[:s]}[{kind.upper()}]{t[e:]}"
+            out.append(t)
+        return [pa.array(ids, pa.int64()), pa.array(out, pa.string())]
+
+    return _decoded(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text"), field, "doc_id bigint, text string", put)

@@ -4,7 +4,7 @@ import re
 
 import pytest
 
-from palatine.llm import bpe, leak_automaton, pii_crf
+from palatine.llm import bpe, leak_automaton, pii_crf, token_arrays
 
 HERE = bpe.tokenizer_dir()
 RANKS = f"{HERE}/byte_bpe_50k.tiktoken"
@@ -157,20 +157,65 @@ def test_redaction_keeps_the_rest(spark, field_and_rows):
 
 
 def test_message_passing_equals_enumeration():
-    """One window pair tied by an edge: loopy messages on a tree are exact."""
+    """Two chains of one token tied by an edge: loopy messages on a tree are exact."""
     import numpy as np
 
     f = pii_crf.Field({"cora"}, {"holm"})
-    f.trans[:] = 0
-    f.first[:] = 0
-    f.ready()
+    f.trans = np.zeros_like(f.trans)
     rng = np.random.default_rng(0)
-    a, b, s = rng.normal(size=(1, 11)), rng.normal(size=(1, 11)), rng.normal(size=(11, 11))
-    joint = np.exp(a[0][:, None] + b[0][None] + s)
-    want = joint.sum(1) / joint.sum()
-    out = np.exp(f.marginals(b)[0]) @ np.exp(s).T
-    got = np.exp(f.marginals(a + np.log(out))[0])
-    assert np.allclose(got, want)
+    u, f.skip = rng.normal(size=(2, 11)), rng.normal(size=(11, 11))
+    joint = np.exp(u[0][:, None] + u[1][None] + f.skip)
+    chains, m = pii_crf.Chains(np.array([1, 1])), pii_crf.Messages(np.array([0]), np.array([1]))
+    got = pii_crf.forward_backward(f.settle(u, chains, m), chains, f.trans)[0]
+    assert np.allclose(got, [joint.sum(1) / joint.sum(), joint.sum(0) / joint.sum()], atol=1e-3)
+
+
+def test_chain_beliefs_equal_enumeration():
+    """Node beliefs, the best path and the gradient's chain pairs against all labellings of a chain."""
+    import itertools
+
+    import numpy as np
+
+    rng = np.random.default_rng(1)
+    u, trans = rng.normal(size=(3, 11)), rng.normal(size=(11, 11))
+    score = {y: u[range(3), y].sum() + trans[0, y[0]] + trans[y[0], y[1]] + trans[y[1], y[2]] + trans[y[2], 0] for y in itertools.product(range(11), repeat=3)}
+    total = sum(map(np.exp, score.values()))
+    want = np.zeros((3, 11))
+    for y, s in score.items():
+        want[range(3), y] += np.exp(s) / total
+    chains = pii_crf.Chains(np.array([3]))
+    assert np.allclose(pii_crf.forward_backward(u, chains, trans)[0], want)
+    assert tuple(pii_crf.viterbi(u, chains, trans)) == max(score, key=score.get)
+
+
+def test_gradient_is_that_of_the_likelihood():
+    """Transitions and bias: the gradient of a text without edges against finite differences."""
+    import numpy as np
+
+    f = pii_crf.Field({"cora"}, {"holm"})
+    text = "Write to a.b@mail.example or call +1 415 555 0132 now"
+    t = pii_crf.Tokens([text])
+    part = pii_crf._Part(f, [(text, f.labels(t, t.shaped()))])
+    part.prepare(pii_crf.Table(np.zeros(0, np.uint64)))
+    part.i = part.j = np.zeros(0, int)
+    rng = np.random.default_rng(2)
+    f.bias, f.trans = rng.normal(size=11), np.where(f.allowed, rng.normal(size=(11, 11)), -1e4)
+
+    def likelihood():
+        out = 0.0
+        for start, n in zip(part.chains.start, part.chains.lengths):
+            y, x = part.y[start : start + n], f.trans[0] + f.bias
+            path = f.trans[0, y[0]] + f.bias[y].sum() + f.trans[y[:-1], y[1:]].sum() + f.trans[y[-1], 0]
+            for _ in range(n - 1):
+                x = np.logaddexp.reduce(x[:, None] + f.trans, axis=0) + f.bias
+            out += path - np.logaddexp.reduce(x + f.trans[:, 0])
+        return out
+
+    g, at, h = part.gradient(f), likelihood(), 1e-5
+    for name, where in (("bias", 0), ("bias", 3), ("trans", (0, 0)), ("trans", (0, 1)), ("trans", (1, 2)), ("trans", (2, 0))):
+        getattr(f, name)[where] += h
+        assert abs((likelihood() - at) / h - g[name][where]) < 1e-2
+        getattr(f, name)[where] -= h
 
 
 def test_degenerate_inputs(spark):
@@ -191,20 +236,20 @@ def test_positions_count_code_points(field_and_rows):
 
 
 def test_contexts_of_marks_only(spark):
-    """Names between marks alone are learned as contexts, and skipping quiet texts does not lose them."""
+    """Names between marks alone are learned as contexts, and other names are known by them."""
     f = pii_crf.Field({"cora"}, {"holm"})
     f.learn_corpus(spark.createDataFrame([("Fine! - Cora Holm ) * done",)] * 3, "text string"))
-    f.ready()
     assert ("!", "-") in f.left and (")", "*") in f.right
-    text = "Sweet! - Zorvik Talmen ) * over"
-    assert not f.quiet(text) and f.windows(pii_crf.Doc(text), text) and f.quiet("Sweet - over")
+    t = pii_crf.Tokens(["Sweet! - Zorvik Talmen ) * over", "Sweet - over"])
+    spans = f.person_labels(t, t.shaped())
+    assert list(spans) == [0] and [t.strings(range(i, j)) for i, j in spans[0]] == [["Zorvik", "Talmen"]]
 
 
-def test_every_chain_is_trained_in_every_epoch(monkeypatch):
+def test_every_labelled_text_is_trained_in_every_epoch(monkeypatch):
     f, calls = pii_crf.Field({"cora"}, {"holm"}), []
-    monkeypatch.setattr(pii_crf.Field, "marginals", lambda self, un, real=pii_crf.Field.marginals: calls.append(len(un)) or real(self, un))
+    monkeypatch.setattr(pii_crf._Part, "gradient", lambda self, field, real=pii_crf._Part.gradient: calls.append(len(self.y)) or real(self, field))
     f.train(["Write to cora.holm@mail.example soon."] * 10, epochs=6)
-    assert len(calls) == 60
+    assert sum(calls) == 6 * 10 * len(pii_crf.Tokens(["Write to cora.holm@mail.example soon."]))
 
 
 def test_corpus_statistics_cover_all_documents(spark):
@@ -230,10 +275,12 @@ def test_distant_repeat():
 
     f = pii_crf.Field({"cora"}, {"holm"})
     o, b, i = (pii_crf.LABELS.index(x) for x in ("O", "B-person", "I-person"))
-    f.row = {"1": 0, "w-2-1dr .": 1, "w-3-2dr .Aa": 2}
-    f.weights = np.zeros((3, len(pii_crf.LABELS)))
-    f.weights[0] = -9
-    f.weights[0, [o, b, i]] = 1, 0, 0
+    dr, stop = (pii_crf.Tokens([w]).low for w in ("Dr", "."))
+    one = lambda *n: np.array(n, np.uint64)
+    f.table = pii_crf.Table(np.concatenate([pii_crf.mixed(one(15), dr, stop), pii_crf.mixed(one(19), dr, stop, one(pii_crf.CAPITAL))]))  # the two words before; those one further and the own class
+    f.weights = np.zeros((3, len(pii_crf.LABELS)), np.float32)
+    f.bias[:] = -9
+    f.bias[[o, b, i]] = 1, 0, 0
     f.weights[1, b], f.weights[2, i] = 6, 6
     f.skip[np.ix_([o, b, i], [o, b, i])] = [[0.25, -1.5, -1.5], [-1.5, 1.5, 0.7], [-1.5, 0.7, 1.5]]
     f.ready()
@@ -244,5 +291,5 @@ def test_distant_repeat():
 def test_forms_that_are_no_shape(field_and_rows):
     field = field_and_rows[0]
     for text, kind, value in [("On file: passport 12-3456-78. ", "id_number", "12-3456-78"), ("Samples go to 7 Elm Terrace, Norvik. ", "address", "7 Elm Terrace, Norvik")]:
-        assert not pii_crf.value_spans(text) and [(k, text[s:e]) for k, s, e in field.decode(text)] == [(kind, value)]
+        assert not token_arrays.value_spans(text) and [(k, text[s:e]) for k, s, e in field.decode(text)] == [(kind, value)]
     assert field.decode("Lot 12-3456-78 of fig tasted sweet. ") == []
