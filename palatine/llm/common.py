@@ -8,8 +8,10 @@ built-in column expressions, so they stay inside whole-stage codegen.
 
 from __future__ import annotations
 
+import atexit
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -81,21 +83,39 @@ def food_index(foods: DataFrame) -> DataFrame:
     )
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder for intermediate tables: the session's ``spark.checkpoint.dir``; only where none is set (tests on one machine) a temporary one."""
+    sc = spark.sparkContext
+    shared = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
+    if not shared and not sc.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+    return shared or os.path.join(tempfile.gettempdir(), f"palatine-checkpoints-{os.getpid()}")
+
+
+def new_folder(spark: SparkSession, what: str) -> str:
+    """A fresh folder below the shared one, removed when the session's process ends."""
+    path = os.path.join(shared_folder(spark), f"{what}-{uuid.uuid4().hex}")
+    atexit.register(_remove, spark, path)
+    return path
+
+
+def _remove(spark: SparkSession, path: str) -> None:
+    try:
+        at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+    except Exception:  # the session is over
+        pass
+
+
 def checkpoint(df: DataFrame) -> DataFrame:
-    """Cut the lineage with a reliable checkpoint in the cluster's shared folder.
+    """Cut the lineage with a table written to the shared folder.
 
-    The folder is the session's ``spark.checkpoint.dir``; only where none is
-    set (tests on one machine) a temporary one is used.
+    Unlike a checkpoint of rows it is compressed, and later reads take only
+    the columns they need.
     """
-    sc = df.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        shared = sc.getConf().get("spark.checkpoint.dir")
-        if not shared and not sc.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-        if not shared:
-            shared = os.path.join(tempfile.gettempdir(), f"palatine-checkpoints-{os.getpid()}")
-        sc.setCheckpointDir(shared)
-    return df.checkpoint(eager=True)
+    path = new_folder(df.sparkSession, "table")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 #: Rows up to which a reference side may be broadcast, and hot keys by share.
@@ -103,12 +123,14 @@ BROADCAST_ROWS = 200_000
 HOT_SHARE = 1000
 
 
-def small_side(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """``df`` with a broadcast hint if it has at most ``max_rows`` rows, else as it is (a shuffle join).
+def small_is(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> bool:
+    """Whether ``df`` has at most ``max_rows`` rows; reads no more than one row beyond."""
+    return df.limit(max_rows + 1).count() <= max_rows
 
-    The count is a limited one: it reads at most ``max_rows`` + 1 rows.
-    """
-    return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
+
+def small_side(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
+    """``df`` with a broadcast hint if it has at most ``max_rows`` rows, else as it is (a shuffle join)."""
+    return F.broadcast(df) if small_is(df, max_rows) else df
 
 
 def hot_split_join(rows: DataFrame, groups: DataFrame, key: str, n: str) -> DataFrame:

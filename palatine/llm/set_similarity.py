@@ -1,14 +1,16 @@
 """All pairs of records whose value sets overlap above a Jaccard threshold.
 
 Plan: equal sets become one class; minwise signatures of the classes are cut
-into bands; classes that share a band bucket are candidates, thinned by set
-size and a 64-bit minwise sketch, deduplicated, and verified exactly in
+into bands; band rows are shuffled once by bucket and streamed bucket by bucket
+through array code, which pairs the classes of a bucket off, thinned by set size
+and a 64-bit minwise sketch; candidates are deduplicated and verified exactly in
 integers; class pairs are expanded to record pairs at the very end.
 
-Buckets with very many classes are not paired off: their classes go through an
-exact prefix-filter join instead (two sets over the threshold share one of
-their rarest values), so that a hot bucket costs neither a quadratic task nor a
-lost pair.
+A bucket of very many classes is not paired off at once: its classes are banded
+again within the bucket by further minwise hashes (of fewer rows, so that a pair
+is lost as seldom as before), level by level.  What still shares one bucket after
+LEVELS levels agrees in so many hashes that nearly every pair of it is a result;
+it is paired off in blocks.
 
 Defined cases: null ids, null sets and empty sets have no partner; repeated
 rows of an id count once; other columns are ignored; an empty input gives an
@@ -21,7 +23,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from palatine.llm.common import checkpoint, hot_split_join
@@ -30,8 +32,11 @@ from palatine.llm.common import checkpoint, hot_split_join
 BANDS, ROWS = 40, 4
 #: Pairs whose 64 sketch bits agree in fewer places are left out; at a Jaccard of 0.7 this loses less than 1e-5.
 SKETCH_AGREE = 38
-#: Classes in one bucket above which the exact prefix join takes over.
-HOT_BUCKET = 256
+#: Classes in one bucket above which it is banded again; 18 bands of 2 miss a pair at 0.7 with (1 - 0.7**2)**18 < 6e-6.
+HOT_BUCKET, SUB_BANDS, SUB_ROWS, LEVELS = 1024, 18, 2, 3
+#: Pairs looked at in one step.
+STEP = 2_000_000
+PAIRS = "a bigint, b bigint, bucket bigint"
 
 
 def _seeds(n: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
@@ -56,40 +61,152 @@ def flat_sets(batch: pa.RecordBatch, column: str) -> tuple[np.ndarray, np.ndarra
     return values, (offsets[:-1] - offsets[0]).astype(np.int64)
 
 
-def _band_batches(bands: int, rows: int):
+def _bands(batch: pa.RecordBatch, bands: int, rows: int, seed: int, outer: np.ndarray | None) -> tuple[list[np.ndarray], np.ndarray]:
+    """The bucket of each band, within the bucket ``outer`` if given, and the sketch of every set."""
+    mix = np.uint64(0x9E3779B97F4A7C15)
+    values, starts = flat_sets(batch, "hashes")
+    sketch = np.zeros(len(starts), np.uint64)
+    keys, key = [], None
+    for k, low in enumerate(minwise(values, starts, bands * rows if outer is not None else max(64, bands * rows), seed)):
+        if k < 64:
+            sketch |= ((low >> np.uint64(7)) & np.uint64(1)) << np.uint64(k)
+        if k < bands * rows:
+            if k % rows == 0:
+                key = np.full(len(starts), k // rows + 1, np.uint64) + (outer if outer is not None else np.uint64(0))
+            key = (key ^ low) * mix
+            key ^= key >> np.uint64(31)
+            if k % rows == rows - 1:
+                keys.append(key)
+    return keys, sketch
+
+
+def band_batches(bands: int, rows: int, seed: int = 7):
+    """mapInArrow over (cid, size, hashes[, bucket, sketch]): (bucket, cid, size, sketch) of every band."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        mix = np.uint64(0x9E3779B97F4A7C15)
         for whole in batches:
             for at in range(0, whole.num_rows, 2048):
                 batch = whole.slice(at, 2048)
                 if not batch.num_rows:
                     continue
-                values, starts = flat_sets(batch, "hashes")
-                sketch = np.zeros(len(starts), np.uint64)
-                keys, key = [], None
-                for k, low in enumerate(minwise(values, starts, max(64, bands * rows))):
-                    if k < 64:
-                        sketch |= ((low >> np.uint64(7)) & np.uint64(1)) << np.uint64(k)
-                    if k < bands * rows:
-                        key = np.full(len(starts), k // rows + 1, np.uint64) if k % rows == 0 else key
-                        key = (key ^ low) * mix
-                        key ^= key >> np.uint64(31)
-                        if k % rows == rows - 1:
-                            keys.append(key)
+                again = "bucket" in batch.schema.names
+                keys, sketch = _bands(batch, bands, rows, seed, batch.column("bucket").to_numpy().view(np.uint64) if again else None)
+                sketch = batch.column("sketch").to_numpy() if again else sketch.view(np.int64)
                 n = len(keys)
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(np.concatenate(keys).view(np.int64)),
-                        pa.array(np.tile(batch.column("cid").to_numpy(), n)),
-                        pa.array(np.tile(batch.column("size").to_numpy(), n)),
-                        pa.array(np.tile(sketch.view(np.int64), n)),
-                    ],
-                    names=["bucket", "cid", "size", "sketch"],
-                )
+                cols = (np.concatenate(keys).view(np.int64), np.tile(batch.column("cid").to_numpy(), n), np.tile(batch.column("size").to_numpy(), n), np.tile(sketch, n))
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=["bucket", "cid", "size", "sketch"])
 
     return run
 
 
+def bucket_pairs(num: int, den: int, differ: int, hot: int | None, sided: bool = False):
+    """mapInArrow over rows (bucket, cid, size, sketch[, side]) sorted by bucket: candidate pairs (a, b, null), a < b.
+
+    Pairs whose sizes exclude num/den, whose sketches differ in more than
+    ``differ`` bits or, if ``sided``, that do not stand on two sides (bits 1 and
+    2) are left out.  The classes of a bucket of more than ``hot`` come out as
+    (cid, null, bucket) instead.  At most one bucket is held in memory, of a hot
+    one at most ``hot`` rows.
+    """
+    names = ["bucket", "cid", "size", "sketch", *(["side"] if sided else [])]
+
+    def good(x: list[np.ndarray], i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        cid, size, sketch = x[1], x[2].astype(np.int64), x[3]
+        keep = (cid[i] != cid[j]) & (size[i] * den >= size[j] * num) & (size[j] * den >= size[i] * num)
+        if sided:
+            keep &= ((x[4][i] & 1) & (x[4][j] >> 1) | (x[4][j] & 1) & (x[4][i] >> 1)) > 0
+        i, j = i[keep], j[keep]
+        near = np.bitwise_count((sketch[i] ^ sketch[j]).view(np.uint64)) <= differ  # of a negative number it would count those of the absolute value
+        i, j = cid[i[near]], cid[j[near]]
+        return np.minimum(i, j), np.maximum(i, j)
+
+    def batch(a: np.ndarray, b: np.ndarray | None, bucket: np.ndarray | None) -> pa.RecordBatch:
+        none = pa.nulls(len(a), pa.int64())
+        return pa.RecordBatch.from_arrays([pa.array(a), none if b is None else pa.array(b), none if bucket is None else pa.array(bucket)], names=["a", "b", "bucket"])
+
+    def paired(x: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        """Pairs within the complete buckets ``x``."""
+        key = x[0]
+        first = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
+        n = np.diff(np.append(first, len(key)))
+        for m in np.unique(n[n > 1]).tolist():
+            at = first[n == m]
+            if hot is not None and m > hot:
+                rows = (at[:, None] + np.arange(m)).ravel()
+                yield batch(x[1][rows], None, key[rows])
+            elif m <= 1000:
+                i, j = np.triu_indices(m, 1)
+                step = max(1, STEP // len(i))
+                for k in range(0, len(at), step):
+                    some = at[k : k + step, None]
+                    yield batch(*good(x, (some + i).ravel(), (some + j).ravel()), None)
+            else:
+                for start in at.tolist():
+                    for k in range(0, m, 1000):
+                        left = np.arange(start + k, start + min(m, k + 1000))
+                        for r in range(k, m, 1000):
+                            right = np.arange(start + r, start + min(m, r + 1000))
+                            i, j = np.repeat(left, len(right)), np.tile(right, len(left))
+                            yield batch(*good(x, i[i < j], j[i < j]), None)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, giant = None, None
+        for b in batches:
+            x = [b.column(c).to_numpy() for c in names]
+            if giant is not None and len(x[0]):  # the rest of a bucket that was found to be hot
+                n = int(np.searchsorted(x[0] != giant, True)) if (x[0] != giant).any() else len(x[0])
+                if n:
+                    yield batch(x[1][:n], None, x[0][:n])
+                x = [c[n:] for c in x]
+                giant = giant if not len(x[0]) else None
+            held = x if held is None else [np.concatenate((h, c)) for h, c in zip(held, x)]
+            if not len(held[0]):
+                continue
+            open_ = int(np.argmax(held[0] == held[0][-1]))  # where the last bucket, which may go on, begins
+            if open_:
+                yield from paired([c[:open_] for c in held])
+                held = [c[open_:] for c in held]
+            if hot is not None and len(held[0]) > hot:
+                giant = held[0][0]
+                yield batch(held[1], None, held[0])
+                held = None
+        if held is not None and len(held[0]):
+            yield from paired(held)
+
+    return run
+
+
+def candidates(rows: DataFrame, num: int, den: int, differ: int, hot: int | None, sided: bool = False) -> DataFrame:
+    """The pairs (a, b) and, for buckets of more than ``hot`` rows, their members (a, null, bucket) of ``rows``, shuffled once by bucket."""
+    placed = rows.repartition("bucket").sortWithinPartitions("bucket")
+    return placed.mapInArrow(bucket_pairs(num, den, differ, hot, sided), PAIRS)
+
+
+def banded_pairs(classes: DataFrame, first: DataFrame, num: int, den: int, differ: int, hot: int, sub: tuple[int, int], sided: bool = False) -> DataFrame:
+    """(a, b), distinct: classes that share a bucket of ``first`` (bucket, cid, size, sketch[, side]); hot buckets are banded again.
+
+    ``classes`` has (cid, size, hashes); ``sub`` are the bands and rows of further levels.
+    """
+    cols = ["cid", "size", "sketch", *(["side"] if sided else [])]
+    found = checkpoint(candidates(first, num, den, differ, hot, sided))
+    levels = [found.where("b is not null").select("a", "b")]
+    about = None
+    for level in range(1, LEVELS + 1):
+        crowd = found.where("b is null").select(F.col("a").alias("cid"), "bucket")
+        if crowd.isEmpty():
+            break
+        about = about if about is not None else checkpoint(first.join(crowd.select("cid").distinct(), "cid", "left_semi").select(*cols).distinct())
+        again = crowd.join(about, "cid").join(classes.select("cid", "hashes"), "cid")
+        banded = again.select("cid", "size", "hashes", "bucket", "sketch").mapInArrow(band_batches(*sub, seed=100 + level), "bucket bigint, cid bigint, size int, sketch bigint")
+        banded = banded.join(about.select("cid", "side"), "cid") if sided else banded
+        found = checkpoint(candidates(banded.select("bucket", *cols), num, den, differ, hot if level < LEVELS else None, sided))
+        levels.append(found.where("b is not null").select("a", "b"))
+    out = levels[0]
+    for x in levels[1:]:
+        out = out.unionByName(x)
+    return out.distinct()
+
+
 def keyed_sets(records: DataFrame, *cols: str) -> DataFrame:
     """(id, cols, set_key, values) of the records with a non-empty set, kept, since classes and members both read it."""
     return checkpoint(records.where(F.col("id").isNotNull() & (F.size("values") > 0)).select("id", *cols, set_key("values").alias("set_key"), "values"))
@@ -120,52 +237,18 @@ def _over(inter, size_a, size_b, num: int, den: int):
     return inter * den >= (size_a + size_b - inter) * num
 
 
-def _bucket_pairs(buckets: DataFrame, num: int, den: int) -> DataFrame:
-    a = buckets.select("bucket", F.col("cid").alias("a"), F.col("size").alias("sa"), F.col("sketch").alias("ka"))
-    b = buckets.select("bucket", F.col("cid").alias("b"), F.col("size").alias("sb"), F.col("sketch").alias("kb"))
-    return (
-        a.join(b, "bucket")
-        .where(F.col("a") < F.col("b"))
-        .where((F.col("sa") * den >= F.col("sb") * num) & (F.col("sb") * den >= F.col("sa") * num))
-        .where(F.bit_count(F.col("ka").bitwiseXOR(F.col("kb"))) <= 64 - SKETCH_AGREE)
-        .select("a", "b")
-    )
-
-
-def _prefix_pairs(classes: DataFrame, some: DataFrame, num: int, den: int) -> DataFrame:
-    """Pairs within ``some``, exact: two over the threshold share a value among the first size - ceil(t·size) + 1, rarest first."""
-    freq = classes.select(F.explode("hashes").alias("h")).groupBy("h").agg(F.count(F.lit(1)).alias("df"))
-    ranked = (
-        some.select("cid", "size", F.explode("hashes").alias("h"))
-        .join(freq, "h")
-        .groupBy("cid", "size")
-        .agg(F.array_sort(F.collect_list(F.struct("df", "h"))).alias("order"))
-    )
-    keep = F.col("size") - F.ceil(F.col("size") * num / den).cast("int") + 1
-    prefix = ranked.select("cid", "size", F.explode(F.slice("order", F.lit(1), keep)).alias("o")).select("cid", "size", F.col("o.h").alias("h"))
-    a = prefix.select("h", F.col("cid").alias("a"), F.col("size").alias("sa"))
-    b = prefix.select("h", F.col("cid").alias("b"), F.col("size").alias("sb"))
-    return a.join(b, "h").where((F.col("a") < F.col("b")) & (F.col("sa") * den >= F.col("sb") * num) & (F.col("sb") * den >= F.col("sa") * num)).select("a", "b")
-
-
-def similar_classes(classes: DataFrame, num: int = 7, den: int = 10, bands: int = BANDS, rows: int = ROWS, hot_bucket: int = HOT_BUCKET) -> DataFrame:
-    """(a, b): pairs of different classes with |A∩B|/|A∪B| ≥ num/den.
-
-    The band rows are shuffled once: the bucket sizes (a window), both sides of
-    the self-join and the choice of hot buckets read the same exchange.
-    """
-    buckets = (
-        classes.select("cid", "size", "hashes")
-        .mapInArrow(_band_batches(bands, rows), "bucket bigint, cid bigint, size int, sketch bigint")
-        .withColumn("members", F.count(F.lit(1)).over(Window.partitionBy("bucket")))
-        .where("members > 1")
-    )
-    in_hot = buckets.where(F.col("members") > hot_bucket).select("cid").distinct()
-    cand = _bucket_pairs(buckets.where(F.col("members") <= hot_bucket), num, den).unionByName(_prefix_pairs(classes, classes.join(in_hot, "cid", "left_semi"), num, den))
+def verified(pairs: DataFrame, classes: DataFrame, num: int, den: int) -> DataFrame:
+    """Those ``pairs`` (a, b) of classes whose sets overlap by num/den or more."""
     left = classes.select(F.col("cid").alias("a"), F.col("values").alias("va"))
     right = classes.select(F.col("cid").alias("b"), F.col("values").alias("vb"))
     inter = F.size(F.array_intersect("va", "vb"))
-    return cand.distinct().join(left, "a").join(right, "b").where(_over(inter, F.size("va"), F.size("vb"), num, den)).select("a", "b")
+    return pairs.join(left, "a").join(right, "b").where(_over(inter, F.size("va"), F.size("vb"), num, den)).select("a", "b")
+
+
+def similar_classes(classes: DataFrame, num: int = 7, den: int = 10, bands: int = BANDS, rows: int = ROWS, hot_bucket: int = HOT_BUCKET) -> DataFrame:
+    """(a, b), a < b: pairs of different classes with |A∩B|/|A∪B| ≥ num/den."""
+    first = classes.select("cid", "size", "hashes").mapInArrow(band_batches(bands, rows), "bucket bigint, cid bigint, size int, sketch bigint")
+    return verified(banded_pairs(classes, first, num, den, 64 - SKETCH_AGREE, hot_bucket, (SUB_BANDS, SUB_ROWS)), classes, num, den)
 
 
 def similar_set_pairs(records: DataFrame, num: int = 7, den: int = 10, **bands) -> DataFrame:
