@@ -2,7 +2,8 @@
 
 Every task builds, for the baskets it reads, one associative array (stripe) of
 neighbour counts per item; stripes, not pairs, are shuffled by item and merged
-key by key.  Items below the support that any reported pair needs are pruned
+key by key.  The stripes of hot items are cut into parts by neighbour, so that no
+task has to merge the whole of one.  Items below the support that any reported pair needs are pruned
 first (a pair cannot occur more often than its rarer item), which loses nothing.
 
 Items travel as 64-bit hashes and get their names back at the end; among V
@@ -21,8 +22,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Pair counts a task holds before it passes its stripes on; frequent items up to which the pruning set is sent to tasks.
+from palatine.llm.common import checkpoint
+
+#: Pair counts a task holds before it passes its stripes on; frequent items (8 bytes each) up to which the pruning set is sent to tasks.
 HELD, PRUNE_ITEMS = 8_000_000, 1_000_000
+#: Parts of a hot item's stripe; hot is an item in more than a thousandth of all places, so there are at most a thousand.
+PARTS, HOT_SHARE = 64, 1000
+#: The ratio that chance exceeds in one of twenty pairs (chi-square with one degree of freedom).
+SIGNIFICANT = 3.8415
 
 
 def _merge(codes: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
@@ -33,8 +40,12 @@ def _merge(codes: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarra
     return c[first], np.add.reduceat(n, first)
 
 
-def stripe_batches(keep: np.ndarray | None, held: int = HELD, chunk: int = 4096):
-    """mapInArrow over (items array<bigint>): stripes (item, neighbours, counts), neighbour > item as signed numbers."""
+def stripe_batches(keep: np.ndarray | None, held: int = HELD, chunk: int = 4096, hot: np.ndarray | None = None):
+    """mapInArrow over (items array<bigint>): stripes (item, part, neighbours, counts), neighbour > item as signed numbers.
+
+    ``hot`` items (sorted) have a stripe for each part of their neighbours.
+    """
+    hot = np.zeros(0, np.int64) if hot is None else hot
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = np.zeros(0, np.int64)  # sorted hashes met so far in this task
@@ -46,14 +57,18 @@ def stripe_batches(keep: np.ndarray | None, held: int = HELD, chunk: int = 4096)
             if size:
                 codes, counts = _merge(*store)
                 a, b = codes >> 32, codes & 0xFFFFFFFF
-                heads = np.flatnonzero(np.concatenate(([True], a[1:] != a[:-1])))
+                is_hot = hot[np.minimum(np.searchsorted(hot, ids[a]), len(hot) - 1)] == ids[a] if len(hot) else np.zeros(len(a), bool)
+                part = np.where(is_hot, ids[b] & (PARTS - 1), 0).astype(np.int32)
+                order = np.lexsort((part, a))
+                a, b, counts, part = a[order], b[order], counts[order], part[order]
+                heads = np.flatnonzero(np.concatenate(([True], (a[1:] != a[:-1]) | (part[1:] != part[:-1]))))
                 for at in range(0, len(heads), 256):  # a few stripes at a time keeps batches small
                     some = heads[at : at + 256]
                     lo, hi = some[0], heads[at + 256] if at + 256 < len(heads) else len(a)
                     off = pa.array(np.append(some, hi).astype(np.int32) - np.int32(lo))
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(ids[a[some]]), pa.ListArray.from_arrays(off, pa.array(ids[b[lo:hi]])), pa.ListArray.from_arrays(off, pa.array(counts[lo:hi]))],
-                        names=["item", "neighbours", "counts"],
+                        [pa.array(ids[a[some]]), pa.array(part[some]), pa.ListArray.from_arrays(off, pa.array(ids[b[lo:hi]])), pa.ListArray.from_arrays(off, pa.array(counts[lo:hi]))],
+                        names=["item", "part", "neighbours", "counts"],
                     )
             store[0].clear(), store[1].clear()
             size = 0
@@ -133,32 +148,48 @@ def llr(n_ab: Column, n_a: Column, n_b: Column, n: Column) -> Column:
     return F.lit(2.0) * (cells - sides + xlogx(t))
 
 
+def pruned(hashed: DataFrame, items: DataFrame) -> DataFrame:
+    """``hashed`` (items) without the items that are not in ``items`` (item), where those are too many to be sent to every task."""
+    placed = checkpoint(hashed.withColumn("b", F.monotonically_increasing_id()))
+    kept = placed.select("b", F.explode("items").alias("item")).join(items.select("item"), "item", "left_semi")
+    return kept.groupBy("b").agg(F.array_sort(F.collect_list("item")).alias("items")).select("items")
+
+
+def significant(pairs: DataFrame, least: float = SIGNIFICANT) -> DataFrame:
+    """The ``pairs`` that stand together more often than chance with a log-likelihood ratio of ``least`` or more.
+
+    A pair in n baskets that exceeds chance r times has a ratio of at least
+    2n(ln r - 1 + 1/r); five baskets and threefold chance give 4.3.
+    """
+    return pairs.where((F.col("lift") > 1) & (F.col("llr") >= least))
+
+
 def cooccurrence(baskets: DataFrame, min_count: int = 1, min_share_ppm: int = 0) -> DataFrame:
     """(item_a, item_b, n_ab, n_a, n_b, n, lift, llr), item_a < item_b, of ``baskets`` (items: sorted distinct texts).
 
     Pairs with n_ab below ``min_count`` or below ``min_share_ppm`` millionths of
     the baskets are left out; both bounds also prune items beforehand.
     """
-    baskets = baskets.where(F.size("items") > 0)
+    baskets = checkpoint(baskets.where(F.size("items") > 0).select("items"))
     total = baskets.count()
     least = max(1, min_count, -(-min_share_ppm * total // 1_000_000))
-    items = (
-        baskets.select(F.explode("items").alias("name"))
-        .groupBy("name")
-        .agg(F.count(F.lit(1)).alias("n"))
-        .where(F.col("n") >= least)
-        .select(F.xxhash64("name").alias("item"), "name", "n")
-    )
+    every = baskets.select(F.explode("items").alias("name")).groupBy("name").agg(F.count(F.lit(1)).alias("n"))
+    items = checkpoint(every.where(F.col("n") >= least).select(F.xxhash64("name").alias("item"), "name", "n"))
+    hashed = baskets.select(F.transform("items", lambda v: F.xxhash64(v)).alias("items"))
     keep = None
     if least > 1:
-        # with a share bound there are at most (items per basket) / share of them; else the size is checked
         found = items.select("item").limit(PRUNE_ITEMS + 1).toPandas()["item"].to_numpy(np.int64)
-        keep = np.sort(found) if len(found) <= PRUNE_ITEMS else None
-    stripes = baskets.select(F.transform("items", lambda v: F.xxhash64(v)).alias("items")).mapInArrow(stripe_batches(keep), "item bigint, neighbours array<bigint>, counts array<bigint>")
+        if len(found) <= PRUNE_ITEMS:
+            keep = np.sort(found)
+        else:
+            hashed = pruned(hashed, items)
+    places = items.agg(F.sum("n")).first()[0] or 0
+    hot = [r[0] for r in items.where(F.col("n") > max(1, places // HOT_SHARE)).select("item").collect()]  # at most HOT_SHARE
+    stripes = hashed.mapInArrow(stripe_batches(keep, hot=np.sort(np.array(hot, np.int64))), "item bigint, part int, neighbours array<bigint>, counts array<bigint>")
     merged = (
-        stripes.repartition("item")
-        .select("item", F.explode(F.arrays_zip("neighbours", "counts")).alias("s"))
-        .groupBy("item", F.col("s.neighbours").alias("other"))
+        stripes.repartition("item", "part")
+        .select("item", "part", F.explode(F.arrays_zip("neighbours", "counts")).alias("s"))
+        .groupBy("item", "part", F.col("s.neighbours").alias("other"))
         .agg(F.sum("s.counts").alias("n_ab"))
         .where(F.col("n_ab") >= least)
     )
