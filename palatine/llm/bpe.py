@@ -1,15 +1,19 @@
 """Encoding of a corpus with a public byte-level BPE, folded by higher-order functions.
 
-Texts are cut into words by the tokenizer's own pattern.  Every distinct word
-of the corpus is encoded once: its bytes become an array of one-byte pieces and
-a fold joins the neighbouring pair of the lowest rank until none is left.  The
-ranks are one literal of the plan: an array of small maps, addressed by a hash
-of the piece, since a lookup in a map literal is a linear search.  Pieces are
-hex texts.  Words longer than LONG_BYTES bytes take the same merges with a heap
-in Python, because the fold copies its array at every merge.
+Texts are cut into words by the tokenizer's own pattern.  A word's bytes become
+an array of one-byte pieces and a fold joins the neighbouring pair of the lowest
+rank until none is left.  The ranks are one literal of the plan: an array of
+small maps, addressed by a hash of the piece, since a lookup in a map literal is
+a linear search.  Pieces are hex texts.
 
-Words meet their ids again in a join: broadcast while the vocabulary is small
-(checked), else shuffled with hot words split.
+Texts are never shuffled.  The words of the corpus are counted (partial counts
+before the shuffle); the WORDS most frequent ones, which hold nearly all places
+of any corpus, are folded once and sent to every task, where array code puts
+their ids in the place of the words.  Every other word is folded where it stands.
+The bound on what is sent changes only where a word is folded, never its ids.
+
+Words longer than LONG_BYTES bytes take the same merges with a heap in Python,
+because the fold copies its array at every merge.
 
 Defined cases: null and empty texts give an empty list; special tokens' strings
 are ordinary text; a (doc_id, text) given several times gives one row.
@@ -23,17 +27,21 @@ import json
 import os
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from palatine.llm.common import checkpoint, hot_split_join, spread
+from palatine.llm.common import checkpoint, small_is, spread
 
 #: The tokenizer's word pattern. Java's \s covers ASCII only, hence the explicit class of Unicode white space.
 SPACE = r"\t-\r\x20\x{85}\xa0\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
 LONG_BYTES, SLOTS = 256, 4096
-#: Vocabulary rows and bytes up to which it is broadcast.
-BROADCAST_WORDS, BROADCAST_BYTES = 1_000_000, 64_000_000
+#: Words of at most so many bytes that are sent to every task with their ids: about 10 MB, at most 80.
+WORDS, WORD_BYTES = 200_000, 64
 
 
 def word_pattern() -> str:
@@ -50,8 +58,8 @@ def load_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
 
 
-def _slot(piece: Column) -> Column:
-    return F.pmod(F.xxhash64(piece), F.lit(SLOTS)).cast("int")
+def _slot(key: Column, slots: int) -> Column:
+    return F.pmod(F.xxhash64(key), F.lit(slots)).cast("int")
 
 
 class RankLiteral:
@@ -59,13 +67,17 @@ class RankLiteral:
 
     def __init__(self, spark: SparkSession, ranks: dict[bytes, int]):
         # the slots are computed by Spark itself so that both sides hash alike; the rank file has a fixed size
-        rows = spark.createDataFrame(pd.DataFrame({"p": [k.hex() for k in ranks], "r": list(ranks.values())})).select(_slot(F.col("p")).alias("s"), "p", "r").collect()
+        rows = spark.createDataFrame(pd.DataFrame({"p": [k.hex() for k in ranks], "r": list(ranks.values())})).select(_slot(F.col("p"), SLOTS), "p", "r").collect()
         slots: list[dict[str, int]] = [{} for _ in range(SLOTS)]
         for s, p, r in rows:
             slots[s][p] = r
         self.column = F.from_json(F.lit(json.dumps(slots)), "array<map<string,int>>")
 
 
+def _hexed(word: Column) -> Column:
+    return F.lower(F.hex(F.encode(word, "UTF-8")))
+
+
 def encode_word(hexed: Column, literal: RankLiteral) -> Column:
     """array<int> of a word given as lower-case hex bytes.
 
@@ -83,7 +95,7 @@ def _fold(hexed: Column, slots: Column) -> Column:
     n = (F.length(hexed) / 2).cast("int")
 
     def rank(piece: Column) -> Column:
-        return F.try_element_at(F.element_at(slots, _slot(piece) + 1), piece)
+        return F.try_element_at(F.element_at(slots, _slot(piece, SLOTS) + 1), piece)
 
     def pair(a: Column, b: Column) -> Column:
         return F.coalesce(rank(F.concat(a, b)), none)
@@ -132,46 +144,82 @@ def merge_heap(word: bytes, ranks: dict[bytes, int]) -> list[int]:
     return [ranks[p] for p in parts if p is not None]
 
 
-def encode_words(vocabulary: DataFrame, ranks: dict[bytes, int]) -> DataFrame:
-    """(word, ids) of distinct words."""
-    spark = vocabulary.sparkSession
-    literal = RankLiteral(spark, ranks)
-    hexed = F.lower(F.hex(F.encode("word", "UTF-8")))
-    short = vocabulary.where(F.octet_length("word") <= LONG_BYTES).select("word", encode_word(hexed, literal).alias("ids"))
-    shared = spark.sparkContext.broadcast(ranks)
+def frequent_words(cut: DataFrame, literal: RankLiteral, most: int) -> pa.Table:
+    """(word, ids) of the ``most`` frequent words of ``cut`` (words)."""
+    counts = cut.select(F.explode("words").alias("word")).where(F.octet_length("word") <= WORD_BYTES).groupBy("word").agg(F.count(F.lit(1)).alias("n"))
+    top = checkpoint(counts.orderBy(F.desc("n"), "word").limit(most))
+    # few bytes but much work: a given number of partitions is not merged into one by adaptive execution
+    placed = top.select("word").repartition(2 * cut.sparkSession.sparkContext.defaultParallelism, "word")
+    return placed.select("word", encode_word(_hexed(F.col("word")), literal).alias("ids")).toArrow()
 
-    @F.pandas_udf("array<int>")
-    def long_word(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for b in batches:
-            yield b.map(lambda w: merge_heap(w.encode(), shared.value))
 
-    return short.unionByName(vocabulary.where(F.octet_length("word") > LONG_BYTES).select("word", long_word("word").alias("ids")))
+def coded_batches(known: Broadcast, ranks: Broadcast):
+    """mapInArrow over (doc_id, words): (doc_id, ids, words, parts).
 
+    Where all words are known ``ids`` holds the document's ids; else it is null,
+    ``words`` are the words and ``parts`` their ids, null for unknown ones.
+    """
+
+    def flat(parts: pa.ListArray, offsets: np.ndarray) -> pa.ListArray:
+        """The lists of each stretch of ``parts`` as one."""
+        ends = parts.offsets.to_numpy()
+        return pa.ListArray.from_arrays(pa.array((ends[offsets] - ends[0]).astype(np.int32)), parts.flatten())
 
-def encode_corpus(docs: DataFrame, ranks: dict[bytes, int], broadcast_words: int = BROADCAST_WORDS) -> DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = pa.ipc.open_stream(known.value).read_all()
+        vocabulary, coded = (pa.concat_arrays([*table.column(c).chunks, pa.array([], t)]) for c, t in (("word", pa.string()), ("ids", pa.list_(pa.int32()))))
+        long = None
+        for b in batches:
+            words = b.column(1)
+            offsets = words.offsets.to_numpy()
+            offsets, tokens = offsets - offsets[0], words.flatten()
+            parts = coded.take(pc.index_in(tokens, value_set=vocabulary)) if len(coded) else pa.nulls(len(tokens), pa.list_(pa.int32()))
+            lost = np.flatnonzero(parts.is_null().to_numpy(zero_copy_only=False))
+            if len(lost):
+                size = pc.binary_length(tokens.take(pa.array(lost))).to_numpy()
+                if (size > LONG_BYTES).any():
+                    long = long or ranks.value
+                    parts = parts.to_pylist()
+                    for k in lost[size > LONG_BYTES].tolist():
+                        parts[k] = merge_heap(tokens[k].as_py().encode(), long)
+                    parts = pa.array(parts, pa.list_(pa.int32()))
+                    lost = lost[size <= LONG_BYTES]
+            open_ = np.zeros(len(words), bool)
+            open_[np.searchsorted(offsets, lost, "right") - 1] = True
+            mask = pa.array(open_)
+            ids = flat(parts, offsets)
+            each = pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), parts)
+            none = lambda x: pc.if_else(mask, x, pa.scalar(None, x.type))  # noqa: B023, E731
+            yield pa.RecordBatch.from_arrays([b.column(0), pc.if_else(pc.invert(mask), ids, pa.scalar(None, ids.type)), none(words), none(each)], names=["doc_id", "ids", "words", "parts"])
+
+    return run
+
+
+def once(docs: DataFrame) -> DataFrame:
+    """``docs`` (doc_id, text) without repeated rows; only rows whose doc_id recurs are shuffled, if these are few."""
+    again = checkpoint(docs.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1 and doc_id is not null").select("doc_id"))
+    if not small_is(again):
+        return docs.distinct()
+    if again.isEmpty():
+        return docs.where("doc_id is not null").unionByName(docs.where("doc_id is null").distinct())
+    return docs.join(F.broadcast(again), "doc_id", "left_anti").where("doc_id is not null").unionByName(docs.join(F.broadcast(again), docs["doc_id"].eqNullSafe(again["doc_id"]), "left_semi").unionByName(docs.where("doc_id is null")).distinct())
+
+
+def encode_corpus(docs: DataFrame, ranks: dict[bytes, int], words: int = WORDS) -> DataFrame:
     """(doc_id, ids array<int>) of ``docs`` (doc_id, text), without special tokens."""
-    full = docs.select("doc_id", "text").where(F.length("text") > 0)
-    cut = spread(full).select("doc_id", "text", F.regexp_extract_all("text", F.lit(word_pattern()), F.lit(0)).alias("words"))
-    counts = cut.select(F.explode("words").alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n"))
-    vocabulary = checkpoint(counts)
-    # few bytes but much work: a given number of partitions is not merged into one by adaptive execution
-    shared_out = vocabulary.select("word").repartition(4 * docs.sparkSession.sparkContext.defaultParallelism, "word")
-    coded = checkpoint(encode_words(shared_out, ranks))
-    size = coded.agg(F.count(F.lit(1)).alias("rows"), F.sum(F.octet_length("word") + 4 * F.size("ids") + 32).alias("bytes")).first()
-    # texts are placed by document once, so that the words of one come together again without another shuffle
-    placed = full.repartition("doc_id").dropDuplicates(["doc_id", "text"])
-    at = placed.select("doc_id", F.xxhash64("text").alias("h"), F.posexplode(F.regexp_extract_all("text", F.lit(word_pattern()), F.lit(0))).alias("pos", "word"))
-    if size["rows"] <= broadcast_words and (size["bytes"] or 0) <= BROADCAST_BYTES:
-        joined = at.join(F.broadcast(coded), "word")
-    else:
-        joined = hot_split_join(at, vocabulary.join(coded, "word"), "word", "n")
-    ids = (
-        joined.groupBy("doc_id", "h")
-        .agg(F.array_sort(F.collect_list(F.struct("pos", "ids"))).alias("parts"))
-        .select("doc_id", F.flatten(F.col("parts.ids")).alias("ids"))
-    )
-    empty = docs.where(F.coalesce(F.length("text"), F.lit(0)) == 0).select("doc_id", F.array().cast("array<int>").alias("ids")).distinct()
-    return ids.unionByName(empty)
+    spark = docs.sparkSession
+    docs = spread(docs.select("doc_id", "text"))
+    literal = RankLiteral(spark, ranks)
+    cut = F.coalesce(F.regexp_extract_all("text", F.lit(word_pattern()), F.lit(0)), F.array().cast("array<string>")).alias("words")
+    table = frequent_words(docs.select(cut), literal, words)
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, table.schema) as out:
+        out.write_table(table)
+    run = coded_batches(spark.sparkContext.broadcast(sink.getvalue().to_pybytes()), spark.sparkContext.broadcast(ranks))
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    coded = once(docs).select("doc_id", cut).mapInArrow(run, f"doc_id {kind}, ids array<int>, words array<string>, parts array<array<int>>")
+    rest = F.transform(F.array(literal.column), lambda slots: F.flatten(F.zip_with("words", "parts", lambda w, p: F.coalesce(p, _fold(_hexed(w), slots)))))[0]
+    return coded.select("doc_id", F.when(F.col("ids").isNotNull(), F.col("ids")).otherwise(rest).alias("ids"))
 
 
 def decode_corpus(coded: DataFrame, ranks: dict[bytes, int]) -> DataFrame:
