@@ -29,7 +29,7 @@ def test_against_brute_force(spark):
 
 
 def test_small_flush_changes_nothing(spark, monkeypatch):
-    monkeypatch.setattr(topn, "heap_batches", lambda held=1, f=topn.heap_batches: f(1))
+    monkeypatch.setattr(topn, "heap_batches", lambda f=topn.heap_batches: f(7, 1))
     rows = [("g", f"i{k}", k, float(k % 7)) for k in range(300)]
     assert run(spark, rows, {"g": 10}) == brute(rows, {"g": 10})
 
@@ -38,3 +38,11 @@ def test_empty_and_null_limits(spark):
     assert run(spark, [], {"g": 3}) == set()
     assert run(spark, [("g", "i", 1, 1.0)], {"g": None}) == set()
     assert run(spark, [("g", "i", 1, 0.0), ("g", "j", 1, -0.0)], {"g": 2}) == {("g", 1, "i"), ("g", 2, "j")}
+
+
+def test_many_repeated_items(spark):
+    """Beyond the bound on what is broadcast all rows are reduced by a shuffle, with the same result."""
+    rows = [("g", f"i{k % 40}", k, float((k * 7) % 31)) for k in range(200)]
+    r = spark.createDataFrame(rows, "id string, item string, seq bigint, score double")
+    limits = spark.createDataFrame([("g", 6)], "id string, n int")
+    assert {tuple(x) for x in topn.top_n_per_group(r, limits, repeated=0).collect()} == brute(rows, {"g": 6})
