@@ -98,9 +98,9 @@ SELECT molecule_a, molecule_b, n_ab, n_a, n_b, round(CAST(n_ab * n AS DOUBLE) /
   round(2.0 * ({_CELLS} - ({_SIDES}) + {_xlogx("n")}), 4) AS llr FROM pairs"""
 _P5_PAIRS = _P5_LLR.replace(" WHERE n_ab >= 5)", ")")
 
-_QUALIFIERS = "a|an|the|raw|fresh|organic|ripe|probably|maybe|cooked|dried|whole|main"
 _P6 = f"""
 WITH {_FOODS},
+names AS (SELECT 'predicted_food' AS field, n AS name FROM parts UNION ALL SELECT 'predicted_category', category FROM food_categories),
 refs AS (SELECT 'predicted_food' AS field, food_name AS k, entity_id AS canon_id FROM foods
   UNION ALL SELECT 'predicted_category', {NAME.format("category")}, min(category_id) FROM food_categories GROUP BY 2),
 cells AS (
@@ -111,10 +111,19 @@ cells AS (
   WHERE predicted_category NOT IN (SELECT category FROM food_categories WHERE category IS NOT NULL)),
 typed AS (SELECT * FROM cells WHERE value IS NOT NULL AND regexp_replace(value, '[\\s\\p{{Z}}]+', '', 'g') <> ''),
 plain AS (SELECT DISTINCT field, value, {VALUE.format("value")} AS w FROM typed),
-bare AS (SELECT field, value, w, string_split(regexp_replace(regexp_replace(w, '^(({_QUALIFIERS}) )+', ''), '( ({_QUALIFIERS}))+$', ''), ' ') AS b FROM plain),
-keys AS (SELECT DISTINCT field, value, k FROM (SELECT field, value, unnest([replace(w, ' ', ''), array_to_string(b, ''),
-  b[len(b)] || array_to_string(b[1 : len(b) - 1], ''), array_to_string(b[2 : len(b)], '') || b[1]]) AS k FROM bare) WHERE k <> ''),
-near AS (SELECT keys.field, value, arg_min(canon_id, levenshtein(keys.k, refs.k) * 1000000 + canon_id) AS canon_id
+cut AS (SELECT field, string_split(w, ' ') AS b FROM (SELECT DISTINCT field, w FROM plain) WHERE contains(w, ' ')),
+parts_ AS (SELECT field, b, unnest(generate_series(1, least(3, len(b) - 1))) AS p FROM cut),
+ends AS (SELECT field, b[1 : p] AS phrase, array_to_string(b[p + 1 :], '') AS rest FROM parts_ UNION ALL SELECT field, b[len(b) - p + 1 :], array_to_string(b[1 : len(b) - p], '') FROM parts_),
+phrases AS (SELECT ends.field, phrase FROM ends JOIN refs ON refs.field = ends.field AND refs.k = rest GROUP BY 1, 2 HAVING count(DISTINCT rest) >= 2),
+beside AS (SELECT DISTINCT field, unnest(phrase) AS q FROM phrases),
+words AS (SELECT DISTINCT field, unnest(string_split({VALUE.format("name")}, ' ')) AS q FROM names WHERE name IS NOT NULL),
+qualifiers AS (SELECT field, list(q) AS qs FROM beside ANTI JOIN words USING (field, q) GROUP BY field),
+parted AS (SELECT plain.field, value, w, string_split(w, ' ') AS a, coalesce(qs, []) AS qs FROM plain LEFT JOIN qualifiers ON qualifiers.field = plain.field),
+bounds AS (SELECT *, coalesce(list_min(list_filter(generate_series(1, len(a)), lambda i: NOT list_contains(qs, a[i]) OR i = len(a))), 1) AS lo FROM parted),
+bare AS (SELECT field, value, w, a[lo : coalesce(list_max(list_filter(generate_series(1, len(a)), lambda i: i >= lo AND (NOT list_contains(qs, a[i]) OR i = lo))), len(a))] AS b FROM bounds),
+keys AS (SELECT field, value, k, min(form) AS form FROM (SELECT field, value, unnest([0, 1, 2, 3]) AS form, unnest([replace(w, ' ', ''), array_to_string(b, ''),
+  b[len(b)] || array_to_string(b[1 : len(b) - 1], ''), array_to_string(b[2 : len(b)], '') || b[1]]) AS k FROM bare) WHERE k <> '' GROUP BY 1, 2, 3),
+near AS (SELECT keys.field, value, arg_min(canon_id, levenshtein(keys.k, refs.k) * 10000000 + form * 1000000 + canon_id) AS canon_id
   FROM keys JOIN refs ON keys.field = refs.field AND abs(length(keys.k) - length(refs.k)) <= 2
   WHERE levenshtein(keys.k, refs.k) <= least(2, length(refs.k) // 3) GROUP BY 1, 2)
 SELECT detail_id, typed.field, coalesce(near.canon_id, -1) AS canon_id FROM typed LEFT JOIN near ON near.field = typed.field AND near.value = typed.value"""
@@ -137,6 +146,23 @@ def _runs(table: str, key: str) -> str:
 
 _P9 = f"SELECT DISTINCT doc_id, item_id FROM {_runs('documents', 'doc_id')} JOIN {_runs('eval_passages', 'item_id')} USING (run)"
 
+_P9_CLEANED = rf"""
+WITH pieces AS (SELECT doc_id, unnest(a) AS p, generate_subscripts(a, 1) AS i
+  FROM (SELECT doc_id, regexp_extract_all(text, '[\p{{L}}\p{{N}}]+|[^\p{{L}}\p{{N}}]+') AS a FROM documents WHERE text <> '')),
+marked AS (SELECT *, regexp_matches(p, '^[\p{{L}}\p{{N}}]') AS is_word FROM pieces),
+words AS (SELECT doc_id, i, lower(p) AS w, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS k FROM marked WHERE is_word),
+lists AS (SELECT doc_id, list(w ORDER BY k) AS w FROM words GROUP BY doc_id),
+runs AS (SELECT doc_id, k, array_to_string(w[k : k + 11], ' ') AS run FROM (SELECT doc_id, w, unnest(generate_series(1, len(w) - 11)) AS k FROM lists WHERE len(w) >= 12)),
+hits AS (SELECT DISTINCT doc_id, k + unnest(generate_series(0, 11)) AS k FROM runs SEMI JOIN {_runs('eval_passages', 'item_id')} g ON g.run = runs.run),
+gone AS (SELECT doc_id, i, hits.k IS NOT NULL AS hit FROM words LEFT JOIN hits USING (doc_id, k)),
+counts AS (SELECT doc_id, count(*) FILTER (WHERE hit) AS removed_words, count(*) AS n FROM gone GROUP BY doc_id),
+around AS (SELECT m.doc_id, m.i, p, is_word, coalesce(hit, false) AS hit, coalesce(lag(hit) OVER o, false) AS before, coalesce(lead(hit) OVER o, false) AS after
+  FROM marked m LEFT JOIN gone g ON g.doc_id = m.doc_id AND g.i = m.i WINDOW o AS (PARTITION BY m.doc_id ORDER BY m.i)),
+cut AS (SELECT doc_id, coalesce(string_agg(p, '' ORDER BY i) FILTER (WHERE NOT (hit OR (NOT is_word AND before AND after))), '') AS text FROM around GROUP BY doc_id)
+SELECT d.doc_id, CASE WHEN coalesce(removed_words > 0.5 * n, false) THEN '' WHEN coalesce(removed_words, 0) > 0 THEN cut.text ELSE d.text END AS text,
+  coalesce(removed_words, 0) AS removed_words, coalesce(removed_words > 0.5 * n, false) AS dropped
+FROM documents d LEFT JOIN counts ON counts.doc_id = d.doc_id LEFT JOIN cut ON cut.doc_id = d.doc_id"""
+
 
 def oracle_sql() -> dict[str, str]:
     return {
@@ -152,4 +178,5 @@ def oracle_sql() -> dict[str, str]:
         "p6_found": _P6,
         "p7_found": _P7,
         "p9_found": _P9,
+        "p9_cleaned": _P9_CLEANED,
     }

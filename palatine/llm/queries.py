@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from palatine.llm import bpe, canonical_map, cooccur, cross_split, format_dups, group_split, leak_automaton, pii_crf, set_similarity, topn
-from palatine.llm.common import current_rows, food_index, name_key, small_side, split_key, table, value_set
+from palatine.llm.common import checkpoint, current_rows, food_index, name_key, new_folder, small_side, split_key, table, value_set
 
 SHARES = {"train": 0.8, "dev": 0.1, "test": 0.1}
 
@@ -56,25 +56,29 @@ def p3_report(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
-def _p4_members(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    lines = format_dups.keyed(table(spark, d, "prediction_lines"), "line", "line_key", format_dups.canonical_json("raw"))
-    cache = format_dups.keyed(table(spark, d, "food_category_cache"), "cache", "entry_key", format_dups.canonical_columns("food_key", "category"))
-    return lines, cache
+#: Batches in which the prediction lines arrive; the cache is one more.
+LINE_BATCHES = 3
 
 
-def _p4_ledger(lines: DataFrame, cache: DataFrame) -> DataFrame:
-    ledger = format_dups.merge_ledger(None, format_dups.batch_counts(lines))
-    return format_dups.merge_ledger(ledger, format_dups.batch_counts(cache))
+def _p4(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """(members, ledger): lines batch by batch in the order of their arrival, then the cache, through a ledger on disk."""
+    raw = table(spark, d, "prediction_lines").select("line_key", "raw", "received_at")
+    lines = format_dups.keyed(format_dups.canonical_lines(raw, "raw"), "line", "line_key", F.col("_c"), batch=format_dups.arrival(raw, "received_at", LINE_BATCHES))
+    cache = format_dups.keyed(table(spark, d, "food_category_cache"), "cache", "entry_key", format_dups.canonical_columns("food_key", "category"), batch=F.lit(LINE_BATCHES + 1))
+    members = checkpoint(lines.unionByName(cache))
+    ledger = format_dups.KeyLedger(spark, new_folder(spark, "ledger"))
+    for k in range(1, LINE_BATCHES + 2):
+        ledger.update(format_dups.batch_counts(members.where(F.col("batch") == k)), k)
+    return members, ledger.read()
 
 
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
-    lines, cache = _p4_members(spark, d)
-    return format_dups.copies(lines.unionByName(cache), _p4_ledger(lines, cache))
+    return format_dups.copies(*_p4(spark, d))
 
 
 def p4_collapsed(spark: SparkSession, d: str) -> DataFrame:
     """One row per record with the number of its copies."""
-    return _p4_ledger(*_p4_members(spark, d)).select("kind", "first_key", "copies")
+    return _p4(spark, d)[1].select("kind", "first_key", "copies")
 
 
 def _baskets(spark: SparkSession, d: str) -> DataFrame:
@@ -84,7 +88,7 @@ def _baskets(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
-    pairs = cooccur.cooccurrence(_baskets(spark, d), min_count=5, min_share_ppm=2000)
+    pairs = cooccur.significant(cooccur.cooccurrence(_baskets(spark, d), min_count=5, min_share_ppm=2000))
     return pairs.where("n_ab * n >= 3 * n_a * n_b").select(F.col("item_a").alias("molecule_a"), F.col("item_b").alias("molecule_b"))
 
 
@@ -105,11 +109,10 @@ def p5_pairs(spark: SparkSession, d: str) -> DataFrame:
 
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
     details, foods, cats = (table(spark, d, n) for n in ("mfp_eval_details", "food_entities", "food_categories"))
-    names = food_index(foods).select(F.col("food_name").alias("ref_key"), F.col("entity_id").alias("canon_id"))
-    food = canonical_map.map_column(details.select("detail_id", F.col("predicted_food").alias("value")), names, foods.select(F.col("entity_alias_readable").alias("value")))
-    kinds = cats.select(name_key("category").alias("ref_key"), F.col("category_id").alias("canon_id"))
-    kind = canonical_map.map_column(details.select("detail_id", F.col("predicted_category").alias("value")), kinds, cats.select(F.col("category").alias("value")))
-    return food.select("detail_id", F.lit("predicted_food").alias("field"), "canon_id").unionByName(kind.select("detail_id", F.lit("predicted_category").alias("field"), "canon_id"))
+    cell = lambda c: spark.sql(f"SELECT detail_id, {c} AS value FROM {{details}}", details=details)
+    food = canonical_map.map_column(cell("predicted_food"), spark.sql(canonical_map.ENTITY_NAMES, entities=foods), spark.sql("SELECT entity_alias_readable AS value FROM {foods}", foods=foods))
+    kind = canonical_map.map_column(cell("predicted_category"), spark.sql("SELECT category AS name, category_id AS canon_id FROM {cats}", cats=cats), spark.sql("SELECT category AS value FROM {cats}", cats=cats))
+    return spark.sql("SELECT detail_id, 'predicted_food' AS field, canon_id FROM {food} UNION ALL SELECT detail_id, 'predicted_category', canon_id FROM {kind}", food=food, kind=kind)
 
 
 def _food_records(spark: SparkSession, d: str) -> DataFrame:
@@ -142,6 +145,12 @@ def p9_found(spark: SparkSession, d: str) -> DataFrame:
     return leak_automaton.leaked_items(table(spark, d, "documents").select("doc_id", "text"), table(spark, d, "eval_passages")).select("doc_id", "item_id")
 
 
+def p9_cleaned(spark: SparkSession, d: str) -> DataFrame:
+    """Every document without the passages of evaluation items; those of which more than half is leaked are emptied."""
+    out = leak_automaton.remove_leaks(table(spark, d, "documents").select("doc_id", "text"), table(spark, d, "eval_passages"))
+    return out.select("doc_id", "text", F.col("removed_words").cast("bigint").alias("removed_words"), "dropped")
+
+
 def _texts(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").select("doc_id", "text")
 
@@ -173,6 +182,7 @@ def queries() -> dict:
         "p7_splits": p7_splits,
         "p8_ids": p8_ids,
         "p9_found": p9_found,
+        "p9_cleaned": p9_cleaned,
         "p10_found": p10_found,
         "p10_redacted": p10_redacted,
     }

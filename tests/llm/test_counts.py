@@ -28,7 +28,7 @@ def test_cooccurrence(spark):
 
 
 def test_stripes_flush(spark, monkeypatch):
-    monkeypatch.setattr(cooccur, "stripe_batches", lambda keep, f=cooccur.stripe_batches: f(keep, held=3, chunk=2))
+    monkeypatch.setattr(cooccur, "stripe_batches", lambda keep, hot, f=cooccur.stripe_batches: f(keep, held=3, chunk=2, hot=hot))
     df = spark.createDataFrame([(["a", "b", "c", "d"],)] * 5, "items array<string>")
     assert {r.n_ab for r in cooccur.cooccurrence(df).collect()} == {5} and cooccur.cooccurrence(df).count() == 6
 
@@ -90,6 +90,50 @@ def test_ledger_on_disk(spark, tmp_path):
     assert got == {"k1": 2, "k6": 2, "k7": 1}
 
 
+def test_ledger_takes_a_batch_once(spark, tmp_path):
+    """A batch delivered again changes nothing; an update that dies before its pointer leaves the ledger as it was."""
+    rows = spark.createDataFrame([("k1", "Fig"), ("k2", "fig")], "k string, a string")
+    counts = format_dups.batch_counts(format_dups.keyed(rows, "c", "k", format_dups.canonical_columns("a")))
+    ledger = format_dups.KeyLedger(spark, str(tmp_path / "ledger"))
+    assert ledger.update(counts, 1) and not ledger.update(counts, 1)
+    assert [tuple(r) for r in ledger.read().select("first_key", "copies").collect()] == [("k1", 2)]
+    (tmp_path / "ledger" / "v-half").mkdir()
+    assert [r.copies for r in format_dups.KeyLedger(spark, str(tmp_path / "ledger")).read().collect()] == [2]
+    assert ledger.update(counts, 2) and [r.copies for r in ledger.read().collect()] == [4]
+    for k in range(3, 6):
+        ledger.update(counts, k)
+    assert sum(p.name.startswith("v-") for p in (tmp_path / "ledger").iterdir()) == 2 and ledger.read().first().copies == 10
+
+
+def test_both_parsers_give_one_form(spark):
+    """Lines that the built-in parser takes have the canonical form that Python's gives."""
+    df = spark.createDataFrame([(k, r) for k, r in LINES if k != "b"] + [("z", '{"a b": [1, "x"], "q": true, "u": "\\u00c9 2"}')], "k string, raw string")
+    for r in format_dups.canonical_lines(df, "raw").collect():
+        assert r["_c"] == format_dups._canonical(r.raw)
+
+
+def test_significance_keeps_what_the_thresholds_keep():
+    """Five baskets and threefold chance always reach the ratio."""
+    g2 = lambda ab, a, b, n: 2 * sum(x * math.log(x * n / r / c) for x, r, c in ((ab, a, b), (a - ab, a, n - b), (b - ab, n - a, b), (n - a - b + ab, n - a, n - b)) if x)
+    rng = random.Random(3)
+    for _ in range(20_000):
+        n = rng.randint(20, 3000)
+        ab = rng.randint(5, 30)
+        a, b = ab + rng.randint(0, 60), ab + rng.randint(0, 60)
+        if a + b - ab <= n and ab * n >= 3 * a * b:
+            assert g2(ab, a, b, n) >= cooccur.SIGNIFICANT
+
+
+def test_hot_items_and_many_items(spark, monkeypatch):
+    """Stripes in parts, and pruning by a join, give the same counts."""
+    rng = random.Random(8)
+    df = spark.createDataFrame([(sorted({"hot", *rng.sample("abcdefghijklmnop", 5)}),) for _ in range(200)], "items array<string>")
+    want = sorted(map(tuple, cooccur.cooccurrence(df, min_count=20).collect()))
+    monkeypatch.setattr(cooccur, "HOT_SHARE", 4)
+    monkeypatch.setattr(cooccur, "PRUNE_ITEMS", 3)
+    assert sorted(map(tuple, cooccur.cooccurrence(df, min_count=20).collect())) == want and want
+
+
 def test_canonical_form_ignores_order_only():
     a = format_dups._canonical(json.dumps({"b": "X y", "a": 1}))
     assert a == format_dups._canonical('{"a": 1, "b": "xY"}') != format_dups._canonical('{"a": 2, "b": "xY"}')

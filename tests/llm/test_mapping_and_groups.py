@@ -21,7 +21,7 @@ def test_pigeonhole_finds_every_near_key(spark):
     word = lambda n: "".join(rng.choice("abc") for _ in range(n))
     refs = sorted({word(rng.randint(3, 12)) for _ in range(120)})
     values = sorted({word(rng.randint(1, 13)) for _ in range(250)} | {r[:-1] for r in refs[:20]})
-    got = canonical_map.mapped_values(spark.createDataFrame([(v,) for v in values], "value string"), spark.createDataFrame(list(zip(refs, range(len(refs)))), "ref_key string, canon_id bigint"))
+    got = canonical_map.mapped_values(spark.createDataFrame([(v,) for v in values], "value string"), spark.createDataFrame(list(zip(refs, range(len(refs)))), "name string, canon_id bigint"))
     want = {}
     for v in values:
         near = [(d, i) for i, r in enumerate(refs) if (d := distance(v, r)) <= min(2, len(r) // 3)]
@@ -30,16 +30,25 @@ def test_pigeonhole_finds_every_near_key(spark):
 
 
 def test_forms(spark):
-    refs = spark.createDataFrame([("blackcurrant", 1), ("rootcrop", 2), ("", 3), (None, 4)], "ref_key string, canon_id bigint")
+    refs = spark.createDataFrame([("blackcurrant", 1), ("rootcrop", 2), ("", 3), (None, 4)], "name string, canon_id bigint")
     cells = ["the Black Currant (raw)", "Currant, Black", "[blak_curant]*", "crop, root", "Root Crop (main)", "unknown", "???", "Black Currant", "black currant"]
-    rows = spark.createDataFrame([(i, v) for i, v in enumerate(cells)] + [(20, None), (21, " \t"), (22, " ")], "detail_id bigint, value string")
+    cells += ["the root-crop", "Root Crop raw", "black currant RAW", "the blackcurrant", "Blackcurrant main", "a ripe root crop", "a ripe black currant", "A RIPE Black Curant", "ripe crop", "black crop"]
+    rows = spark.createDataFrame([(i, v) for i, v in enumerate(cells)] + [(30, None), (31, " \t"), (32, " ")], "detail_id bigint, value string")
     listed = spark.createDataFrame([("Black Currant",), (None,)], "value string")
     got = {r.detail_id: r.canon_id for r in canonical_map.map_column(rows, refs, listed).collect()}
-    assert got == {0: 1, 1: 1, 2: 1, 3: 2, 4: 2, 5: -1, 6: -1, 8: 1}
+    assert got == {0: 1, 1: 1, 2: 1, 3: 2, 4: 2, 5: -1, 6: -1, 8: 1} | {9: 2, 10: 2, 11: 1, 12: 1, 13: 1, 14: 2, 15: 1, 16: 1, 17: -1, 18: -1}
+
+
+def test_own_name_goes_before_a_shorter_one(spark):
+    """A value that is listed as it stands keeps its entry, though what is left without a qualifying word is listed too, with a smaller id."""
+    names = spark.createDataFrame([("plum", 1), ("dried plum", 2), ("fig", 3), ("pear", 4)], "name string, canon_id bigint")
+    rows = spark.createDataFrame(list(enumerate(["Dried Plum.", "fresh fig", "fresh pear", "fresh plum", "dried fig", "dried pear"])), "detail_id bigint, value string")
+    got = {r.detail_id: r.canon_id for r in canonical_map.map_column(rows, names, spark.createDataFrame([], "value string")).collect()}
+    assert got == {0: 2, 1: 3, 2: 4, 3: 1, 4: -1, 5: -1}
 
 
 def test_empty_list_and_rows(spark):
-    none = spark.createDataFrame([], "ref_key string, canon_id bigint")
+    none = spark.createDataFrame([], "name string, canon_id bigint")
     rows = spark.createDataFrame([(1, "x"), (1, "x")], "detail_id bigint, value string")
     listed = spark.createDataFrame([], "value string")
     assert [r.canon_id for r in canonical_map.map_column(rows, none, listed).collect()] == [-1, -1]

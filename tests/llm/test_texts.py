@@ -27,7 +27,7 @@ def test_bpe(spark, ranks, limit):
     pattern = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
     enc = tiktoken.Encoding("t", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
     df = spark.createDataFrame([(i, t, 1) for i, t in enumerate(TEXTS)] + [(0, TEXTS[0], 1)], "doc_id bigint, text string, word int")
-    coded = bpe.encode_corpus(df, ranks, broadcast_words=limit)
+    coded = bpe.encode_corpus(df, ranks, words=limit)
     rows = coded.collect()
     assert len(rows) == len(TEXTS)
     assert {r.doc_id: r.ids for r in rows} == {i: enc.encode_ordinary(t) if t else [] for i, t in enumerate(TEXTS)}
@@ -82,6 +82,16 @@ def test_leaks(spark, block):
     assert got == want
 
 
+def test_removal_does_not_depend_on_blocks(spark):
+    words = [f"w{k}" for k in range(40)]
+    items = spark.createDataFrame([(1, " ".join(words[:13])), (2, " ".join(words[5:18]))], "item_id bigint, text string")
+    docs = spark.createDataFrame([(1, " ".join(words)), (2, None), (3, "")], "doc_id bigint, text string")
+    for block in (10_000, 13):
+        got = {r.doc_id: r for r in leak_automaton.remove_leaks(docs, items, block_words=block).collect()}
+        assert got[1].text == " " + " ".join(words[18:]) and got[1].removed_words == 18 and not got[1].dropped
+        assert got[2].text is None and got[3].text == "" and not got[2].dropped
+
+
 def test_remove_leaks(spark):
     item = "one two three four five six"
     docs = [(1, "Before One, two; THREE four five six after and more words here to keep it"), (2, item), (3, "clean text"), (4, None)]
