@@ -6,7 +6,7 @@ import argparse
 import os
 import sys
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from palatine.operators import entropy, evaluate, evidence, model, pipeline, profile, resolve, retrieval, split, validate
@@ -47,9 +47,7 @@ def split_rows(spark: SparkSession, a: argparse.Namespace) -> dict:
     if a.hash:
         placed = split.hash_split(rows, "id", str(a.seed), ratios)
     else:
-        # ordinals in file order; seeded_split bounds the number of rows
-        numbered = rows.withColumn("ordinal", F.row_number().over(Window.orderBy("ord")) - 1)
-        placed = split.seeded_split(numbered, "ordinal", a.seed, ratios).drop("ordinal")
+        placed = split.seeded_split(rows, "ord", a.seed, ratios)
     parts = {n: placed.where(F.col("split") == n) for n in split.NAMES}
     if not all(r.shared == 0 and r.covered for r in validate.split_check(parts, rows).collect()):
         raise ValueError("splits overlap or miss ids")

@@ -36,11 +36,30 @@ def _between(c: Column, first: str, last: str) -> Column:
     return F.when((start > 0) & (F.locate(last, c) > 0) & (end > start), F.substr(c, start, end - start + 1))
 
 
-FENCE = r"(?is)```(?:json)?\s*(.*?)\s*```"
+# What marks a block, a list item and its end in a reply.
+FENCE, FENCE_LANGUAGE = "```", "json"
+LIST_MARKS, NUMBER_ENDS = ("-", "*", "•"), (".", ")")
+QUOTES, ITEM_ENDS, AGENT_ENDS = ('"', "'"), ",;。；", '",'
 
 
 def _fenced(c: Column) -> Column:
-    return F.when(F.regexp_like(c, F.lit(FENCE)), strip(F.regexp_extract(c, FENCE, 1)))
+    """What stands between the first two fences, without the name of the language."""
+    inner = F.try_element_at(F.split(c, FENCE, 3), F.lit(2))
+    named = F.lower(F.left(inner, F.lit(len(FENCE_LANGUAGE)))) == FENCE_LANGUAGE
+    return F.when(F.size(F.split(c, FENCE, 3)) == 3, strip(F.when(named, F.substr(inner, F.lit(len(FENCE_LANGUAGE) + 1))).otherwise(inner)))
+
+
+def _item(line: Column) -> Column:
+    """What follows the mark of a list line (a bullet, or digits and their end), null for other lines."""
+    mark = F.regexp_extract(line, r"^(\S+)\s+\S", 1)
+    number = F.right(mark, F.lit(1)).isin(*NUMBER_ENDS) & F.regexp_like(F.substr(mark, F.lit(1), F.length(mark) - 1), F.lit("^[0-9]+$"))
+    return F.when(mark.isin(*LIST_MARKS) | number, strip(F.substr(line, F.length(mark) + 1)))
+
+
+def _unquoted(c: Column) -> Column:
+    """Without one quote at either end."""
+    c = F.when(F.left(c, F.lit(1)).isin(*QUOTES), F.substr(c, F.lit(2))).otherwise(c)
+    return F.when(F.right(c, F.lit(1)).isin(*QUOTES), F.substr(c, F.lit(1), F.length(c) - 1)).otherwise(c)
 
 
 def json_reply(c: Column | str, order: str = "fence_replaces") -> Column:
@@ -82,13 +101,12 @@ def bullet_items(c: Column | str, agent: bool = False) -> Column:
     skipped, repeats are dropped.
     """
     lines = F.transform(F.split(F.coalesce(col(c), F.lit("")), r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x{85}\x{2028}\x{2029}]"), strip)
-    marked = r"^(?:\d+[.)]|[-*•])\s+(\S.*)$"
-    items = F.transform(F.filter(lines, lambda x: F.regexp_like(x, F.lit(marked))), lambda x: strip(F.regexp_extract(x, marked, 1)))
+    items = F.filter(F.transform(lines, _item), lambda x: x.isNotNull())
     if agent:
-        items = F.transform(items, lambda x: F.regexp_replace(x, '^[",]+|[",]+$', ""))
-        items = F.filter(items, lambda x: (x != "") & ~F.regexp_like(F.lower(x), F.lit("^(predicted|molecules)")))
+        items = F.transform(items, lambda x: F.btrim(x, F.lit(AGENT_ENDS)))
+        items = F.filter(items, lambda x: (x != "") & ~F.lower(x).startswith("predicted") & ~F.lower(x).startswith("molecules"))
         return distinct_names(items)
-    items = F.transform(items, lambda x: strip(F.regexp_replace(F.regexp_replace(x, "^[\"']|[\"']$", ""), "[,;。；]+$", "")))
+    items = F.transform(items, lambda x: strip(F.rtrim(_unquoted(x), F.lit(ITEM_ENDS))))
     return F.filter(items, lambda x: x != "")
 
 

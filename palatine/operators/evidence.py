@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from palatine.functions.normalize import entropy_key, name_text
-from palatine.operators.physical import small_side
+from palatine.operators.physical import checkpoint, small_side
 
 NONE = "- no_evidence"
 
@@ -17,7 +17,7 @@ def evidence_blocks(selected: DataFrame, evidence: DataFrame, limit: int | None
     ``selected`` has (id, place, item), ``evidence`` (key, snippets).  An item
     without evidence keeps its place with a placeholder.
     """
-    hit = selected.withColumn("key", entropy_key("item")).join(small_side(evidence), "key", "left")
+    hit = selected.withColumn("key", entropy_key("item")).join(small_side(checkpoint(evidence)), "key", "left")
     none = F.array().cast("array<string>")
     found = F.coalesce("snippets", none)
     used = found if limit is None else F.slice(found, F.lit(1), F.lit(limit))
@@ -32,7 +32,7 @@ def evidence_blocks(selected: DataFrame, evidence: DataFrame, limit: int | None
 
 def food_evidence(rows: DataFrame, evidence: DataFrame, food: str = "target_food", limit: int = 10) -> DataFrame:
     """(id, evidence_key, evidence_found, raw_count, used_count, block): the first ``limit`` snippets of the row's food."""
-    hit = rows.select("id", name_text(food).alias("key")).join(small_side(evidence), "key", "left")
+    hit = rows.select("id", name_text(food).alias("key")).join(small_side(checkpoint(evidence)), "key", "left")
     found = F.coalesce("snippets", F.array().cast("array<string>"))
     used = F.slice(found, F.lit(1), F.lit(limit))
     return hit.select(

@@ -23,6 +23,8 @@ from palatine.operators.evaluate import cache_misses
 from palatine.operators.physical import checkpoint
 
 POLICIES = ("record", "abort")
+#: HTTP codes that pass by waiting.
+TRANSIENT = (429, 503)
 
 
 @dataclass(frozen=True)
@@ -41,8 +43,10 @@ class ChatClient:
     """A chat endpoint over HTTPS; the key is read from the environment of the worker.
 
     A reply 400 that names an option (response_format, thinking, temperature)
-    drops that option once and asks again; time-outs are tried ``attempts``
-    times with growing pauses; other HTTP errors are not repeated.
+    drops that option once and asks again; time-outs, a rate limit (429) and
+    an overloaded provider (503) are tried ``attempts`` times with growing
+    pauses; other HTTP errors are not repeated.  A spent balance (402, or a body
+    that says so) ends the run.
     """
 
     url: str
@@ -64,7 +68,7 @@ class ChatClient:
                 data = self._post(body, key)
             except urllib.error.HTTPError as e:
                 text = e.read().decode("utf-8", "replace")
-                if e.code in (402, 429) or "quota" in text.lower():
+                if e.code == 402 or "insufficient balance" in text.lower():
                     raise QuotaExceeded(text[:200]) from e
                 named = next((o for o in ("response_format", "thinking", "temperature") if o in body and o in text), None)
                 if e.code == 400 and named:
@@ -82,8 +86,10 @@ class ChatClient:
             try:
                 with urllib.request.urlopen(request, timeout=self.timeout) as r:
                     return json.loads(r.read())
-            except urllib.error.HTTPError:
-                raise
+            except urllib.error.HTTPError as e:
+                if e.code not in TRANSIENT or attempt + 1 == self.attempts:
+                    raise
+                time.sleep(2 * 2**attempt)
             except OSError:
                 if attempt + 1 == self.attempts:
                     raise

@@ -8,17 +8,23 @@ import tempfile
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Rows up to which a side is broadcast.
-BROADCAST_ROWS = 200_000
+#: Rows and bytes up to which a side is broadcast.
+BROADCAST_ROWS, BROADCAST_BYTES = 200_000, 64_000_000
 
 
-def is_small(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> bool:
-    """Whether ``df`` has at most ``max_rows`` rows; reads no more than one row beyond."""
-    return df.limit(max_rows + 1).count() <= max_rows
+def is_small(df: DataFrame, max_rows: int = BROADCAST_ROWS, max_bytes: int = BROADCAST_BYTES) -> bool:
+    """Whether ``df`` has at most ``max_rows`` rows of at most ``max_bytes`` in all; reads no more than one row beyond."""
+    size = F.sum(F.octet_length(F.to_json(F.struct("*")))) if any(t.startswith(("string", "array", "struct", "map", "binary")) for _, t in df.dtypes) else F.lit(0)
+    n = df.limit(max_rows + 1).agg(F.count(F.lit(1)).alias("rows"), F.coalesce(size, F.lit(0)).alias("bytes")).first()
+    return n["rows"] <= max_rows and n["bytes"] <= max_bytes
 
 
 def small_side(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """``df`` with a broadcast hint if it is small, else as it is: the join then shuffles."""
+    """``df`` with a broadcast hint if it is small, else as it is: the join then shuffles.
+
+    A ``df`` that is costly to compute is to be checkpointed first, since the
+    check and the join both read it.
+    """
     return F.broadcast(df) if is_small(df, max_rows) else df
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from palatine.functions.normalize import name_text, strip, synonym_parts
-from palatine.operators.physical import small_side
+from palatine.operators.physical import checkpoint, small_side
 
 #: Name fields of an entity in the order in which they decide; list fields count whole and in parts.
 LEVELS = ("entity_alias_readable", "entity_alias", "natural_source_name", "entity_alias_basket", "entity_alias_synonyms", "category_readable", "category")
@@ -58,7 +58,7 @@ def reconstruct(tasks: DataFrame, full: DataFrame) -> DataFrame:
     or ambiguous, empty_full_molecules, missing_not_subset_of_full,
     partial_empty, ok.  ``n`` counts the missing items with repeats.
     """
-    rows = tasks.join(small_side(full), "entity_id", "left")
+    rows = tasks.join(small_side(checkpoint(full)), "entity_id", "left")
     # each step names what the next uses more than once, so that nothing is normalised twice
     rows = rows.withColumn("_whole", F.coalesce("full", F.array().cast("array<string>"))).withColumn("_gone", F.transform("missing", name_text)).withColumn("_keys", F.transform("_whole", name_text))
     rows = rows.withColumn("_outside", F.size(F.array_except("_gone", "_keys"))).withColumn(

@@ -19,13 +19,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from palatine.functions.normalize import first_truthy, tokens
-from palatine.functions.parse import joined
 from palatine.operators.physical import checkpoint, is_small, spread
 
 K1, B = 1.5, 0.75
 #: Query tokens up to which they are broadcast.
 QUERY_TOKENS = 1_000_000
-DIGITS = 6
+#: Digits of a score that is shown, and of one that is ranked: sums of the same parts in another order agree in so many.
+DIGITS, RANK_DIGITS = 6, 12
 #: Queries scored together, and products of one step (8 bytes each).
 QUERY_BLOCK, STEP = 512, 4_000_000
 
@@ -91,7 +91,7 @@ def bm25_scores(docs: DataFrame, queries: DataFrame, k1: float = K1, b: float =
     hits = dt.join(F.broadcast(weighted) if small else weighted, "token")
     norm = F.lit(1.0 - b) + F.lit(b) * F.col("dl") / F.when(F.col("avgdl") > 0, F.col("avgdl")).otherwise(F.lit(1.0))
     part = F.col("w") * (F.col("tf") * F.lit(k1 + 1.0)) / (F.col("tf") + F.lit(k1) * norm)
-    return hits.groupBy("doc_id", "query_id").agg(F.round(F.sum(part), DIGITS).alias("score")).select("query_id", "doc_id", "score")
+    return hits.groupBy("doc_id", "query_id").agg(F.round(F.sum(part), RANK_DIGITS).alias("score")).select("query_id", "doc_id", "score")
 
 
 def _block_scorer(number: dict[str, int], blocks: list[tuple[np.ndarray, np.ndarray, np.ndarray]], sizes: list[int], avgdl: float, k: int, k1: float, b: float):
@@ -130,7 +130,7 @@ def _block_scorer(number: dict[str, int], blocks: list[tuple[np.ndarray, np.ndar
                     for s in range(0, len(starts), step):
                         lo, some = starts[s], starts[s : s + step]
                         hi = starts[s + step] if s + step < len(starts) else len(d)
-                        score = np.round(np.add.reduceat(table[t[lo:hi]] * value[lo:hi, None], some - lo, axis=0), DIGITS)
+                        score = np.round(np.add.reduceat(table[t[lo:hi]] * value[lo:hi, None], some - lo, axis=0), RANK_DIGITS)
                         both = np.concatenate((best, score))
                         best[:] = np.partition(both, len(both) - k, axis=0)[len(both) - k :]
                         r, q = np.nonzero((score >= best.min(0)) & (score > 0))
@@ -179,13 +179,10 @@ def bm25_top_k(docs: DataFrame, queries: DataFrame, k: int = 3, fill: bool = Tru
         first = docs.select("doc_id").orderBy("doc_id").limit(2 * k)
         extra = lacking.crossJoin(F.broadcast(first)).join(best.select("query_id", "doc_id"), ["query_id", "doc_id"], "left_anti").withColumn("score", F.lit(0.0))
         best = best.unionByName(extra)
-    return top_k(best, k).select("query_id", F.col("rank").cast("bigint").alias("rank"), "doc_id", "score")
+    return top_k(best, k).select("query_id", F.col("rank").cast("bigint").alias("rank"), "doc_id", F.round("score", DIGITS).alias("score"))
 
 
 def packed(ranked: DataFrame) -> DataFrame:
     """(query_id, retrieved): the ranked documents of a query as one array of structs."""
     return ranked.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("rank", "doc_id", "score"))).alias("retrieved"))
 
-
-def demo_lines(items: Column | str) -> Column:
-    return joined(items)

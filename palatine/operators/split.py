@@ -34,8 +34,8 @@ def seeded_order(total: int, seed: int = 42) -> list[int]:
 
 
 def seeded_split(rows: DataFrame, ordinal: str, seed: int = 42, ratios: tuple[float, float, float] = (0.8, 0.1, 0.1)) -> DataFrame:
-    """``rows`` with (split, split_pos), by ``ordinal`` 0..N-1; for at most SEEDED_ROWS rows."""
-    total = rows.count()
+    """``rows`` with (split, split_pos), shuffled from the order of ``ordinal``; for at most SEEDED_ROWS rows."""
+    rows, total = numbered(rows, "_ordinal", ordinal)  # dense, whatever the gaps
     if total > SEEDED_ROWS:
         raise ValueError(f"{total} rows: use hash_split beyond {SEEDED_ROWS}")
     spark = rows.sparkSession
@@ -45,7 +45,7 @@ def seeded_split(rows: DataFrame, ordinal: str, seed: int = 42, ratios: tuple[fl
     import pandas as pd
 
     plan = spark.createDataFrame(pd.DataFrame({"_o": range(total), "split_pos": place}), "_o bigint, split_pos bigint")
-    return _named(rows.join(plan, F.col(ordinal) == F.col("_o")).drop("_o"), split_sizes(total, ratios))
+    return _named(rows.join(plan, F.col("_ordinal") == F.col("_o")).drop("_o", "_ordinal"), split_sizes(total, ratios))
 
 
 def _named(rows: DataFrame, sizes: tuple[int, ...]) -> DataFrame:
@@ -57,15 +57,23 @@ def _named(rows: DataFrame, sizes: tuple[int, ...]) -> DataFrame:
 def hash_split(rows: DataFrame, key: str, seed: str = "42", ratios: tuple[float, float, float] = (0.8, 0.1, 0.1)) -> DataFrame:
     """``rows`` with (split, split_pos): exact sizes in the order of sha256(seed | key), ties by key.
 
-    Distributed: rows are range-partitioned by digest, numbered within the
-    partition and shifted by the number of rows before it.
+    The position is that of a distributed numbering.
     """
     digest = F.sha2(F.concat(F.lit(f"{seed}|"), F.col(key).cast("string")), 256)
-    parts = checkpoint(rows.withColumn("_h", digest).repartitionByRange("_h", key).withColumn("_p", F.spark_partition_id()))
-    sizes = parts.groupBy("_p").agg(F.count(F.lit(1)).alias("_n"))
+    placed, total = numbered(rows.withColumn("_h", digest), "split_pos", "_h", key)
+    return _named(placed.drop("_h"), split_sizes(total, ratios))
+
+
+def numbered(rows: DataFrame, name: str, *order: str) -> tuple[DataFrame, int]:
+    """``rows`` with the dense number ``name`` from 0 in ``order``, and their count.
+
+    Distributed: rows are range-partitioned, numbered within the partition and
+    shifted by the number of rows before it.
+    """
+    parts = checkpoint(rows.repartitionByRange(*order).withColumn("_p", F.spark_partition_id()))
+    sizes = parts.groupBy("_p").agg(F.count(F.lit(1)).alias("_n"))  # a row per partition
     before = F.coalesce(F.sum("_n").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    offsets = sizes.select("_p", before.alias("_before"), F.sum("_n").over(Window.partitionBy(F.lit(0))).alias("_total"))
-    total = offsets.agg(F.max("_total")).first()[0] or 0
-    at = F.row_number().over(Window.partitionBy("_p").orderBy("_h", key)) - 1
-    placed = parts.withColumn("_at", at).join(F.broadcast(offsets.drop("_total")), "_p").withColumn("split_pos", F.col("_at") + F.col("_before")).drop("_h", "_p", "_at", "_before")
-    return _named(placed, split_sizes(total, ratios))
+    offsets = checkpoint(sizes.select("_p", before.alias("_before"), "_n"))
+    total = offsets.agg(F.sum("_n")).first()[0] or 0
+    at = F.row_number().over(Window.partitionBy("_p").orderBy(*order)) - 1
+    return parts.withColumn("_at", at).join(F.broadcast(offsets.drop("_n")), "_p").withColumn(name, F.col("_at") + F.col("_before")).drop("_p", "_at", "_before"), total

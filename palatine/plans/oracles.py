@@ -53,12 +53,12 @@ tf AS (SELECT doc_id, token, CAST(count(*) AS DOUBLE) AS tf FROM (SELECT doc_id,
 df AS (SELECT token, CAST(count(*) AS DOUBLE) AS df FROM tf GROUP BY 1),
 qt AS (SELECT query_id, token, CAST(count(*) AS DOUBLE) AS qtf FROM (SELECT query_id, unnest({tokens('text')}) AS token FROM q) GROUP BY 1, 2),
 hit AS (SELECT query_id, tf.doc_id, round(sum(qtf * ln(CAST(1 AS DOUBLE) + (n - df + CAST(0.5 AS DOUBLE)) / (df + CAST(0.5 AS DOUBLE)))
-    * (tf * CAST(2.5 AS DOUBLE)) / (tf + CAST(1.5 AS DOUBLE) * (CAST(0.25 AS DOUBLE) + CAST(0.75 AS DOUBLE) * dl / avgdl))), 6) AS score
+    * (tf * CAST(2.5 AS DOUBLE)) / (tf + CAST(1.5 AS DOUBLE) * (CAST(0.25 AS DOUBLE) + CAST(0.75 AS DOUBLE) * dl / avgdl))), 12) AS score
   FROM qt JOIN tf USING (token) JOIN df USING (token) JOIN dl ON dl.doc_id = tf.doc_id, st GROUP BY 1, 2),
 allp AS (SELECT q.query_id, f.doc_id, CAST(0 AS DOUBLE) AS score FROM q, (SELECT doc_id FROM d ORDER BY doc_id LIMIT {2 * k}) f
   WHERE NOT EXISTS (SELECT 1 FROM hit WHERE hit.query_id = q.query_id AND hit.doc_id = f.doc_id)
   UNION ALL SELECT query_id, doc_id, score FROM hit)
-SELECT query_id, rank, doc_id, score FROM (
+SELECT query_id, rank, doc_id, round(score, 6) AS score FROM (
   SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM allp) WHERE rank <= {k}"""
 
 

@@ -155,8 +155,7 @@ def split_hash(spark: SparkSession, d: str) -> DataFrame:
 
 
 def split_seeded(spark: SparkSession, d: str) -> DataFrame:
-    base = t(spark, d, "documents").select("doc_id").agg(F.min("doc_id")).first()[0] or 0
-    return split.seeded_split(t(spark, d, "documents").select("doc_id", (F.col("doc_id") - F.lit(base)).alias("ordinal")), "ordinal").select("doc_id", "split_pos", "split")
+    return split.seeded_split(t(spark, d, "documents").select("doc_id"), "doc_id").select("doc_id", "split_pos", "split")
 
 
 def split_disjoint_check(spark: SparkSession, d: str) -> DataFrame:

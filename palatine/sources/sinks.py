@@ -42,15 +42,39 @@ def write_document(df: DataFrame, path: str) -> None:
 
 
 def _put(spark: SparkSession, path: str, text: str) -> None:
-    """Write a small file and move it into place."""
+    """Write a small file and put it in the place of the old one."""
     jvm = spark.sparkContext._jvm
     at, tmp = (jvm.org.apache.hadoop.fs.Path(p) for p in (path, f"{path}.{uuid.uuid4().hex}.tmp"))
     fs = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
     out = fs.create(tmp, True)
     out.write(bytearray(text.encode()))
     out.close()
-    fs.delete(at, False)
-    fs.rename(tmp, at)
+    replace(spark, str(tmp), path)
+
+
+def recover(spark: SparkSession, path: str) -> None:
+    """Bring back what a replacement that died half-way has set aside."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}.aside")
+    fs = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if fs.exists(at):
+        if path_exists(spark, path):
+            fs.delete(at, True)
+        else:
+            fs.rename(at, at.getParent().suffix("/" + path.rstrip("/").rsplit("/", 1)[-1]))
+
+
+def replace(spark: SparkSession, fresh: str, path: str) -> None:
+    """Put ``fresh`` in the place of ``path``: the old one is set aside first and removed last, so that one of both is always there."""
+    recover(spark, path)
+    jvm = spark.sparkContext._jvm
+    new, at, aside = (jvm.org.apache.hadoop.fs.Path(p) for p in (fresh, path, f"{path}.aside"))
+    fs = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if fs.exists(at) and not fs.rename(at, aside):
+        raise OSError(f"{path} cannot be set aside")
+    if not fs.rename(new, at):
+        fs.rename(aside, at)
+        raise OSError(f"{fresh} cannot be moved to {path}")
+    fs.delete(aside, True)
 
 
 def upserted(old: DataFrame | None, new: DataFrame, key: str = "id", order: str = "ord") -> DataFrame:
@@ -73,17 +97,14 @@ def upserted(old: DataFrame | None, new: DataFrame, key: str = "id", order: str
 def upsert_table(new: DataFrame, path: str, key: str = "id", order: str = "ord") -> None:
     """Upsert into a parquet table: the new version is written beside the old one, then takes its place."""
     spark = new.sparkSession
+    recover(spark, path)
     old = spark.read.parquet(path) if path_exists(spark, path) else None
     if old is not None:
         shift = (old.agg(F.max(order)).first()[0] or 0) + 1
         new = new.withColumn(order, F.col(order) + F.lit(shift))
     fresh = f"{path}.{uuid.uuid4().hex}"
     upserted(old, new, key, order).write.parquet(fresh)
-    jvm = spark.sparkContext._jvm
-    at, tmp = jvm.org.apache.hadoop.fs.Path(path), jvm.org.apache.hadoop.fs.Path(fresh)
-    fs = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    fs.delete(at, True)
-    fs.rename(tmp, at)
+    replace(spark, fresh, path)
 
 
 class IdentityMismatch(RuntimeError):
@@ -110,7 +131,9 @@ def bind_cache(spark: SparkSession, path: str, identity: dict[str, str], empty:
 def write_cache(old: DataFrame | None, new: DataFrame, path: str, key: str) -> None:
     """The cache with new entries, sorted by key, once per batch; entries of ``new`` win."""
     kept = new if old is None else new.unionByName(old.join(new.select(key), key, "left_anti"))
-    kept.sort(key).write.mode("overwrite").parquet(path)
+    fresh = f"{path}.{uuid.uuid4().hex}"  # ``old`` is read from ``path`` while this is written
+    kept.sort(key).write.parquet(fresh)
+    replace(new.sparkSession, fresh, path)
 
 
 def status_line(label: str, status: str, payload: dict) -> str:

@@ -73,6 +73,23 @@ def test_upsert(spark, tmp_path):
     assert got == [("a", 2), ("b", 9), ("c", 3)]
 
 
+def test_replacement_that_died_half_way(spark, tmp_path):
+    path = tmp_path / "t"
+    row = lambda *r: spark.createDataFrame(list(r), "id string, v int, ord bigint")
+    sinks.upsert_table(row(("a", 1, 0)), str(path))
+    path.rename(tmp_path / "t.aside")  # dies before the new version is in place
+    sinks.upsert_table(row(("b", 2, 0)), str(path))
+    assert {r.id for r in spark.read.parquet(str(path)).collect()} == {"a", "b"} and not (tmp_path / "t.aside").exists()
+
+
+def test_cache_is_written_over_itself(spark, tmp_path):
+    path = str(tmp_path / "cache")
+    row = lambda *r: spark.createDataFrame(list(r), "food string, category string")
+    sinks.write_cache(None, row(("fig", "fruit"), ("beet", "root")), path, "food")
+    sinks.write_cache(spark.read.parquet(path), row(("fig", "dry fruit"), ("ale", "drink")), path, "food")
+    assert [tuple(r) for r in spark.read.parquet(path).collect()] == [("ale", "drink"), ("beet", "root"), ("fig", "dry fruit")]
+
+
 def test_stream_upsert(spark, tmp_path):
     src = tmp_path / "in"
     src.mkdir()
