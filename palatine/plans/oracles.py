@@ -195,6 +195,42 @@ z AS (SELECT *, a0 + CASE WHEN lefts >= 1 AND ra >= rb THEN 1 WHEN lefts >= 3 TH
   b0 + CASE WHEN lefts >= 1 AND ra < rb THEN 1 WHEN lefts >= 2 THEN 1 ELSE 0 END AS b FROM s)
 SELECT doc_id, split_pos, CASE WHEN split_pos < a THEN 'train' WHEN split_pos < a + b THEN 'dev' ELSE 'test' END AS split FROM z"""
 
+_SHOWN = "regexp_replace(surface, '[\\n\\r]', ' ', 'g')"
+_JUDGE = f"""
+WITH {_LOOKUP}, k AS (SELECT {surface('predicted_food')} AS key, arg_max(predicted_food, detail_id) AS surface FROM mfp_eval_details
+  WHERE predicted_food IS NOT NULL AND {surface('predicted_food')} <> '' GROUP BY 1),
+names AS (SELECT list_sort(list(DISTINCT category)) AS a FROM food_categories WHERE category IS NOT NULL)
+SELECT key AS food, a[length({_SHOWN}) % len(a) + 1] AS category FROM k, names
+WHERE key NOT IN (SELECT food FROM cache) AND length({_SHOWN}) % 5 <> 0"""
+_ZERO = f"""
+WITH {_MFP}, m AS (SELECT id, list_filter(coalesce(molecules, []), lambda x: x IS NOT NULL AND x <> '') AS a FROM mfp WHERE split = 'test'),
+p AS (SELECT id, CASE WHEN len(a) % 4 <> 0 THEN nullif({strip('a[1]')}, '') END AS f FROM m)
+SELECT id, f AS predicted_food, CASE WHEN f IS NULL THEN 'parse_failed' END AS error FROM p"""
+_ICL = f"""
+WITH {_MFP}, {_TRAIN}, cut AS (SELECT id, unnest(retrieved[1:3]) AS d, generate_subscripts(retrieved[1:3], 1) AS rank FROM retrieval_metadata),
+last_ AS (SELECT cut.id, arg_max(regexp_replace(actual_food, '[\\n\\r]', ' ', 'g'), rank) AS f FROM cut JOIN train ON train.id = d.id WHERE actual_food IS NOT NULL GROUP BY 1),
+p AS (SELECT mfp.id, nullif({strip('f')}, '') AS f FROM mfp LEFT JOIN last_ ON last_.id = mfp.id WHERE split = 'test')
+SELECT id, f AS predicted_food, CASE WHEN f IS NULL THEN 'parse_failed' END AS error FROM p"""
+_SCAN = f"""
+WITH {_MPC}, r AS (SELECT id, {_KIND} AS kind, list_filter(coalesce(missing_molecules, []), lambda x: x IS NOT NULL) AS a FROM mpc),
+p AS (SELECT id, CASE kind WHEN 0 THEN a WHEN 1 THEN string_split(regexp_replace('[' || array_to_string(a, ', ') || ']', '^[\\[\\]]+|[\\[\\]]+$', '', 'g'), ',') END AS a FROM r WHERE kind < 2),
+q AS (SELECT id, list_filter(list_transform(a, lambda x: {strip('x')}), lambda x: x <> '') AS a FROM p)
+SELECT id, len(a) AS n_items, coalesce(array_to_string(a, ' | '), '') AS items FROM q"""
+_AUDIT = f"""
+WITH {_MPC}, mixed AS (SELECT id, n, list_concat(coalesce(partial_molecules, []), coalesce(missing_molecules, [])) AS a,
+  list_filter(list_transform(coalesce(partial_molecules, []), lambda z: {name_text('z')}), lambda k: k <> '') AS known FROM mpc),
+k AS (SELECT *, list_transform(a, lambda v: {name_text(strip("coalesce(v, 'None')"))}) AS keys FROM mixed),
+c AS (SELECT id, n, len(a) AS count_before, len(list_filter(keys, lambda k: k <> '' AND list_contains(known, k))) AS removed_partial,
+  len(list_distinct(list_filter(keys, lambda k: k <> '' AND NOT list_contains(known, k)))) AS kept FROM k)
+SELECT id, count_before, removed_partial, kept AS count_before_truncation, CASE WHEN n >= 0 AND kept > n THEN n ELSE kept END AS count_after,
+  coalesce(n >= 0 AND kept > n, false) AS truncated FROM c"""
+_PLAIN = f"""
+WITH {_MFP}, {_MPC},
+t AS (SELECT 'food:' || id AS id, 'Molecules: ' || CAST(to_json(coalesce(molecules, [])) AS VARCHAR) || chr(10) || 'Answer with one JSON object: {{"predicted_food": "<name>"}}.' AS text FROM mfp WHERE split = 'test'
+  UNION ALL SELECT 'completion:' || id, 'Food: ' || {truthy('target_food')} || chr(10) || 'Known molecules: ' || CAST(to_json(coalesce(partial_molecules, [])) AS VARCHAR) || chr(10)
+    || 'Name exactly ' || n || ' further molecules, none of the known ones.' || chr(10) || 'Answer with one JSON object: {{"predicted_molecules": ["<name>", ...]}}.' FROM mpc WHERE split = 'test' AND n IS NOT NULL)
+SELECT id, md5(text) AS prompt_md5 FROM t"""
+
 
 def oracle_sql() -> dict[str, str]:
     stats = f"WITH s AS (SELECT CAST(count(*) AS DOUBLE) AS n FROM documents), df AS (SELECT token, count(*) AS df FROM (SELECT unnest(list_distinct({tokens('text')})) AS token FROM documents) GROUP BY 1)"
@@ -258,4 +294,13 @@ def oracle_sql() -> dict[str, str]:
         ),
         "split_histogram": f"WITH {_MFP} SELECT split, count(*) AS rows FROM mfp GROUP BY split",
         "prompt_text": _PROMPT,
+        "judge_stub": _JUDGE,
+        "zero_shot_stub": _ZERO,
+        "icl_stub": _ICL,
+        "molecule_prediction_scan": _SCAN,
+        "final_molecule_audit": _AUDIT,
+        "completed_ids": f"SELECT DISTINCT id FROM mfp_eval_details WHERE id IS NOT NULL AND NOT coalesce(parse_failed, false) AND {strip('predicted_food')} <> ''",
+        "train_test_overlap": f"WITH {_MFP}, {_MPC} SELECT split_part(id, '-', -1) AS number FROM mfp WHERE split = 'train' AND split_part(id, '-', -1) IN (SELECT split_part(id, '-', -1) FROM mpc WHERE split <> 'train')",
+        "formatted_molecules": f"WITH {_MPC} SELECT id, coalesce(array_to_string(missing_molecules, ', '), '') AS all_items, coalesce(array_to_string(missing_molecules[1:3], ', '), '') AS first_items FROM mpc",
+        "plain_prompts": _PLAIN,
     }

@@ -351,6 +351,101 @@ def model_stub_generate_select(spark: SparkSession, d: str) -> DataFrame:
     return out.select("id", F.col("selected_hypothesis_index").cast("bigint").alias("selected_hypothesis_index"), "predicted_food", "error")
 
 
+def judge_stub(spark: SparkSession, d: str) -> DataFrame:
+    """New entries of the judge's cache for all predicted foods it lacks, from a deterministic model that fails on every fifth length."""
+    names = sorted(r[0] for r in t(spark, d, "food_categories").select("category").where("category is not null").distinct().collect())
+
+    def answer(text: str) -> str:
+        import json
+
+        food = text.split("\n")[0].removeprefix("Food: ")
+        return "no" if len(food) % 5 == 0 else json.dumps({"category": names[len(food) % len(names)].upper()})
+
+    keys = evaluate.distinct_surface(t(spark, d, "mfp_eval_details"), "predicted_food", "detail_id").withColumn("surface", F.regexp_replace("surface", r"[\n\r]", " "))
+    new, _ = model.judge(keys, _lookup(spark, d)[1], "food", model.stub(answer), lambda c: prompts.category_prompt(c, names), lambda c: G.reply_category(c, names), "category")
+    return new.select("food", "category")
+
+
+def zero_shot_stub(spark: SparkSession, d: str) -> DataFrame:
+    """The zero-shot run over the test tasks with a model that names the first molecule, and gives no JSON where their number is divisible by four."""
+
+    def answer(text: str) -> str:
+        import json
+
+        items = [m for m in json.loads(text.split("\n")[0].removeprefix("Molecules: ")) if m]
+        return "sorry" if len(items) % 4 == 0 else json.dumps({"predicted_food": f" {items[0]} "})
+
+    return pipeline.zero_shot(food_tasks(spark, d).where("split = 'test'").select("id", "molecules"), "food", model.stub(answer)).select("id", "predicted_food", "error")
+
+
+def icl_stub(spark: SparkSession, d: str) -> DataFrame:
+    """The run with demonstrations over the test tasks, with a model that gives the food of the last example."""
+
+    def answer(text: str) -> str:
+        import json
+
+        foods = [x[len("Food: ") :] for x in text.split("\n") if x.startswith("Food: ")]
+        return json.dumps({"predicted_food": foods[-1] if foods else ""})
+
+    tasks = food_tasks(spark, d)
+    train = tasks.where("split = 'train'").select(F.col("id").alias("demo_id"), F.regexp_replace("actual_food", r"[\n\r]", " ").alias("actual_food"), "molecules")
+    demos = evidence.resolved_demos(t(spark, d, "retrieval_metadata").select("id", "retrieved"), train.where("actual_food is not null"), 3)
+    return pipeline.icl(tasks.where("split = 'test'").select("id", "molecules"), demos, "food", model.stub(answer), policy="record").select("id", "predicted_food", "error")
+
+
+def _kind(column: str) -> F.Column:
+    return F.pmod(F.conv(F.substr(F.md5(column), F.lit(1), F.lit(4)), 16, 10).cast("int"), F.lit(4))
+
+
+def molecule_prediction_scan(spark: SparkSession, d: str) -> DataFrame:
+    """Prediction lines made of the completion tasks, as arrays, as texts in brackets, with an error, and as a number; the last success of each id."""
+    items = F.coalesce(F.filter("missing_molecules", lambda m: m.isNotNull()), F.array().cast("array<string>"))
+    kind = _kind("id")
+    listed = F.to_json(F.struct("id", items.alias("predicted_molecules")))
+    text = F.to_json(F.struct("id", F.concat(F.lit("["), F.array_join(items, ", "), F.lit("]")).alias("predicted_molecules")))
+    failed = F.to_json(F.struct("id", items.alias("predicted_molecules"), F.lit("quota").alias("error")))
+    raw = F.when(kind == 0, listed).when(kind == 1, text).when(kind == 2, failed).otherwise(F.to_json(F.struct("id", F.lit(5).alias("predicted_molecules"))))
+    v = G.strict_json("raw")
+    lines = completion_tasks(spark, d).select(F.col("id").alias("ord"), raw.alias("raw")).select("ord", "raw", F.when(G.kind_of(v) == "OBJECT", v).alias("row"))
+    found = jsonl.last_success(jsonl.molecule_predictions(lines), "predicted_molecules")
+    return found.select("id", F.size("predicted_molecules").cast("bigint").alias("n_items"), _listed("predicted_molecules").alias("items"))
+
+
+def final_molecule_audit(spark: SparkSession, d: str) -> DataFrame:
+    """What the final cleaning of an answer takes out: known molecules mixed in, repeats, and what goes beyond n."""
+    rows = completion_tasks(spark, d)
+    mixed = F.concat(F.coalesce("partial_molecules", F.array().cast("array<string>")), F.coalesce("missing_molecules", F.array().cast("array<string>")))
+    audit = rows.select("id", G.final_molecules(mixed, F.col("partial_molecules"), F.col("n")).alias("f"))
+    return audit.select("id", *[F.col(f"f.{c}").cast("bigint").alias(c) for c in ("count_before", "removed_partial", "count_before_truncation", "count_after")], "f.truncated")
+
+
+def completed_ids(spark: SparkSession, d: str) -> DataFrame:
+    """Ids with a successful prediction."""
+    rows = t(spark, d, "mfp_eval_details")
+    return validate.completed_ids(rows, validate.food_succeeded(F.col("id"), F.col("predicted_food"), F.when(F.col("parse_failed"), "parse_failed")))
+
+
+def train_test_overlap(spark: SparkSession, d: str) -> DataFrame:
+    """Task numbers recorded in train by one table and held out by the other."""
+    number = F.substring_index("id", "-", -1).alias("number")
+    train = food_tasks(spark, d).where("split = 'train'").select(number)
+    held = completion_tasks(spark, d).where("split <> 'train'").select(number)
+    return train.join(held, "number", "left_semi")
+
+
+def formatted_molecules(spark: SparkSession, d: str) -> DataFrame:
+    """Molecules as one text, all and the first three."""
+    return completion_tasks(spark, d).select("id", G.joined("missing_molecules").alias("all_items"), G.joined("missing_molecules", 3).alias("first_items"))
+
+
+def plain_prompts(spark: SparkSession, d: str) -> DataFrame:
+    """Prompts without demonstrations: of the food tasks and of the completion tasks."""
+    user = lambda c: F.element_at(c, 2)["content"]
+    food = food_tasks(spark, d).where("split = 'test'").select(F.concat(F.lit("food:"), "id").alias("id"), user(prompts.food_prompt(F.col("molecules"))).alias("text"))
+    rest = completion_tasks(spark, d).where("split = 'test' and n is not null").select(F.concat(F.lit("completion:"), "id").alias("id"), user(prompts.molecules_prompt(F.col("target_food"), F.col("partial_molecules"), F.col("n"))).alias("text"))
+    return food.unionByName(rest).select("id", F.md5("text").alias("prompt_md5"))
+
+
 QUERIES = (
     tokenize_counts, normalize_forms, synonym_split, functional_group_sets, doc_freq_idf, bm25_top3, bm25_zero_fill, bm25_tasks_top3,
     bm25_completion_top3, retrieval_packed, demo_resolution, retrieval_gaps, name_resolution, name_resolution_status, full_set, reconstructed,
@@ -358,6 +453,7 @@ QUERIES = (
     food_evidence, evidence_blocks, jsonl_totals, jsonl_key_profile, food_prediction_scan, reply_molecules, clean_prediction_list,
     food_eval_details, food_eval_summary, extra_predictions, molecule_eval_details, molecule_eval_summary, judge_cache_misses, judge_cache_hits,
     latest_upsert, resume_pending, table_profile, split_histogram, prompt_text, model_stub_generate_select,
+    judge_stub, zero_shot_stub, icl_stub, molecule_prediction_scan, final_molecule_audit, completed_ids, train_test_overlap, formatted_molecules, plain_prompts,
 )
 
 

@@ -80,6 +80,75 @@ def test_evaluate(spark, tmp_path):
     assert summary["accuracy"] == 0.5 and summary["parse_failed"] == 1
 
 
+def judge(calls):
+    """Made within a function, so that it travels to the workers by value."""
+
+    class Judge:
+        """A stand-in for the chat client; it answers by rule and counts its calls in a file."""
+
+        url, model, options = "http://none", "stub", {}
+
+        def __init__(self, calls):
+            self.calls = calls
+
+        def __call__(self, messages, options=None):
+            from palatine.operators.model import Reply
+
+            with open(self.calls, "a") as f:
+                f.write("x")
+            text = messages[-1]["content"]
+            if "hypotheses" in text and "selected_hypothesis_index" not in text:
+                return Reply(json.dumps({"hypotheses": [{"predicted_food": f, "rationale": "r"} for f in ("Fig", "Pear", "Plum")]}))
+            if "selected_hypothesis_index" in text:
+                return Reply("nothing" if "fail" in open(self.calls + ".mode").read() else json.dumps({"selected_hypothesis_index": 2, "review_reason": "r"}))
+            return Reply(json.dumps({"category": "FRUIT" if "pear" in text.lower() else "unlisted"}))
+
+    return Judge(calls)
+
+
+@pytest.fixture
+def stub(tmp_path, monkeypatch):
+    calls = str(tmp_path / "calls")
+    open(calls, "w").close(), open(calls + ".mode", "w").close()
+    monkeypatch.setattr("palatine.__main__._client", lambda a: judge(calls))
+    return lambda: len(open(calls).read())
+
+
+def test_evaluate_asks_the_judge_once(spark, tmp_path, stub):
+    gold = write(tmp_path / "gold.jsonl", [{"id": i, "actual_food": "Fig"} for i in (1, 2, 3)])
+    pred = write(tmp_path / "pred.jsonl", [{"id": "1", "predicted_food": "Pear"}, {"id": 2, "predicted_food": " PEAR "}, {"id": 3, "predicted_food": "Rock"}])
+    spark.createDataFrame([(1, "Fig", "fruit-x")], "entity_id bigint, entity_alias_readable string, category string").write.parquet(str(tmp_path / "foods.parquet"))
+    spark.createDataFrame([("fruit",)], "category string").write.parquet(str(tmp_path / "words.parquet"))
+    args = ["evaluate", "--gold", gold, "--predictions", pred, "--reference", str(tmp_path / "foods.parquet"), "--cache", str(tmp_path / "cache.parquet"), "--vocabulary", str(tmp_path / "words.parquet"), "--output", str(tmp_path / "e"), "--use-llm"]
+    assert main(args) == 0
+    summary = json.loads((tmp_path / "e" / "evaluation_summary.json").read_text())
+    assert summary["correct"] == 2 and summary["llm_mapping_failed"] == 1 and stub() == 2
+    assert main(args) == 0 and stub() == 3  # only the failure is asked again
+    assert [tuple(r) for r in spark.read.parquet(str(tmp_path / "cache.parquet")).select("food_key", "category").collect()] == [("pear", "fruit")]
+
+
+def test_agent_resumes_by_stage(spark, tmp_path, stub):
+    """Hypotheses of a run whose review failed are not asked for again; failures are redone in place."""
+    train = write(tmp_path / "train.jsonl", [{"id": f"t{i}", "task": "MFP", "actual_food": f"food {i}", "molecules": [f"m{i}", "m"]} for i in range(4)])
+    test = write(tmp_path / "test.jsonl", [{"id": i, "task": "MFP", "actual_food": "x", "molecules": ["m", f"m{i}"]} for i in range(2)])
+    spark.createDataFrame([("m", 1, "sweet")], "key string, pos int, snippet string").write.parquet(str(tmp_path / "ev.parquet"))
+    args = ["predict", "--method", "agent", "--train", train, "--test", test, "--evidence", str(tmp_path / "ev.parquet"), "--output", str(tmp_path / "out"), "--hypotheses", str(tmp_path / "hyp"), "--retrieval", str(tmp_path / "demos")]
+    (tmp_path / "calls.mode").write_text("fail")
+    assert main(args) == 0 and stub() == 4
+    (tmp_path / "calls.mode").write_text("")
+    assert main([*args, "--retry-errors"]) == 0 and stub() == 6
+    got = {r.id: (r.predicted_food, r.error) for r in spark.read.parquet(str(tmp_path / "out")).collect()}
+    assert got == {"0": ("Pear", None), "1": ("Pear", None)}
+    assert main([*args, "--resume"]) == 0 and stub() == 6
+
+
+def test_api_config(spark, monkeypatch, capsys):
+    monkeypatch.setenv("PAL_KEY_X", "secret")
+    assert main(["api-config", "--key-env", "PAL_KEY_X"]) == 0
+    out = capsys.readouterr().out
+    assert '"found": true' in out and "secret" not in out
+
+
 def test_settings(tmp_path, monkeypatch):
     text = "# c\nexport A='x y'\nB = \"2\"\nnonsense\n=3\nC=\n"
     assert env.parse_settings(text) == {"A": "x y", "B": "2", "C": ""}
