@@ -1,12 +1,14 @@
 """BM25 retrieval: index statistics, scoring by token join, top k with zero-score fill.
 
-For a top k the weighted query tokens are broadcast after a check of their
-size, and every task scores its documents against blocks of queries with array
-arithmetic, passing on only rows that can still be among a query's best k; the
-documents are never shuffled.  Beyond that size, and where all scores are asked
-for, tokens are joined: documents are placed by id once and scores are summed
-per (document, query) where they lie while the query side can be broadcast,
-else both sides are shuffled by token, left to adaptive execution to split.
+For a top k the weighted query tokens go out in blocks of bounded size, one
+after another; every task scores its documents against a block with array
+arithmetic, by matrix products for tokens that are frequent on both sides and by
+postings for all others, and passes on each query's best k; neither documents
+nor scores are shuffled.  A block that is still too large (one query of very
+many tokens), and where all scores are asked for, tokens are joined: documents
+are placed by id once and scores are summed per (document, query) where they lie
+while the query side can be broadcast, else both sides are shuffled by token,
+left to adaptive execution to split.
 """
 
 from __future__ import annotations
@@ -15,19 +17,24 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from palatine.functions.normalize import first_truthy, tokens
-from palatine.operators.physical import checkpoint, is_small, spread
+from palatine.operators.physical import BROADCAST_BYTES, is_small, kept, spread
 
 K1, B = 1.5, 0.75
 #: Query tokens up to which they are broadcast.
 QUERY_TOKENS = 1_000_000
 #: Digits of a score that is shown, and of one that is ranked: sums of the same parts in another order agree in so many.
 DIGITS, RANK_DIGITS = 6, 12
-#: Queries scored together, and products of one step (8 bytes each).
-QUERY_BLOCK, STEP = 512, 4_000_000
+#: Documents and their tokens scored together, and queries of one matrix product.
+DOC_BLOCK, TOKEN_BLOCK, QUERY_STEP = 16_384, 1_000_000, 32
+#: Share of the (document, query) pairs that have a token in common from which it is multiplied densely, and the most of such tokens.
+DENSE_SHARE, DENSE_TOKENS = 0.03, 256
+#: Relative error allowed to the first, single-precision scores; what may be among the best is scored again in full.
+SLACK = 1e-4
 
 
 def food_document(food: Column | str, molecules: Column | str) -> Column:
@@ -54,15 +61,20 @@ def idf(n: Column, df: Column) -> Column:
     return F.log(F.lit(1.0) + (n - df + F.lit(0.5)) / (df + F.lit(0.5)))
 
 
+def _cut(rows: DataFrame, text: str = "text") -> Column:
+    """The tokens of ``text``; of rows that are cut already, their column ``tokens``."""
+    return F.col("tokens") if text not in rows.columns and "tokens" in rows.columns else tokens(text)
+
+
 def document_tokens(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
     """(doc_id, dl, token, tf): one row per distinct token of a document, placed by document."""
-    cut = docs.select(F.col(key).alias("doc_id"), tokens(text).alias("_t"))
+    cut = docs.select(F.col(key).alias("doc_id"), _cut(docs, text).alias("_t"))
     return cut.select("doc_id", F.size("_t").alias("dl"), F.explode("_t").alias("token")).groupBy("doc_id", "dl", "token").agg(F.count(F.lit(1)).alias("tf"))
 
 
 def corpus_stats(docs: DataFrame, text: str = "text") -> DataFrame:
     """(n, avgdl): all documents count, also those without tokens; avgdl is 0 without documents."""
-    return docs.agg(F.count(F.lit(1)).cast("double").alias("n"), F.coalesce(F.avg(F.size(tokens(text)).cast("double")), F.lit(0.0)).alias("avgdl"))
+    return docs.agg(F.count(F.lit(1)).cast("double").alias("n"), F.coalesce(F.avg(F.size(_cut(docs, text)).cast("double")), F.lit(0.0)).alias("avgdl"))
 
 
 def document_frequency(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -72,10 +84,10 @@ def document_frequency(docs: DataFrame, text: str = "text") -> DataFrame:
 
 def weighted_queries(docs: DataFrame, queries: DataFrame) -> DataFrame:
     """(query_id, token, w, n, avgdl): query tokens in the corpus, weighted by their count in the query and by idf."""
-    qt = queries.select("query_id", F.explode(tokens("text")).alias("token")).groupBy("query_id", "token").agg(F.count(F.lit(1)).alias("qtf"))
+    qt = queries.select("query_id", F.explode(_cut(queries)).alias("token")).groupBy("query_id", "token").agg(F.count(F.lit(1)).alias("qtf"))
     vocabulary = qt.select("token").distinct()
     vocabulary = F.broadcast(vocabulary) if is_small(vocabulary, QUERY_TOKENS) else vocabulary
-    df = docs.select(F.explode(F.array_distinct(tokens("text"))).alias("token")).join(vocabulary, "token", "left_semi").groupBy("token").agg(F.count(F.lit(1)).cast("double").alias("df"))
+    df = docs.select(F.explode(F.array_distinct(_cut(docs))).alias("token")).join(vocabulary, "token", "left_semi").groupBy("token").agg(F.count(F.lit(1)).cast("double").alias("df"))
     # corpus_stats is one row
     return qt.join(df, "token").crossJoin(F.broadcast(corpus_stats(docs))).select("query_id", "token", (F.col("qtf") * idf(F.col("n"), F.col("df"))).alias("w"), "n", "avgdl")
 
@@ -85,7 +97,10 @@ def bm25_scores(docs: DataFrame, queries: DataFrame, k1: float = K1, b: float =
 
     A token that a query repeats counts as often as it stands there.
     """
-    weighted = weighted_queries(docs, queries)
+    return _joined_scores(docs, weighted_queries(docs, queries), k1, b)
+
+
+def _joined_scores(docs: DataFrame, weighted: DataFrame, k1: float, b: float) -> DataFrame:
     small = is_small(weighted, QUERY_TOKENS)
     dt = document_tokens(docs.repartition("doc_id") if small else docs)
     hits = dt.join(F.broadcast(weighted) if small else weighted, "token")
@@ -94,68 +109,138 @@ def bm25_scores(docs: DataFrame, queries: DataFrame, k1: float = K1, b: float =
     return hits.groupBy("doc_id", "query_id").agg(F.round(F.sum(part), RANK_DIGITS).alias("score")).select("query_id", "doc_id", "score")
 
 
-def _block_scorer(number: dict[str, int], blocks: list[tuple[np.ndarray, np.ndarray, np.ndarray]], sizes: list[int], avgdl: float, k: int, k1: float, b: float):
-    """mapInArrow over (doc_id, tokens): (query number, doc_id, score) of rows that may be among a query's best k.
-
-    ``blocks`` holds per block of queries (token rows, query columns, weights).
-    A row is passed on if its score reaches the k-th best that this task has
-    seen for the query, ties included.
-    """
+class _Queries:
+    """Weighted tokens of a block of queries: those of query i are ``token[start[i]:start[i + 1]]`` with weights ``w``."""
+
+    def __init__(self, q: np.ndarray, token: np.ndarray, w: np.ndarray, n: int, words: pa.Array):
+        order = np.lexsort((token, q))
+        self.q, self.token, self.w, self.n, self.words = q[order].astype(np.int32), token[order].astype(np.int32), w[order], n, words
+        self.start = np.searchsorted(self.q, np.arange(n + 1))
+
+
+def _taken(start: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The places of runs of such starts and lengths, one run after another, and where each run begins among them."""
+    at = np.cumsum(lengths) - lengths
+    return np.repeat(start - at, lengths) + np.arange(lengths.sum()), at
+
+
+class _Best:
+    """The k best documents of every query so far, equal scores by id."""
+
+    def __init__(self, n: int, k: int):
+        self.k, self.floor, self.rows = k, np.zeros(n), [[] for _ in range(n)]
+
+    def add(self, q: int, scores: np.ndarray, ids: list) -> None:
+        rows = sorted(self.rows[q] + list(zip((-scores).tolist(), ids)), key=lambda r: (r[0], r[1] is not None, r[1]))[: self.k]
+        self.rows[q] = rows
+        if len(rows) == self.k:
+            self.floor[q] = -rows[-1][0]
+
+
+def _score_block(best: _Best, queries: _Queries, ids: list, dl: np.ndarray, doc: np.ndarray, token: np.ndarray, avgdl: float, k1: float, b: float) -> None:
+    """Score the documents of a block, whose known tokens are (doc, token), against all queries."""
+    if not len(doc):
+        return
+    k, n, size = best.k, len(dl), len(queries.words)
+    code, tf = np.unique(doc * size + token, return_counts=True)
+    d, t = (code // size).astype(np.int32), (code % size).astype(np.int32)
+    value = tf * (k1 + 1.0) / (tf + k1 * (1.0 - b + b * dl[d] / (avgdl or 1.0)))
+    doc_start = np.searchsorted(d, np.arange(n + 1))
+    order = np.argsort(t, kind="stable")  # postings: by token, then by document
+    posting, weight = d[order], value[order]
+    start = np.searchsorted(t[order], np.arange(size + 1))
+    df = np.diff(start)
+    share = df / n * (np.bincount(queries.token, minlength=size) / max(1, queries.n))
+    dense = np.argsort(-share)[:DENSE_TOKENS]
+    dense = dense[share[dense] >= DENSE_SHARE]
+    slot = np.full(size, -1)
+    slot[dense] = np.arange(len(dense))
+    table = np.zeros((len(dense), n), np.float32)
+    for row, x in zip(table, dense.tolist()):
+        row[posting[start[x] : start[x + 1]]] = weight[start[x] : start[x + 1]]
+    place = slot[queries.token]
+    sparse = (place < 0) & (df[queries.token] > 0)
+    full = np.zeros(size)
+    for lo in range(0, queries.n, QUERY_STEP):
+        hi = min(queries.n, lo + QUERY_STEP)
+        x = slice(queries.start[lo], queries.start[hi])
+        m = place[x] >= 0
+        left = np.zeros((hi - lo, len(dense)), np.float32)
+        left[queries.q[x][m] - lo, place[x][m]] = queries.w[x][m]
+        some = left @ table
+        for q, row in zip(range(lo, hi), some):
+            own = slice(queries.start[q], queries.start[q + 1])
+            few = sparse[own]
+            if few.any():
+                runs = list(zip(start[(tok := queries.token[own][few])].tolist(), start[tok + 1].tolist(), queries.w[own][few].tolist()))
+                row += np.bincount(np.concatenate([posting[i:j] for i, j, _ in runs]), np.concatenate([weight[i:j] * w for i, j, w in runs]), n)
+            hits = np.flatnonzero(row > best.floor[q] * (1 - SLACK))
+            if len(hits) > k:
+                hits = hits[(near := row[hits]) >= np.partition(near, len(near) - k)[len(near) - k] * (1 - SLACK)]
+            if not len(hits):
+                continue
+            full[queries.token[own]] = queries.w[own]
+            at, first = _taken(doc_start[hits], doc_start[hits + 1] - doc_start[hits])
+            score = np.round(np.add.reduceat(full[t[at]] * value[at], first), RANK_DIGITS)
+            full[queries.token[own]] = 0.0
+            keep = (score >= best.floor[q]) & (score > 0)
+            if keep.any():
+                best.add(q, score[keep], [ids[i] for i in hits[keep].tolist()])
+
+
+def _block_scorer(queries: _Queries, avgdl: float, k: int, k1: float, b: float):
+    """mapInArrow over (doc_id, tokens): (query number, doc_id, score) of every query's best k among the documents of the task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tables = []
-        for (rows, cols, w), n in zip(blocks, sizes):
-            table = np.zeros((len(number), n))
-            table[rows, cols] = w
-            tables.append(table)
-        floor = [np.full((k, n), 0.0) for n in sizes]  # the k best scores of each query so far
+        best, kind = _Best(queries.n, k), pa.null()
+        ids, dl, doc, token, held = [], [], [], [], 0
+
+        def flush() -> None:
+            if ids:
+                _score_block(best, queries, ids, np.concatenate(dl), np.concatenate(doc), np.concatenate(token), avgdl, k1, b)
+                for x in (ids, dl, doc, token):
+                    x.clear()
+
         for whole in batches:
-            for at in range(0, whole.num_rows, 2048):
-                batch = whole.slice(at, 2048)
-                lists = batch.column(1).to_pylist()
-                doc, tok, dl = [], [], np.array([len(x) for x in lists], float)
-                for i, x in enumerate(lists):
-                    got = [t for w in x if (t := number.get(w)) is not None]
-                    tok += got
-                    doc += [i] * len(got)
-                if not doc:
-                    continue
-                code, tf = np.unique(np.array(doc, np.int64) * len(number) + np.array(tok, np.int64), return_counts=True)
-                d, t = code // len(number), code % len(number)
-                value = tf * (k1 + 1.0) / (tf + k1 * (1.0 - b + b * dl[d] / (avgdl or 1.0)))
-                starts = np.flatnonzero(np.concatenate(([True], d[1:] != d[:-1])))
-                base = 0
-                for table, best, n in zip(tables, floor, sizes):
-                    step = max(1, STEP // (n * max(1, len(d) // len(starts))))
-                    for s in range(0, len(starts), step):
-                        lo, some = starts[s], starts[s : s + step]
-                        hi = starts[s + step] if s + step < len(starts) else len(d)
-                        score = np.round(np.add.reduceat(table[t[lo:hi]] * value[lo:hi, None], some - lo, axis=0), RANK_DIGITS)
-                        both = np.concatenate((best, score))
-                        best[:] = np.partition(both, len(both) - k, axis=0)[len(both) - k :]
-                        r, q = np.nonzero((score >= best.min(0)) & (score > 0))
-                        if len(r):
-                            yield pa.RecordBatch.from_arrays([pa.array(q + base, pa.int64()), batch.column(0).take(pa.array(d[some[r]])), pa.array(score[r, q])], names=["q", "doc_id", "score"])
-                    base += n
+            kind = whole.schema.field(0).type
+            for at in range(0, whole.num_rows, 4096):
+                batch = whole.slice(at, 4096)
+                n = pc.list_value_length(batch.column(1)).to_numpy(zero_copy_only=False)
+                known = pc.fill_null(pc.index_in(batch.column(1).flatten(), value_set=queries.words), -1).to_numpy(zero_copy_only=False).astype(np.int64)
+                if ids and (len(ids) + len(n) > DOC_BLOCK or held + len(known) > TOKEN_BLOCK):
+                    flush()
+                    held = 0
+                doc.append(np.repeat(np.arange(len(n)) + len(ids), n)[known >= 0])
+                token.append(known[known >= 0])
+                dl.append(n.astype(float))
+                ids.extend(batch.column(0).to_pylist())
+                held += len(known)
+        flush()
+        for lo in range(0, queries.n, 10_000):
+            rows = [(q, i, -s) for q in range(lo, min(queries.n, lo + 10_000)) for s, i in best.rows[q]]
+            if rows:
+                q, i, s = zip(*rows)
+                yield pa.RecordBatch.from_arrays([pa.array(q, pa.int64()), pa.array(i, kind), pa.array(s, pa.float64())], names=["q", "doc_id", "score"])
 
     return run
 
 
 def _scored_blocks(docs: DataFrame, weighted: DataFrame, k: int, k1: float, b: float) -> DataFrame:
-    """(query_id, doc_id, score) of rows that contain every query's best k."""
+    """(query_id, doc_id, score) of rows that contain every query's best k; ``docs`` (doc_id, tokens)."""
     spark = docs.sparkSession
-    rows = weighted.select("query_id", "token", "w", "avgdl").toPandas()  # at most QUERY_TOKENS rows, checked by the caller
-    ids = sorted(rows["query_id"].unique())
-    place = {q: i for i, q in enumerate(ids)}
-    number = {t: i for i, t in enumerate(sorted(set(rows["token"])))}
-    q, t, w = rows["query_id"].map(place).to_numpy(np.int64), rows["token"].map(number).to_numpy(np.int64), rows["w"].to_numpy(float)
-    blocks = [(t[m], q[m] - lo, w[m]) for lo in range(0, len(ids), QUERY_BLOCK) for m in [(q >= lo) & (q < lo + QUERY_BLOCK)]]
-    sizes = [min(QUERY_BLOCK, len(ids) - lo) for lo in range(0, len(ids), QUERY_BLOCK)]
-    kind = dict(docs.dtypes)["doc_id"]
-    run = _block_scorer(number, blocks, sizes, float(rows["avgdl"].iloc[0]) if len(rows) else 0.0, k, k1, b)
-    scored = spread(docs.select("doc_id", "text")).select("doc_id", tokens("text").alias("tokens")).mapInArrow(run, f"q bigint, doc_id {kind}, score double")
-    names = spark.createDataFrame([(q, i) for q, i in zip((x.item() if hasattr(x, "item") else x for x in ids), range(len(ids)))], f"query_id {weighted.schema['query_id'].dataType.simpleString()}, q bigint")
-    return scored.join(F.broadcast(names), "q").select("query_id", "doc_id", "score")
+    rows = weighted.select("query_id", "token", "w").toArrow()  # bounded by the caller
+    q, t = (rows.column(c).combine_chunks().dictionary_encode() for c in ("query_id", "token"))
+    by = pc.sort_indices(t.dictionary).to_numpy()
+    number = np.empty(len(by), np.int64)
+    number[by] = np.arange(len(by))
+    avgdl = weighted.select("avgdl").first()
+    queries = _Queries(q.indices.to_numpy(), number[t.indices.to_numpy()], rows.column("w").to_numpy(), len(q.dictionary), t.dictionary.take(pa.array(by)))
+    run = _block_scorer(queries, avgdl[0] if avgdl else 0.0, k, k1, b)
+    placed = spread(docs.select("doc_id", "tokens"))
+    placed = placed.coalesce(2 * spark.sparkContext.defaultParallelism)  # every task passes on k rows a query
+    scored = placed.mapInArrow(run, f"q bigint, doc_id {dict(docs.dtypes)['doc_id']}, score double")
+    names = spark.createDataFrame(pa.table({"q": pa.array(np.arange(queries.n)), "query_id": q.dictionary}))
+    return scored.join(F.broadcast(names), "q").select(F.col("query_id").cast(weighted.schema["query_id"].dataType), "doc_id", "score")
 
 
 def top_k(scores: DataFrame, k: int, position: str = "doc_id") -> DataFrame:
@@ -170,11 +255,21 @@ def bm25_top_k(docs: DataFrame, queries: DataFrame, k: int = 3, fill: bool = Tru
     ``doc_id`` is the corpus position.  Only the first 2k documents can be
     needed for filling, since fewer than k of them match.
     """
-    weighted = checkpoint(weighted_queries(docs, queries))
-    scores = _scored_blocks(docs, weighted, k, k1, b) if is_small(weighted, QUERY_TOKENS) else bm25_scores(docs, queries, k1, b)
-    best = top_k(scores, k).select("query_id", "doc_id", "score")
+    docs = kept(docs.select("doc_id", _cut(docs).alias("tokens")))
+    queries = kept(queries.select("query_id", _cut(queries).alias("tokens")))
+    weighted = kept(weighted_queries(docs, queries))
+    held = F.sum(F.octet_length(F.col("query_id").cast("string")) + F.octet_length("token") + 16)
+    rows, size = weighted.agg(F.count(F.lit(1)), F.coalesce(held, F.lit(0))).first()
+    blocks = max(1, -(-rows * 5 // (4 * max(1, QUERY_TOKENS))), -(-size * 5 // (4 * BROADCAST_BYTES))) if QUERY_TOKENS else 1
+    best = None
+    for i in range(blocks):
+        block = weighted.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == i) if blocks > 1 else weighted
+        rows, size = block.agg(F.count(F.lit(1)), F.coalesce(held, F.lit(0))).first()
+        fits = rows <= 2 * QUERY_TOKENS and size <= 2 * BROADCAST_BYTES
+        scores = _scored_blocks(docs, block, k, k1, b) if rows and fits else _joined_scores(docs, block, k1, b)
+        found = kept(top_k(scores, k).select("query_id", "doc_id", "score"))  # at most k rows a query, read three times below
+        best = found if best is None else best.unionByName(found)
     if fill:
-        best = checkpoint(best)  # at most k rows a query, read three times below
         lacking = queries.select("query_id").distinct().join(best.groupBy("query_id").agg(F.count(F.lit(1)).alias("m")), "query_id", "left").where(F.coalesce("m", F.lit(0)) < k).select("query_id")
         first = docs.select("doc_id").orderBy("doc_id").limit(2 * k)
         extra = lacking.crossJoin(F.broadcast(first)).join(best.select("query_id", "doc_id"), ["query_id", "doc_id"], "left_anti").withColumn("score", F.lit(0.0))

@@ -30,6 +30,9 @@ def test_reconstruct(spark):
     assert {k: v[0] for k, v in got.items()} == {"ok": "ok", "sub": "missing_not_subset_of_full", "all": "partial_empty", "none": "empty_full_molecules", "amb": "ambiguous", "food": "invalid_food", "miss": "invalid_missing_molecules"}
 
 
+WORDS = "acid ether beta alpha a b c d e f g h i j k l m n o p q r s t u v w x y z".split()
+
+
 def plain_bm25(docs, query, k1=1.5, b=0.75):
     toks = {d: re.findall("[0-9a-z]+", (t or "").lower()) for d, t in docs}
     n, avg = len(docs), sum(map(len, toks.values())) / len(docs)
@@ -58,6 +61,27 @@ def test_bm25(spark, monkeypatch, limit):
         assert [s for _, s in rows[q]] == pytest.approx([s for _, s in want])
 
 
+def test_bm25_in_blocks(spark, monkeypatch):
+    """More query tokens than are sent at once are scored block by block, never joined; small document blocks agree, ties go by id."""
+    monkeypatch.setattr(retrieval, "QUERY_TOKENS", 40)
+    monkeypatch.setattr(retrieval, "DOC_BLOCK", 50)
+    monkeypatch.setattr(retrieval, "_joined_scores", None, raising=False)
+    monkeypatch.setattr(retrieval, "bm25_scores", None)
+    rng = random.Random(2)
+    some = lambda n: " ".join(rng.choice(WORDS) for _ in range(rng.randint(0, n)))
+    docs = [(f"d{i:03d}", some(12)) for i in range(170)]
+    docs += [(f"e{i}", docs[i][1]) for i in range(170)] + [("n", None)]
+    queries = [(f"q{i}", some(9)) for i in range(60)] + [("none", "zzz"), ("empty", "")]
+    got = retrieval.bm25_top_k(spark.createDataFrame(docs, "doc_id string, text string"), spark.createDataFrame(queries, "query_id string, text string"), 4)
+    rows = {}
+    for r in got.orderBy("query_id", "rank").collect():
+        rows.setdefault(r.query_id, []).append((r.doc_id, r.score))
+    for q, text in queries:
+        want = plain_bm25(docs, text)[:4]
+        assert [d for d, _ in rows[q]] == [d for d, _ in want]
+        assert [s for _, s in rows[q]] == pytest.approx([s for _, s in want])
+
+
 def test_bm25_empty(spark):
     empty = spark.createDataFrame([], "doc_id bigint, text string")
     assert retrieval.bm25_top_k(empty, spark.createDataFrame([(1, "a")], "query_id bigint, text string")).count() == 0
