@@ -82,6 +82,22 @@ def test_bm25_in_blocks(spark, monkeypatch):
         assert [s for _, s in rows[q]] == pytest.approx([s for _, s in want])
 
 
+@pytest.mark.parametrize("share", [0.0, 0.03, 2.0])
+def test_bm25_dense_and_postings_agree(spark, monkeypatch, share):
+    """All tokens by matrix products, some, none: the first scores only choose, the exact ones rank."""
+    monkeypatch.setattr(retrieval, "DENSE_SHARE", share)
+    rng = random.Random(4)
+    some = lambda n: " ".join(rng.choice(WORDS[:4] + WORDS) for _ in range(n))
+    docs = [(i, some(rng.randint(1, 30))) for i in range(200)]
+    docs += [(300 + i, " ".join(rng.sample(docs[i][1].split(), len(docs[i][1].split())))) for i in range(50)]
+    queries = [(i, some(20)) for i in range(70)]
+    got = retrieval.bm25_top_k(spark.createDataFrame(docs, "doc_id bigint, text string"), spark.createDataFrame(queries, "query_id bigint, text string"), 3)
+    rows = {}
+    for r in got.orderBy("query_id", "rank").collect():
+        rows.setdefault(r.query_id, []).append(r.doc_id)
+    assert rows == {q: [d for d, _ in plain_bm25(docs, text)[:3]] for q, text in queries}
+
+
 def test_bm25_empty(spark):
     empty = spark.createDataFrame([], "doc_id bigint, text string")
     assert retrieval.bm25_top_k(empty, spark.createDataFrame([(1, "a")], "query_id bigint, text string")).count() == 0
