@@ -185,6 +185,16 @@ class Table:
         self.tag[slot] = (hashes >> np.uint64(32)).astype(np.uint32)
         self.size = len(hashes) + 1
 
+    def __getstate__(self) -> tuple:
+        """Only the slots in use: every broadcast of the table lies on the disks of the driver and of each executor."""
+        at = np.flatnonzero(self.row | self.tag)
+        return at.astype(np.int32), self.row[at], self.tag[at], self.size
+
+    def __setstate__(self, state: tuple) -> None:
+        at, row, tag, self.size = state
+        self.row, self.tag = np.zeros(SLOTS, np.int32), np.zeros(SLOTS, np.uint32)
+        self.row[at], self.tag[at] = row, tag
+
     def rows(self, hashes: np.ndarray) -> np.ndarray:
         slot = (hashes & np.uint64(SLOTS - 1)).astype(np.int64)
         return np.where(self.tag[slot] == (hashes >> np.uint64(32)).astype(np.uint32), self.row[slot], 0)

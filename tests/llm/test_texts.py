@@ -1,7 +1,9 @@
 import os
+import pickle
 import random
 import re
 
+import numpy as np
 import pytest
 
 from palatine.llm import bpe, leak_automaton, pii_crf, token_arrays
@@ -303,3 +305,12 @@ def test_forms_that_are_no_shape(field_and_rows):
     for text, kind, value in [("On file: passport 12-3456-78. ", "id_number", "12-3456-78"), ("Samples go to 7 Elm Terrace, Norvik. ", "address", "7 Elm Terrace, Norvik")]:
         assert not token_arrays.value_spans(text) and [(k, text[s:e]) for k, s, e in field.decode(text)] == [(kind, value)]
     assert field.decode("Lot 12-3456-78 of fig tasted sweet. ") == []
+
+
+def test_feature_table_is_sent_without_its_empty_slots():
+    hashes = np.unique(np.random.default_rng(1).integers(1, 2**63, 5000, dtype=np.uint64))
+    table = pii_crf.Table(hashes)
+    sent = pickle.dumps(table)
+    assert len(sent) < 20 * len(hashes) and len(pickle.dumps(pii_crf.Table(hashes[:0]))) < 1000
+    again, other = pickle.loads(sent), np.concatenate((hashes, hashes + np.uint64(1), hashes ^ np.uint64(1 << 40)))
+    assert (again.rows(other) == table.rows(other)).all() and again.size == table.size
