@@ -14,6 +14,8 @@ left to adaptive execution to split.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import groupby
+from operator import itemgetter
 
 import numpy as np
 import pyarrow as pa
@@ -29,8 +31,8 @@ K1, B = 1.5, 0.75
 QUERY_TOKENS = 1_000_000
 #: Digits of a score that is shown, and of one that is ranked: sums of the same parts in another order agree in so many.
 DIGITS, RANK_DIGITS = 6, 12
-#: Documents and their tokens scored together, and queries of one matrix product.
-DOC_BLOCK, TOKEN_BLOCK, QUERY_STEP = 16_384, 1_000_000, 32
+#: Documents and their tokens scored together, queries of one matrix product, of one addition of postings, and pairs scored in full at once.
+DOC_BLOCK, TOKEN_BLOCK, QUERY_STEP, ADD_STEP, PAIR_STEP = 65_536, 4_000_000, 64, 8, 8_192
 #: Share of the (document, query) pairs that have a token in common from which it is multiplied densely, and the most of such tokens.
 DENSE_SHARE, DENSE_TOKENS = 0.03, 256
 #: Relative error allowed to the first, single-precision scores; what may be among the best is scored again in full.
@@ -130,13 +132,27 @@ class _Best:
     def __init__(self, n: int, k: int):
         self.k, self.floor, self.rows = k, np.zeros(n), [[] for _ in range(n)]
 
-    def add(self, q: int, scores: np.ndarray, ids: list) -> None:
-        rows = sorted(self.rows[q] + list(zip((-scores).tolist(), ids)), key=lambda r: (r[0], r[1] is not None, r[1]))[: self.k]
+    def add(self, q: int, rows: list[tuple]) -> None:
+        """``rows``: (negative score, id)."""
+        rows = sorted(self.rows[q] + rows, key=lambda r: (r[0], r[1] is not None, r[1]))[: self.k]
         self.rows[q] = rows
         if len(rows) == self.k:
             self.floor[q] = -rows[-1][0]
 
 
+def _where(mask: np.ndarray) -> np.ndarray:
+    """np.flatnonzero of a mask of few true values; its length is a multiple of 8."""
+    eights = np.flatnonzero(mask.view(np.uint64) != 0)
+    at = np.flatnonzero(mask.reshape(-1, 8)[eights])
+    return eights[at >> 3] * 8 + (at & 7)
+
+
+def _least(rows: np.ndarray, k: int) -> np.ndarray:
+    """For each row a bound that its k-th largest value reaches: the k-th largest of the largest values of pieces of the row; 0 where fewer are positive."""
+    pieces = np.maximum.reduceat(rows, np.arange(0, rows.shape[1], max(8, rows.shape[1] // max(64, 4 * k))), axis=1)
+    return np.partition(pieces, pieces.shape[1] - k, axis=1)[:, -k] if pieces.shape[1] >= k else np.zeros(len(rows), rows.dtype)
+
+
 def _score_block(best: _Best, queries: _Queries, ids: list, dl: np.ndarray, doc: np.ndarray, token: np.ndarray, avgdl: float, k1: float, b: float) -> None:
     """Score the documents of a block, whose known tokens are (doc, token), against all queries."""
     if not len(doc):
@@ -144,48 +160,69 @@ def _score_block(best: _Best, queries: _Queries, ids: list, dl: np.ndarray, doc:
     k, n, size = best.k, len(dl), len(queries.words)
     code, tf = np.unique(doc * size + token, return_counts=True)
     d, t = (code // size).astype(np.int32), (code % size).astype(np.int32)
+    del code
     value = tf * (k1 + 1.0) / (tf + k1 * (1.0 - b + b * dl[d] / (avgdl or 1.0)))
     doc_start = np.searchsorted(d, np.arange(n + 1))
+    doc_size = np.diff(doc_start)
     order = np.argsort(t, kind="stable")  # postings: by token, then by document
-    posting, weight = d[order], value[order]
+    posting, weight = d[order].astype(np.uint16 if n <= 1 << 16 else np.int32), value[order].astype(np.float32)
     start = np.searchsorted(t[order], np.arange(size + 1))
+    del d, order, tf
     df = np.diff(start)
     share = df / n * (np.bincount(queries.token, minlength=size) / max(1, queries.n))
     dense = np.argsort(-share)[:DENSE_TOKENS]
     dense = dense[share[dense] >= DENSE_SHARE]
     slot = np.full(size, -1)
     slot[dense] = np.arange(len(dense))
-    table = np.zeros((len(dense), n), np.float32)
+    places = -(-n // 8) * 8
+    table = np.zeros((len(dense), places), np.float32)
     for row, x in zip(table, dense.tolist()):
         row[posting[start[x] : start[x + 1]]] = weight[start[x] : start[x + 1]]
     place = slot[queries.token]
-    sparse = (place < 0) & (df[queries.token] > 0)
-    full = np.zeros(size)
+    sparse = np.flatnonzero((place < 0) & (df[queries.token] > 0))
+    few_start = np.searchsorted(queries.q[sparse], np.arange(queries.n + 1))
+    some, column = np.empty((min(QUERY_STEP, queries.n), places), np.float32), np.zeros(size, np.int32)
     for lo in range(0, queries.n, QUERY_STEP):
         hi = min(queries.n, lo + QUERY_STEP)
         x = slice(queries.start[lo], queries.start[hi])
-        m = place[x] >= 0
+        q_of, m = queries.q[x] - lo, place[x] >= 0
         left = np.zeros((hi - lo, len(dense)), np.float32)
-        left[queries.q[x][m] - lo, place[x][m]] = queries.w[x][m]
-        some = left @ table
-        for q, row in zip(range(lo, hi), some):
-            own = slice(queries.start[q], queries.start[q + 1])
-            few = sparse[own]
-            if few.any():
-                runs = list(zip(start[(tok := queries.token[own][few])].tolist(), start[tok + 1].tolist(), queries.w[own][few].tolist()))
-                row += np.bincount(np.concatenate([posting[i:j] for i, j, _ in runs]), np.concatenate([weight[i:j] * w for i, j, w in runs]), n)
-            hits = np.flatnonzero(row > best.floor[q] * (1 - SLACK))
-            if len(hits) > k:
-                hits = hits[(near := row[hits]) >= np.partition(near, len(near) - k)[len(near) - k] * (1 - SLACK)]
-            if not len(hits):
-                continue
-            full[queries.token[own]] = queries.w[own]
-            at, first = _taken(doc_start[hits], doc_start[hits + 1] - doc_start[hits])
-            score = np.round(np.add.reduceat(full[t[at]] * value[at], first), RANK_DIGITS)
-            full[queries.token[own]] = 0.0
-            keep = (score >= best.floor[q]) & (score > 0)
-            if keep.any():
-                best.add(q, score[keep], [ids[i] for i in hits[keep].tolist()])
+        left[q_of[m], place[x][m]] = queries.w[x][m]
+        rows = np.matmul(left, table, out=some[: hi - lo])
+        few = sparse[few_start[lo] : few_start[hi]]
+        w, lengths, runs = queries.w[few].astype(np.float32), df[queries.token[few]], list(zip(start[queries.token[few]].tolist(), start[queries.token[few] + 1].tolist()))
+        ends = (few_start[lo : hi + 1] - few_start[lo]).tolist()
+        for at in range(0, hi - lo, ADD_STEP):
+            i, j = ends[at], ends[min(at + ADD_STEP, hi - lo)]
+            if i < j:
+                part = np.concatenate([weight[u:v] for u, v in runs[i:j]])
+                part *= np.repeat(w[i:j], lengths[i:j])
+                cell = np.concatenate([posting[u:v] for u, v in runs[i:j]]).astype(np.intp)
+                cell += np.repeat((queries.q[few[i:j]] - lo).astype(np.intp) * places, lengths[i:j])
+                np.add.at(rows.reshape(-1), cell, part)
+        floor = best.floor[lo:hi]
+        if not floor.all():
+            floor = np.maximum(floor, _least(rows, k))
+        found = _where((rows > (floor * (1 - SLACK)).astype(np.float32)[:, None]).reshape(-1))
+        used = np.unique(queries.token[x])
+        column[used] = np.arange(1, len(used) + 1)
+        full = np.zeros((hi - lo, len(used) + 1))
+        full[q_of, column[queries.token[x]]] = queries.w[x]
+        for pairs in (found[at : at + PAIR_STEP] for at in range(0, len(found), PAIR_STEP)):
+            q, hits = np.divmod(pairs, places)
+            at, first = _taken(doc_start[hits], doc_size[hits])
+            score = np.round(np.add.reduceat(full[np.repeat(q, doc_size[hits]), column[t[at]]] * value[at], first), RANK_DIGITS)
+            keep = np.flatnonzero((score >= best.floor[q + lo]) & (score > 0))
+            keep = keep[np.lexsort((-score[keep], q[keep]))]
+            q, hits, score = q[keep], hits[keep], score[keep]
+            first = np.flatnonzero(np.diff(q, prepend=-1))
+            size_of = np.diff(first, append=len(q))
+            last = score[first + np.minimum(k, size_of) - 1]  # what is worse than a query's k-th here is not among its best
+            keep = np.flatnonzero(score >= np.repeat(last, size_of))
+            q, hits, score = (q[keep] + lo).tolist(), hits[keep].tolist(), (-score[keep]).tolist()
+            for one, own in groupby(zip(q, score, hits), key=itemgetter(0)):
+                best.add(one, [(x, ids[i]) for _, x, i in own])
+        column[used] = 0
 
 
 def _block_scorer(queries: _Queries, avgdl: float, k: int, k1: float, b: float):

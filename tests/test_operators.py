@@ -3,6 +3,8 @@ import random
 import re
 from collections import Counter
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -98,6 +100,30 @@ def test_bm25_dense_and_postings_agree(spark, monkeypatch, share):
     assert rows == {q: [d for d, _ in plain_bm25(docs, text)[:3]] for q, text in queries}
 
 
+@pytest.mark.parametrize("tokens", [1, 3, 12])
+def test_bm25_queries_are_scored_together(monkeypatch, tokens):
+    """The steps of scoring are taken for many queries at once, over the blocks of documents, with floors and without; results are those of the plain way."""
+    monkeypatch.setattr(retrieval, "DOC_BLOCK", 150)
+    calls, taken = [], retrieval._taken
+    monkeypatch.setattr(retrieval, "_taken", lambda *a: calls.append(1) or taken(*a))
+    rng = random.Random(5)
+    docs = [(i, [rng.choice(WORDS) for _ in range(rng.randint(0, 20))]) for i in range(400)]
+    docs += [(400 + i, docs[i][1][::-1]) for i in range(100)]
+    texts = [" ".join(rng.choice(WORDS) for _ in range(tokens)) for _ in range(200)]
+    df = Counter(w for _, x in docs for w in set(x))
+    rows = [(q, WORDS.index(w), c * math.log(1 + (len(docs) - df[w] + 0.5) / (df[w] + 0.5))) for q, x in enumerate(texts) for w, c in Counter(x.split()).items()]
+    queries = retrieval._Queries(*map(np.array, zip(*rows)), len(texts), pa.array(WORDS))
+    batch = pa.record_batch({"doc_id": [i for i, _ in docs], "tokens": pa.array([x for _, x in docs], pa.list_(pa.string()))})
+    run = retrieval._block_scorer(queries, sum(len(x) for _, x in docs) / len(docs), 3, 1.5, 0.75)
+    got = pa.Table.from_batches(run(batch.slice(at, 150) for at in range(0, len(docs), 150))).to_pylist()
+    for q, text in enumerate(texts):
+        want = [(d, s) for d, s in plain_bm25([(i, " ".join(x)) for i, x in docs], text)[:3] if s > 0]
+        own = sorted((-round(r["score"], 6), r["doc_id"]) for r in got if r["q"] == q)
+        assert [d for _, d in own] == [d for d, _ in want]
+        assert [-s for s, _ in own] == pytest.approx([s for _, s in want])
+    assert len(calls) < len(texts) // 4
+
+
 def test_bm25_empty(spark):
     empty = spark.createDataFrame([], "doc_id bigint, text string")
     assert retrieval.bm25_top_k(empty, spark.createDataFrame([(1, "a")], "query_id bigint, text string")).count() == 0
